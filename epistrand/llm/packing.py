@@ -16,6 +16,8 @@ columns are allowed. An empty table gives no rows.
 
 from __future__ import annotations
 
+import re
+import struct
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -31,54 +33,86 @@ from ._common import dense_rank_within, stage
 #: Texts with these separators are encoded whole: Python splits at them, the tokenizer does not.
 _ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
 #: Most words that a worker remembers; beyond it, the memory starts anew (only speed changes).
-MEMO = 300_000
+MEMO = 400_000
 SALTS = 256
 
 
+#: Runs of lower-case Latin-1 letters, and what stands between them and white space.
+_LATIN_RUNS = re.compile(r"[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[^\sa-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+")
+#: The printable stand-ins of bytes above 127 in byte-level vocabularies: the code point itself where
+#: it is printable, else the next free one from 256 on (the 33 control bytes come first, then space).
+_BARE = [*range(161, 173), *range(174, 256)]
+_FREE = [b for b in range(256) if b not in range(33, 127) and b not in _BARE]
+_BYTE = {b: chr(b if b in _BARE else 256 + _FREE.index(b)) for b in range(128, 256)}
+_LATIN_BYTES = {c: "".join(_BYTE[b] for b in chr(c).encode()) for c in range(128, 256)}
+
+
+class _Memo(dict):
+    """word -> ids; forgets everything at ``MEMO`` words."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= MEMO:
+            self.clear()
+        ids = self[word] = self.encode(word)
+        return ids
+
+
 class WordEncoder:
     """Ids of a text as little-endian uint32 bytes, word by word.
 
-    The tokenizer drops white space and never joins across it, so the ids of a text are those of its
-    white-space separated words in order. Words repeat, so each is encoded once per worker, in batches.
+    The tokenizer lower-cases, drops white space and never joins across it, nor across an end of a
+    run of letters unless an apostrophe is near. So the ids of a text are those of its words in
+    order, and those of a word are those of its runs. Both repeat, so each is encoded once per
+    worker; runs of Latin-1 letters skip normalisation and go straight to the merge model.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.memo: dict[str, bytes] = {}
-
-    def _pack(self, ids: list[int]) -> bytes:
-        return np.array(ids, dtype="<u4").tobytes()
+        self.model = self.tokenizer.model
+        self.runs, self.latin, self.words = _Memo(self._run), _Memo(self._latin), _Memo(self.whole)
 
     def whole(self, text: str) -> bytes:
-        return self._pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
-
-    def learn(self, texts: list[list[str]]) -> None:
-        new = set().union(*texts).difference(self.memo)
-        if len(self.memo) + len(new) > MEMO:
-            self.memo = {}
-            new = set().union(*texts)
-        new = list(new)
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                self.memo[w] = self._pack(e.ids)
+        return _pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def _run(self, run: str) -> bytes:
+        if not run.isalpha():
+            return self.whole(run)
+        return _pack([t.id for t in self.model.tokenize(run if run.isascii() else run.translate(_LATIN_BYTES))])
+
+    def _latin(self, word: str) -> bytes:
+        if "'" in word or "<|" in word:
+            return self.whole(word)
+        return b"".join(map(self.runs.__getitem__, _LATIN_RUNS.findall(word)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        start = 0
-        while start < len(texts):  # some 1 MB of text at a time bounds the words held
-            end, size = start, 0
-            while end < len(texts) and (end == start or size < 1_000_000):
-                size += len(texts[end])
-                end += 1
-            words = [t.split() for t in texts[start:end]]
-            self.learn(words)
-            get = self.memo.__getitem__
-            out += [self.whole(t) if any(c in t for c in _ODD) else b"".join(map(get, w)) for t, w in zip(texts[start:end], words, strict=True)]
-            start = end
-        return out
+        return [self._text(t) for t in texts]
+
+    def _text(self, text: str) -> bytes:
+        if any(c in text for c in _ODD):
+            return self.whole(text)
+        if _is_latin(text) and "<|" not in text:
+            return b"".join(map(self.latin.__getitem__, text.lower().split()))
+        return b"".join(map(self.words.__getitem__, text.split()))
+
+
+def _is_latin(text: str) -> bool:
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
+def _pack(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 _encoders: dict[str, WordEncoder] = {}
