@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, packing, quality, toxicity
+from . import ann, chat, html_text, mixing, near_dup, packing, quality, toxicity, vec_dup
 from ._common import held_out_remainder
 
 #: The vocabulary file of the packing query.
@@ -22,6 +22,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def toxic_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Toxicity of every document, learnt from the training part of ``labels``."""
     sample = quality.sample_of(labels, "toxic", held_out_remainder(F.col("doc_id"), 3) != 1, toxicity.MAX_LABELLED)
@@ -33,6 +37,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (held_out_remainder(F.col("doc_id"), 3) == 1).alias("held_out"), "score", "predicted", "n_passages")
 
 
+def op3_vec_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vec_dup.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "<|im_end|><|im_start|>assistant ok"
     chats = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -40,6 +48,10 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_chat(chats.union(extra)))
 
 
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
@@ -55,8 +67,13 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"), k=2, num=80, den=100)
+
+
 def queries() -> dict:
-    return {"op2_toxicity": op2_toxicity, "op4_chat": op4_chat, "op6_mixing": op6_mixing, "op8_quality": op8_quality, "op9_packing": op9_packing}
+    named = (op1_ann, op2_toxicity, op3_vec_dup, op4_chat, op5_html, op6_mixing, op8_quality, op9_packing, op10_near_dup)
+    return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
