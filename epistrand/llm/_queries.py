@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, html_text, mixing, near_dup, packing, quality, toxicity, vec_dup
+from . import ann, chat, html_text, mixing, near_dup, packing, passages, quality, toxicity, vec_dup
 from ._common import held_out_remainder
 
 #: The vocabulary file of the packing query.
@@ -26,14 +26,15 @@ def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
-def toxic_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Toxicity of every document, learnt from the training part of ``labels``."""
+def toxic_model(docs: DataFrame, labels: DataFrame) -> toxicity.Model:
+    """Learnt from the training part of ``labels``."""
     sample = quality.sample_of(labels, "toxic", held_out_remainder(F.col("doc_id"), 3) != 1, toxicity.MAX_LABELLED)
-    return toxicity.detect(docs, toxicity.fit(docs, sample), 0.7)
+    return toxicity.fit(docs, sample)
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = toxic_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    docs = table(spark, sf_dir, "documents")
+    out = toxicity.detect(docs, toxic_model(docs, table(spark, sf_dir, "labels")), 0.7)
     return out.select("doc_id", (held_out_remainder(F.col("doc_id"), 3) == 1).alias("held_out"), "score", "predicted", "n_passages")
 
 
@@ -56,6 +57,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op7_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.find(table(spark, sf_dir, "documents"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     sample = quality.sample_of(table(spark, sf_dir, "labels"), "quality", held_out_remainder(F.col("doc_id"), 5) != 0, quality.MAX_LABELLED)
@@ -72,7 +77,7 @@ def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    named = (op1_ann, op2_toxicity, op3_vec_dup, op4_chat, op5_html, op6_mixing, op8_quality, op9_packing, op10_near_dup)
+    named = (op1_ann, op2_toxicity, op3_vec_dup, op4_chat, op5_html, op6_mixing, op7_passages, op8_quality, op9_packing, op10_near_dup)
     return {f.__name__: f for f in named}
 
 

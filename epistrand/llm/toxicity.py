@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from ._common import stage
 
@@ -262,3 +263,15 @@ def detect(docs: DataFrame, model: Model, threshold: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32)), pa.array([len(x) for x in spans], pa.int32()), pa.array(spans, kind)], ["doc_id", "score", "predicted", "n_passages", "passages"])
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
+
+
+def keep_clean(docs: DataFrame, model: Model, threshold: float) -> DataFrame:
+    """The documents, with all their columns, whose score is below ``threshold``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(model.lexicon)
+        for b in batches:
+            score = [model.score(model.evidence(*_scan(t or "", scorer))) for t in b.column("text").to_pylist()]
+            yield b.filter(pa.array([s < threshold for s in score], pa.bool_()))
+
+    return docs.mapInArrow(run, StructType([StructField(f.name, f.dataType, True) for f in docs.schema]))
