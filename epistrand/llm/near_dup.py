@@ -7,7 +7,7 @@
    between 512 and 640, so that any two sets with similarity 0.8 or more share a kind.
 3. Bands of 4 registers give 32 keys a kind; two sets of similarity s share none with probability
    (1 - s^4)^32, 5e-8 at 0.8. Classes that share a key are candidates.
-4. Within a key, every class is first compared with six leaders only. Candidates whose register
+4. Within a key, every class is first compared with eight leaders only. Candidates whose register
    agreement, corrected for chance collisions, is five standard errors below the threshold go; the
    rest are confirmed on full sets. Connected components follow.
 5. To lose no link, the members of a key outside its largest component are then compared with all
@@ -35,7 +35,8 @@ from ._words import mix64, word_hashes
 REGISTERS, BAND, MANTISSA = 128, 4, 10
 #: Largest set with permutation registers, and smallest set with range registers.
 MOST_PERMUTED, LEAST_RANGED = 640, 512
-LEADERS = 6
+#: Leaders of a key, and likeliest partners of a class that are confirmed first.
+LEADERS, TRIED = 8, 6
 #: Chance that unequal least hashes of similar-sized sets share a register (Yu and Weber 2020).
 COLLISION = 0.1699919487 / (1 << MANTISSA)
 
@@ -169,7 +170,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     # The likeliest partners of either side suffice to form the components.
     best = Window.partitionBy("x").orderBy(F.col("est").desc(), "y")
     other = Window.partitionBy("y").orderBy(F.col("est").desc(), "x")
-    tried = stage(first.withColumn("r", F.row_number().over(best)).withColumn("s", F.row_number().over(other)).where("r <= 2 or s <= 2").select("x", "y"), "pairs")
+    tried = stage(first.withColumn("r", F.row_number().over(best)).withColumn("s", F.row_number().over(other)).where(f"r <= {TRIED} or s <= {TRIED}").select("x", "y"), "pairs")
     links = stage(_confirmed(docs, sketched, tried, k, num, den), "links")
 
     roots = components(links, "x", "y")

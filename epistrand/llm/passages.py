@@ -117,7 +117,7 @@ def align(d: np.ndarray, a: np.ndarray, diagonal: int, least: int, similarity: f
     order = np.argsort(ha, kind="stable")
     low, high = np.searchsorted(ha[order], hd, "left"), np.searchsorted(ha[order], hd, "right")
     at = np.flatnonzero(high > low)
-    if not len(at):
+    if len(at) < similarity * (least - K + 1):  # too few for any passage
         return []
     near = order[low[at]]
     for x in np.flatnonzero(high[at] - low[at] > 1).tolist():
