@@ -41,17 +41,18 @@ def base_counts(reads: DataFrame, variants: DataFrame) -> DataFrame:
 
     Reads meet variants on (chromosome, bin); few variants are broadcast. Uncovered variants have zeros.
     """
-    v = variants.select("name", "seqnames", F.col("pos").alias("vpos"), F.floor(F.col("pos") / BIN).alias("vbin"))
+    # Alleles of one site share a name and a position, so counts are made by position.
+    v = variants.select(F.col("seqnames").alias("vchr"), F.col("pos").alias("vpos"), F.floor(F.col("pos") / BIN).alias("vbin")).distinct()
     end = F.col("start") + F.length("seq") - 1
     r = reads.select("rname", "strand", "start", "seq", "pass", end.alias("end"))
     r = r.withColumn("bin", F.explode(F.sequence(F.floor(F.col("start") / BIN), F.floor(F.col("end") / BIN))))
     if v.limit(BROADCAST_VARIANTS + 1).count() <= BROADCAST_VARIANTS:
         v = F.broadcast(v)
-    j = r.join(v, (F.col("rname") == F.col("seqnames")) & (F.col("bin") == F.col("vbin")) & F.col("vpos").between(F.col("start"), F.col("end")))
-    j = j.select("name", "pass", "strand", F.expr("substring(seq, vpos - start + 1, 1)").alias("base"))
+    j = r.join(v, (F.col("rname") == F.col("vchr")) & (F.col("bin") == F.col("vbin")) & F.col("vpos").between(F.col("start"), F.col("end")))
+    j = j.select("vchr", "vpos", "pass", "strand", F.expr("substring(seq, vpos - start + 1, 1)").alias("base"))
     counts = [F.count_if((F.col("pass") == (m == "M")) & ((F.col("strand") != "-") == (s == "+")) & (F.col("base") == b)).alias(f"{m}{s}{b}") for m, s in _GROUPS for b in "ACGT"]
-    g = j.groupBy("name").agg(*counts)
-    out = variants.join(g, "name", "left")
+    g = j.groupBy("vchr", "vpos").agg(*counts)
+    out = variants.join(g, (variants["seqnames"] == g["vchr"]) & (variants["pos"] == g["vpos"]), "left")
     return out.select(*variants.columns, *[F.coalesce(F.col(f"`{m}{s}{b}`"), F.lit(0)).alias(f"{m}{s}{b}") for m, s in _GROUPS for b in "ACGT"])
 
 
