@@ -14,12 +14,19 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """Rows dealt over all cores if the scan has few splits: the reader can't split a row group, so most may be empty."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < 4 * n else df
+
+
 def letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """templid, rname, strand, start, t: whole texts as lower-case letters and ``-``."""
     t = F.regexp_replace(F.translate("text", UPPER, LOWER), "[^a-z]", "-")
     strand = F.when(F.col("doc_id") % 2 == 0, "+").otherwise("-")
     start = (F.lit(1) + (F.col("doc_id") * 37) % SPAN).cast("int")
-    return _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("templid"), F.col("lang").alias("rname"), strand.alias("strand"), start.alias("start"), t.alias("t")).where("t <> ''")
+    docs = _spread(_table(spark, sf_dir, "documents").select("doc_id", "lang", "text").where("text <> ''"))
+    return docs.select(F.col("doc_id").alias("templid"), F.col("lang").alias("rname"), strand.alias("strand"), start.alias("start"), t.alias("t"))
 
 
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
