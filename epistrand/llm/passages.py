@@ -187,9 +187,10 @@ def find(docs: DataFrame, least: int = 50, similarity: float = 0.8) -> DataFrame
                 return
             ends = sorted((int(rows[c[0], 2]), int(rows[c[-1], 2]), int(rows[c[0], 3]), int(rows[c[-1], 3])) for c in chains(rows[:, 2], rows[:, 3]))
             merged: list[list[int]] = []
-            for d0, d1, a0, a1 in ends:  # chains on nearly one diagonal that context would join are one stretch
-                if merged and d0 - merged[-1][1] <= 2 * CONTEXT and abs((a0 - d0) - (merged[-1][3] - merged[-1][1])) <= CONTEXT // 2 and a0 > merged[-1][2]:
-                    merged[-1][1], merged[-1][3] = max(d1, merged[-1][1]), max(a1, merged[-1][3])
+            for d0, d1, a0, a1 in ends:  # chains that context would join, on nearly one diagonal or over the same words of the other, are one stretch
+                near = bool(merged) and d0 - merged[-1][1] <= 2 * CONTEXT
+                if near and (abs((a0 - d0) - (merged[-1][3] - merged[-1][1])) <= CONTEXT // 2 and a0 > merged[-1][2] or merged[-1][2] - CONTEXT // 2 <= a0 and a1 <= merged[-1][3] + CONTEXT // 2):
+                    merged[-1] = [merged[-1][0], max(d1, merged[-1][1]), min(a0, merged[-1][2]), max(a1, merged[-1][3])]
                 else:
                     merged.append([d0, d1, a0, a1])
             out += [(rows[0, 0], rows[0, 1], d0, d1 + K - 1, a0, a1 + K - 1) for d0, d1, a0, a1 in merged]
