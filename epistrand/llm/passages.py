@@ -124,26 +124,44 @@ def align(d: np.ndarray, a: np.ndarray, diagonal: int, least: int, similarity: f
         i = int(at[x])
         places = order[low[i] : high[i]]
         near[x] = places[np.abs(places - (i + diagonal)).argmin()]
+    lines = chains(at, near)
     mate = np.full(len(hd), -1, np.int64)
-    for c in chains(at, near):
+    for c in lines:
         fresh = c[mate[at[c]] < 0]
         mate[at[fresh]] = near[fresh]
+    out, short = _scored(mate, least, similarity)
+    for s, e in short:  # the whole falls short; one of its chains or an exact run may not
+        for c in lines:
+            c = c[(at[c] >= s) & (at[c] < e)]
+            if len(c) >= similarity * (least - K + 1):
+                own = np.full(len(hd), -1, np.int64)
+                own[at[c]] = near[c]
+                out += _scored(own, least, similarity)[0]
+        hit = mate[s:e] >= 0
+        edge = np.flatnonzero(np.diff(np.concatenate([[0], (hit & np.concatenate([[True], np.diff(mate[s:e]) == 1])).astype(int), [0]])))
+        for x, y in zip(edge[::2], edge[1::2], strict=True):
+            x = max(0, x - 1) if x > 0 and hit[x - 1] else x
+            if y - x + K - 1 >= least:
+                out.append((s + x, s + y + K - 2, int(mate[s + x]), int(mate[s + y - 1]) + K - 1, 1.0))
+    return out
+
+
+def _scored(mate: np.ndarray, least: int, similarity: float) -> tuple[list[tuple[int, int, int, int, float]], list[tuple[int, int]]]:
+    """The passages among the maximal-scoring segments of shingles with a mate, and the (start, end) of long segments that fall short."""
     hit = mate >= 0
-    out = []
+    out, short = [], []
     for s, e, _ in segments(np.where(hit, 1.0, -similarity / (1 - similarity) - 1e-9)):
         n, m = e - s, int(hit[s:e].sum())
+        if n + K - 1 < least:
+            continue
         mates = mate[s:e][hit[s:e]]
         other = int(mates.max() - mates.min()) + 1
         share = m / max(1, n + max(other, m) - m)
-        if n + K - 1 >= least and share >= similarity:
+        if share >= similarity:
             out.append((s, e + K - 2, int(mates.min()), int(mates.max()) + K - 1, share))
-        elif n + K - 1 >= least:  # the whole falls short; its exact runs may not
-            edge = np.flatnonzero(np.diff(np.concatenate([[0], (hit[s:e] & np.concatenate([[True], np.diff(mate[s:e]) == 1])).astype(int), [0]])))
-            for x, y in zip(edge[::2], edge[1::2], strict=True):
-                x = max(0, x - 1) if x > 0 and hit[s + x - 1] else x
-                if y - x + K - 1 >= least:
-                    out.append((s + x, s + y + K - 2, int(mate[s + x]), int(mate[s + y - 1]) + K - 1, 1.0))
-    return out
+        else:
+            short.append((s, e))
+    return out, short
 
 
 def _doc(docs: DataFrame) -> Column:
