@@ -39,6 +39,8 @@ K, WINDOW = 5, 16
 SEED, GAP = 8.0, 0.05
 #: Words around a chain that are aligned too.
 CONTEXT = 60
+#: A seed with more rows than this, and than one of ``SHARES`` equal parts of all rows, is split; so at most ``SHARES`` seeds are.
+LEAST_SHARE, SHARES = 5_000, 100_000
 
 
 def shingles(w: np.ndarray, k: int = K) -> np.ndarray:
@@ -192,9 +194,15 @@ def find(docs: DataFrame, least: int = 50, similarity: float = 0.8) -> DataFrame
     """(doc_id, other_id, first_word, last_word, other_first, other_last, similarity): passages of ``least`` or more
     words that a document shares with an earlier one, as word positions from 0, ends inclusive."""
     s = stage(seeds(docs, least), "seeds")
-    first = s.groupBy("seed").agg(F.min(F.struct("doc", "pos")).alias("a"), F.max("doc").alias("m")).where(F.col("a.doc") < F.col("m"))
-    first = first.select("seed", F.col("a.doc").alias("other"), F.col("a.pos").alias("at"))
-    matches = s.join(first, "seed").where(F.col("doc") > F.col("other")).select("doc", "other", "pos", "at")
+    first = s.groupBy("seed").agg(F.min(F.struct("doc", "pos")).alias("a"), F.max("doc").alias("m"), F.count("*").alias("n")).where(F.col("a.doc") < F.col("m"))
+    first = stage(first.select("seed", F.col("a.doc").alias("other"), F.col("a.pos").alias("at"), "n"), "first")
+    # A seed may hold a third of all rows: rows of frequent seeds are dealt over as many salts as they fill shares.
+    share = max(LEAST_SHARE, s.count() // SHARES)
+    hot = first.where(F.col("n") > share).select("seed", F.ceil(F.col("n") / share).cast("int").alias("salts"))
+    salted = lookup(s, hot, "seed").select("seed", "doc", "pos", F.coalesce(F.pmod(F.xxhash64("doc", "pos"), "salts"), F.lit(0)).cast("int").alias("salt"))
+    salts = F.when(F.col("n") > share, F.ceil(F.col("n") / share)).otherwise(1).cast("int")
+    dealt = first.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).select("seed", "salt", "other", "at")
+    matches = salted.join(dealt, ["seed", "salt"]).where(F.col("doc") > F.col("other")).select("doc", "other", "pos", "at")
     matches = matches.repartition("doc", "other").sortWithinPartitions("doc", "other", "pos", "at")
 
     def chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
