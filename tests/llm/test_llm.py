@@ -176,6 +176,26 @@ def test_passages(spark, docs, empty):
     assert passages.remove(docs, found).columns == docs.columns and passages.find(empty).count() == 0
 
 
+def test_passages_of_repeated_lines_and_frequent_seeds(spark, monkeypatch):
+    r = random.Random(8)
+    line, passage = text(12, r), text(60, r)
+    rows = [(i, " ".join([text(30, r), *[line] * (6 + i % 7), text(25, r), passage, text(20, r)])) for i in range(20)]
+    rows += [(100 + i, text(200, r)) for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    plain = sorted(map(tuple, passages.find(docs).collect()))
+    monkeypatch.setattr(passages, "LEAST_SHARE", 3)
+    monkeypatch.setattr(passages, "SHARES", 10**9)
+    assert sorted(map(tuple, passages.find(docs).collect())) == plain
+    gone = {}
+    for d, _, s, e, *_ in plain:
+        gone.setdefault(d, set()).update(range(s, e + 1))
+    assert set(gone) == set(range(1, 20))  # the first holder and the unrelated documents are left alone
+    for i in range(1, 20):
+        lines = 30 + 12 * (6 + i % 7)
+        assert set(range(30, lines)) <= gone[i] and set(range(lines + 25, lines + 85)) <= gone[i]
+        assert len(gone[i]) <= 12 * (6 + i % 7) + 60
+
+
 def test_chaining_finds_the_best_line():
     p = np.array([1, 2, 3, 4, 5, 6])
     a = np.array([10, 50, 11, 12, 51, 13])
