@@ -36,10 +36,9 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are repeated or left out so that sources meet their target weights."""
-    mixed = mixing.mix(docs).where("copies != 1").select(F.col("doc_id").alias("__id"), F.col("copies").alias("__copies"))
-    times = F.coalesce(F.col("__copies"), F.lit(1)).cast("int")
-    joined = docs.join(mixed, docs["doc_id"].eqNullSafe(mixed["__id"]), "left").where(times > 0)
-    return joined.withColumn("__n", F.explode(F.array_repeat(F.lit(0), times))).select(*[docs[c] for c in docs.columns])
+    rows = docs.select(F.struct(*docs.columns).alias("__row"), "source", "text")  # whole rows, since ids may be null or repeated
+    mixed = mixing.mix(rows, keep=["__row"]).where("copies > 0")
+    return mixed.withColumn("__n", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select("__row.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
