@@ -11,6 +11,11 @@
    shared shingles are chained again, and maximal-scoring segments of aligned shingles with at least
    ``least`` words and a shingle similarity of ``similarity`` or more are the passages.
 
+5. What is left open is compared without the limit of step 2. A passage holds an unbroken run of 25
+   words at least, so it holds one of the 20-word runs that are least in a window of 6. Such a run
+   with a word that no passage covers yet is joined to all its places in all earlier documents,
+   and the stretches there, even single runs, go through step 4.
+
 ``remove`` cuts every passage from the later document; its first occurrence stays.
 
 Nulls: a null text has no passage; a null id counts as a document of its own (by a hash of the text).
@@ -29,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
+from pyspark.sql.window import Window
 
 from ._common import lookup, stage
 from ._words import hashed, mix64, word_hashes
@@ -39,6 +45,9 @@ K, WINDOW = 5, 16
 SEED, GAP = 8.0, 0.05
 #: Words around a chain that are aligned too.
 CONTEXT = 60
+#: Doublings of a shingle that make a long run (K - 1 + 2**DOUBLINGS words), and the window that its minimisers are taken in.
+DOUBLINGS, LONG_WINDOW = 4, 6
+LONG = K - 1 + 2**DOUBLINGS
 #: A seed with more rows than this, and than one of ``SHARES`` equal parts of all rows, is split; so at most ``SHARES`` seeds are.
 LEAST_SHARE, SHARES = 5_000, 100_000
 
@@ -63,6 +72,13 @@ def minimisers(h: np.ndarray, window: int = WINDOW) -> np.ndarray:
     return np.unique(np.concatenate(out))
 
 
+def long_runs(h: np.ndarray) -> np.ndarray:
+    """Hashes of the runs of ``LONG`` words, from shingles."""
+    for i in range(DOUBLINGS):
+        h = mix64(h[: max(0, len(h) - 2**i)]) * np.uint64(0x9E3779B97F4A7C15) + h[2**i :]
+    return mix64(h)
+
+
 def chains(p: np.ndarray, a: np.ndarray) -> list[np.ndarray]:
     """Index arrays of disjoint chains of matches (p, a), sorted by p; both positions rise along a chain."""
     if len(p) == 0:
@@ -203,15 +219,64 @@ def find(docs: DataFrame, least: int = 50, similarity: float = 0.8) -> DataFrame
     salts = F.when(F.col("n") > share, F.ceil(F.col("n") / share)).otherwise(1).cast("int")
     dealt = first.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).select("seed", "salt", "other", "at")
     matches = salted.join(dealt, ["seed", "salt"]).where(F.col("doc") > F.col("other")).select("doc", "other", "pos", "at")
-    matches = matches.repartition("doc", "other").sortWithinPartitions("doc", "other", "pos", "at")
+    found = stage(_passages(docs, matches, least, similarity, ["pos", "at"], K), "passages")
+    more = _passages(docs, _open_matches(docs, found, least), least, similarity, ["d0", "d1", "a0", "a1"], LONG)
+    return found.union(more).dropDuplicates(["doc_id", "other_id", "first_word", "last_word"])
+
+
+def _open_matches(docs: DataFrame, found: DataFrame, least: int) -> DataFrame:
+    """(doc, other, d0, d1, a0, a1): the places of long runs of ``doc`` with a word outside ``found``, with all their places in earlier documents."""
+    spans = stage(found.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set(F.struct(F.col("first_word").cast("int").alias("s"), F.col("last_word").cast("int").alias("e"))).alias("spans")), "covered")
+    texts = lookup(docs.select(_doc(docs).alias("doc"), "text"), spans, F.col("doc") == F.col("_id"), "left").select("doc", "text", "spans")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, pos, key, left = [], [], [], []
+            for i, text, covered in zip(*(b.column(c).to_pylist() for c in ("doc", "text", "spans")), strict=True):
+                w = word_hashes(text or "")
+                if len(w) >= max(least, LONG):
+                    h = long_runs(shingles(w))
+                    at = minimisers(h, LONG_WINDOW)
+                    bare = np.ones(len(w), np.int64)
+                    for x in covered or ():
+                        bare[x["s"] : x["e"] + 1] = 0
+                    upto = np.concatenate([[0], np.cumsum(bare)])
+                    ids.append(np.full(len(at), i, np.int64))
+                    pos.append(at.astype(np.int32))
+                    key.append(h[at].view(np.int64))
+                    left.append(upto[at + LONG] > upto[at])
+            if ids:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ids, pos, key, left)], ["doc", "pos", "run", "open"])
+
+    runs = stage(texts.mapInArrow(run, "doc long, pos int, run long, open boolean"), "runs")
+    wanted = runs.groupBy("run").agg(F.min("doc").alias("a"), F.max(F.when(F.col("open"), F.col("doc"))).alias("m"), F.count("*").alias("n")).where(F.col("a") < F.col("m"))
+    wanted = stage(wanted.select("run", "n"), "wanted")
+    held = stage(lookup(runs, wanted, "run", "inner"), "held")
+    # Places of a run that context would join count as one, so a line repeated in both documents costs one row.
+    inside = Window.partitionBy("run", "doc").orderBy("pos")
+    places = held.withColumn("far", (F.col("pos") - F.lag("pos", 1, -3 * CONTEXT).over(inside) > 2 * CONTEXT).cast("int"))
+    places = places.withColumn("place", F.sum("far").over(inside)).groupBy("run", "doc", "place").agg(F.min("pos").alias("lo"), F.max("pos").alias("hi"), F.max("open").alias("open"), F.first("n").alias("n"))
+    # Rows of a frequent run are dealt over as many salts as they fill shares; each salt sees all earlier places.
+    salts = F.ceil(F.col("n") / LEAST_SHARE).cast("int")
+    later = places.where("open").select("run", "doc", F.col("lo").alias("d0"), F.col("hi").alias("d1"), F.pmod(F.xxhash64("doc", "lo"), salts).cast("int").alias("salt"))
+    earlier = places.select("run", F.col("doc").alias("other"), F.col("lo").alias("a0"), F.col("hi").alias("a1"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    return later.join(earlier, ["run", "salt"]).where(F.col("doc") > F.col("other")).select("doc", "other", "d0", "d1", "a0", "a1")
+
+
+def _passages(docs: DataFrame, matches: DataFrame, least: int, similarity: float, ends_of: list[str], words: int) -> DataFrame:
+    """The passages around ``matches`` (doc, other, ``ends_of``) of ``words`` words: positions to chain (pos, at), or stretches as they are (d0, d1, a0, a1)."""
+    matches = matches.repartition("doc", "other").sortWithinPartitions("doc", "other", *ends_of)
 
     def chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[np.ndarray] = []
 
         def finish(rows: np.ndarray, out: list) -> None:
-            if len(rows) < 2:
+            if len(ends_of) == 4:
+                ends = sorted(set(map(tuple, rows[:, 2:].tolist())))
+            elif len(rows) < 2:
                 return
-            ends = sorted((int(rows[c[0], 2]), int(rows[c[-1], 2]), int(rows[c[0], 3]), int(rows[c[-1], 3])) for c in chains(rows[:, 2], rows[:, 3]))
+            else:
+                ends = sorted((int(rows[c[0], 2]), int(rows[c[-1], 2]), int(rows[c[0], 3]), int(rows[c[-1], 3])) for c in chains(rows[:, 2], rows[:, 3]))
             merged: list[list[int]] = []
             for d0, d1, a0, a1 in ends:  # chains that context would join, on nearly one diagonal or over the same words of the other, are one stretch
                 near = bool(merged) and d0 - merged[-1][1] <= 2 * CONTEXT
@@ -219,13 +284,13 @@ def find(docs: DataFrame, least: int = 50, similarity: float = 0.8) -> DataFrame
                     merged[-1] = [merged[-1][0], max(d1, merged[-1][1]), min(a0, merged[-1][2]), max(a1, merged[-1][3])]
                 else:
                     merged.append([d0, d1, a0, a1])
-            out += [(rows[0, 0], rows[0, 1], d0, d1 + K - 1, a0, a1 + K - 1) for d0, d1, a0, a1 in merged]
+            out += [(rows[0, 0], rows[0, 1], d0, d1 + words - 1, a0, a1 + words - 1) for d0, d1, a0, a1 in merged]
 
         def frame(out: list) -> pd.DataFrame:
             return pd.DataFrame(np.array(out, np.int64).reshape(-1, 6), columns=["doc", "other", "d0", "d1", "a0", "a1"])
 
         for b in batches:
-            rows = b[["doc", "other", "pos", "at"]].to_numpy(np.int64)
+            rows = b[["doc", "other", *ends_of]].to_numpy(np.int64)
             if not len(rows):
                 continue
             cut = np.flatnonzero((rows[1:, :2] != rows[:-1, :2]).any(axis=1)) + 1
@@ -240,7 +305,7 @@ def find(docs: DataFrame, least: int = 50, similarity: float = 0.8) -> DataFrame
                 elif x == 0 and held:
                     finish(np.concatenate([*held, rows[x:y]]), out)
                     held = []
-                elif y - x > 1:
+                else:
                     finish(rows[x:y], out)
             yield frame(out)
         if held:

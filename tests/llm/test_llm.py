@@ -196,6 +196,25 @@ def test_passages_of_repeated_lines_and_frequent_seeds(spark, monkeypatch):
         assert len(gone[i]) <= 12 * (6 + i % 7) + 60
 
 
+def test_passages_split_among_earlier_documents(spark):
+    r = random.Random(9)
+    a, b, c = text(30, r), text(30, r), text(25, r)
+    edited = (a + " " + b).split()
+    edited[30] = "changed"
+    rows = [(1, text(40, r) + " " + a + " " + text(40, r)), (2, text(50, r) + " " + b + " " + text(20, r))]
+    rows += [(5, text(35, r) + " " + a + " " + b + " " + text(30, r)), (9, text(25, r) + " " + a + " " + b + " " + text(45, r))]
+    rows += [(11, text(15, r) + " " + " ".join(edited) + " " + text(33, r))]
+    rows += [(20 + i, text(40, r) + " " + c + " " + text(40, r)) for i in range(6)]  # too short for a passage
+    rows += [(30, text(70, r) + " " + " ".join(rows[0][1].split()[20:95]))]  # mostly held by document 1, and the end is part of 40
+    rows[-1] = (30, rows[-1][1] + " " + b)
+    rows += [(40, text(20, r) + " " + " ".join(rows[-1][1].split()[-60:]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    gone = {}
+    for d, _, s, e, *_ in passages.find(docs).collect():
+        gone.setdefault(d, set()).update(range(s, e + 1))
+    assert gone == {9: set(range(25, 85)), 11: set(range(15, 75)), 30: set(range(70, 145)), 40: set(range(20, 80))}
+
+
 def test_chaining_finds_the_best_line():
     p = np.array([1, 2, 3, 4, 5, 6])
     a = np.array([10, 50, 11, 12, 51, 13])
