@@ -123,11 +123,12 @@ def chains(p: np.ndarray, a: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def align(d: np.ndarray, a: np.ndarray, diagonal: int, least: int, similarity: float) -> list[tuple[int, int, int, int, float]]:
+def align(d: np.ndarray, a: np.ndarray, diagonal: int, least: int, similarity: float, parts: tuple = ()) -> list[tuple[int, int, int, int, float]]:
     """(first, last, other first, other last, similarity) of the passages shared by two word-hash arrays; ends are inclusive.
 
     ``diagonal`` is where the chain stands: position in ``a`` less position in ``d``. A shingle that
-    repeats in ``a`` is matched to its occurrence nearest to that.
+    repeats in ``a`` is matched to its occurrence nearest to that. ``parts`` are the chains (first, last, other first,
+    other last) that were merged into the stretch: where it falls short, each is aligned alone, on its own diagonal.
     """
     hd, ha = shingles(d), shingles(a)
     if not len(hd) or not len(ha):
@@ -148,6 +149,11 @@ def align(d: np.ndarray, a: np.ndarray, diagonal: int, least: int, similarity: f
         fresh = c[mate[at[c]] < 0]
         mate[at[fresh]] = near[fresh]
     out, short = _scored(mate, least, similarity)
+    for d0, d1, a0, a1 in parts:
+        if any(d0 < e + K and d1 >= s for s, e in short):
+            x, y = max(0, d0 - CONTEXT), max(0, a0 - CONTEXT)
+            own = align(d[x : d1 + 1 + CONTEXT], a[y : a1 + 1 + CONTEXT], (a0 - y) - (d0 - x), least, similarity)
+            out += [(x + s, x + e, y + t, y + u, v) for s, e, t, u, v in own]
     for s, e in short:  # the whole falls short; one of its chains or an exact run may not
         for c in lines:
             c = c[(at[c] >= s) & (at[c] < e)]
@@ -277,17 +283,19 @@ def _passages(docs: DataFrame, matches: DataFrame, least: int, similarity: float
                 return
             else:
                 ends = sorted((int(rows[c[0], 2]), int(rows[c[-1], 2]), int(rows[c[0], 3]), int(rows[c[-1], 3])) for c in chains(rows[:, 2], rows[:, 3]))
-            merged: list[list[int]] = []
+            merged: list[list] = []
             for d0, d1, a0, a1 in ends:  # chains that context would join, on nearly one diagonal or over the same words of the other, are one stretch
                 near = bool(merged) and d0 - merged[-1][1] <= 2 * CONTEXT
                 if near and (abs((a0 - d0) - (merged[-1][3] - merged[-1][1])) <= CONTEXT // 2 and a0 > merged[-1][2] or merged[-1][2] - CONTEXT // 2 <= a0 and a1 <= merged[-1][3] + CONTEXT // 2):
-                    merged[-1] = [merged[-1][0], max(d1, merged[-1][1]), min(a0, merged[-1][2]), max(a1, merged[-1][3])]
+                    merged[-1] = [merged[-1][0], max(d1, merged[-1][1]), min(a0, merged[-1][2]), max(a1, merged[-1][3]), merged[-1][4]]
                 else:
-                    merged.append([d0, d1, a0, a1])
-            out += [(rows[0, 0], rows[0, 1], d0, d1 + words - 1, a0, a1 + words - 1) for d0, d1, a0, a1 in merged]
+                    merged.append([d0, d1, a0, a1, []])
+                merged[-1][4] += [d0, d1 + words - 1, a0, a1 + words - 1]
+            out += [(rows[0, 0], rows[0, 1], d0, d1 + words - 1, a0, a1 + words - 1, parts if len(parts) > 4 else []) for d0, d1, a0, a1, parts in merged]
 
         def frame(out: list) -> pd.DataFrame:
-            return pd.DataFrame(np.array(out, np.int64).reshape(-1, 6), columns=["doc", "other", "d0", "d1", "a0", "a1"])
+            f = pd.DataFrame(np.array([x[:6] for x in out], np.int64).reshape(-1, 6), columns=["doc", "other", "d0", "d1", "a0", "a1"])
+            return f.assign(parts=pd.Series([x[6] for x in out], dtype=object))
 
         for b in batches:
             rows = b[["doc", "other", *ends_of]].to_numpy(np.int64)
@@ -313,11 +321,12 @@ def _passages(docs: DataFrame, matches: DataFrame, least: int, similarity: float
             finish(np.concatenate(held), out)
             yield frame(out)
 
-    spans = matches.mapInPandas(chain, "doc long, other long, d0 long, d1 long, a0 long, a1 long")
+    spans = matches.mapInPandas(chain, "doc long, other long, d0 long, d1 long, a0 long, a1 long, parts array<long>")
     spans = stage(spans.withColumn("chain", F.xxhash64("doc", "other", "d0", "a0")), "chains")
     own = _slices(docs, spans.select("chain", F.col("doc").alias("of"), "d0", "d1"))
     other = _slices(docs, spans.select("chain", F.col("other").alias("of"), F.col("a0").alias("d0"), F.col("a1").alias("d1")))
     sides = own.select("chain", F.col("of").alias("doc"), F.col("lo").alias("d_lo"), F.col("w").alias("d"), F.col("first").alias("d_first")).join(other.select("chain", F.col("of").alias("other"), F.col("lo").alias("a_lo"), F.col("w").alias("a"), F.col("first").alias("a_first")), "chain")
+    sides = lookup(sides, spans.where(F.size("parts") > 0).select("chain", "parts"), "chain")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "other_id", "first_word", "last_word", "other_first", "other_last"]
@@ -326,7 +335,9 @@ def _passages(docs: DataFrame, matches: DataFrame, least: int, similarity: float
             for r in range(b.num_rows):
                 d, a = (np.asarray(b.column(c)[r].values.to_numpy(zero_copy_only=False)).astype(np.uint64) for c in ("d", "a"))
                 i, j, x, y, p, q = (b.column(c)[r].as_py() for c in ("doc", "other", "d_lo", "a_lo", "d_first", "a_first"))
-                out += [(i, j, x + s, x + e, y + t, y + u, v) for s, e, t, u, v in align(d, a, (q - y) - (p - x), least, similarity)]
+                at = b.column("parts")[r].as_py() or []
+                parts = tuple((at[c] - x, at[c + 1] - x, at[c + 2] - y, at[c + 3] - y) for c in range(0, len(at), 4))
+                out += [(i, j, x + s, x + e, y + t, y + u, v) for s, e, t, u, v in align(d, a, (q - y) - (p - x), least, similarity, parts)]
             cols = list(zip(*out, strict=True)) if out else [()] * 7
             yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in cols[:6]], pa.array(cols[6], pa.float64())], [*names, "similarity"])
 

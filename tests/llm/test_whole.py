@@ -2,6 +2,10 @@
 
 from collections import Counter
 
+import numpy as np
+
+from epistrand.llm import passages
+
 DOCS = "doc_id long, text string, source string"
 
 
@@ -16,3 +20,15 @@ def test_mix_of_null_and_repeated_ids(spark):
     assert set(got) <= set(rows) and max(got.values()) <= 2
     words = sum(n * len(t.split()) for (_, t, _), n in got.items())
     assert abs(words - 1.5 * sum(len(t.split()) for _, t, _ in rows)) <= 150
+
+
+def test_merged_chains_keep_their_diagonals():
+    r = np.random.default_rng(2)
+    w = r.integers(1, 2**31, 400).astype(np.uint64)
+    # The passage stands at 300 of the other document; its halves also stand apart, nearer to the stretch's diagonal.
+    p = w[:60]
+    a = np.concatenate([p[:30], w[100:180], p[30:], w[200:330], p, w[340:360]])
+    d = np.concatenate([w[60:80], p, w[80:100]])
+    assert not passages.align(d, a, -20, 50, 0.8)
+    own = passages.align(d, a, -20, 50, 0.8, ((20, 49, 0, 29), (20, 79, 270, 329)))
+    assert {x for f, e, *_ in own for x in range(f, e + 1)} >= set(range(20, 80))
