@@ -31,9 +31,8 @@ from pyspark.sql.types import StructField, StructType
 
 from ._common import stage
 
-#: Labelled documents to learn from, and tokens in the model, at most.
+#: Labelled documents to learn from, at most.
 MAX_LABELLED = 40_000
-MAX_TOKENS = 50_000
 MEMO = 300_000
 PREFIXES = (7, 6, 5, 4, 3)
 _STRIP = ".,;:!?|#*%$&\"'()[]{}<>-"
@@ -193,10 +192,15 @@ def fit(docs: DataFrame, sample: DataFrame) -> Model:
     n = {r[0]: r[1] for r in rows.groupBy("label").agg(F.count("*")).collect()}
     if not n.get(1) or not n.get(0):
         return Model(Lexicon({}, {}, 0, 0), weights=(-500.0, 0.0, 0.0, 0.0))
-    top = _count(rows.where("label = 1"), None).where("n >= 3").orderBy(F.col("n").desc(), "token").limit(MAX_TOKENS)
-    toxic = {r[0]: r[1] for r in top.collect()}
-    other = {r[0]: r[1] for r in _count(rows.where("label = 0"), toxic).collect()}
-    lexicon = Lexicon(toxic, other, n[1], n[0])
+    by_token = _count(rows.where("label = 1"), None).where("n >= 3").withColumnRenamed("n", "a")
+    by_token = by_token.join(_count(rows.where("label = 0"), None).withColumnRenamed("n", "b"), "token", "left").select("token", "a", F.coalesce("b", F.lit(0)).alias("b"))
+    blank = Lexicon({}, {}, n[1], n[0])
+    pseudo = 0.5 + blank.prior * (F.col("a") + F.col("b")) / (n[1] + n[0])
+    odds = F.log((F.col("a") + pseudo) / (n[1] + blank.prior)) - F.log((F.col("b") + pseudo) / (n[0] + blank.prior))
+    llr = odds - F.sqrt(1 / (F.col("a") + pseudo) + 1 / (F.col("b") + pseudo))  # as Lexicon.llr, which decides below
+    passing = by_token.where(llr >= blank.least_llr - 1 - 1e-6).collect()
+    lexicon = Lexicon({r[0]: r[1] for r in passing}, {r[0]: r[2] for r in passing if r[2]}, n[1], n[0])
+    toxic, other = lexicon.toxic, lexicon.other
     keep = {t for t in toxic if lexicon.llr(t) >= lexicon.least_llr - 1}
     lexicon = Lexicon({t: toxic[t] for t in keep}, {t: other[t] for t in keep if t in other}, n[1], n[0])
 

@@ -4,7 +4,7 @@ from collections import Counter
 
 import numpy as np
 
-from epistrand.llm import passages
+from epistrand.llm import passages, toxicity
 
 DOCS = "doc_id long, text string, source string"
 
@@ -32,3 +32,11 @@ def test_merged_chains_keep_their_diagonals():
     assert not passages.align(d, a, -20, 50, 0.8)
     own = passages.align(d, a, -20, 50, 0.8, ((20, 49, 0, 29), (20, 79, 270, 329)))
     assert {x for f, e, *_ in own for x in range(f, e + 1)} >= set(range(20, 80))
+
+
+def test_toxic_words_are_kept_by_log_odds(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "MAX_TOKENS", 5, raising=False)
+    rows = [(i, "the and of to in is " + ("vilex " if i < 20 else "") + f"{i}") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sample = spark.createDataFrame([(i, int(i < 60)) for i in range(400)], "_id long, label int")
+    assert "vilex" in toxicity.fit(docs, sample).lexicon.toxic
