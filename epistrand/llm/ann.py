@@ -10,8 +10,7 @@
    (ADSampling, Gao and Long 2023). Survivors are scored on original vectors in double precision.
 
 Nulls: vectors that are null, zero, or hold null or non-finite numbers take no part, as queries or
-as candidates, and so do rows without an id. Vectors of a length other than the commonest take no
-part. Rows with the query's own id are never its neighbours. Ties go to the smaller id. Repeated
+as candidates, and so do rows without an id. Vectors of each length are searched apart. Rows with the query's own id are never its neighbours. Ties go to the smaller id. Repeated
 rows: a neighbour's id may then repeat. An empty table gives no rows.
 """
 
@@ -95,12 +94,15 @@ def search(vectors: DataFrame, queries: F.Column, k: int = 20, recall: float = 0
     spark = vectors.sparkSession
     rows = vectors.select(F.col("vec_id"), F.col("embedding").cast("array<double>").alias("v"), queries.alias("is_query")).where(is_valid("v") & F.col("vec_id").isNotNull())
     rows = stage(rows.withColumn("h", F.xxhash64("vec_id", "v")), "vectors")
-    commonest = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "d").limit(1).collect()
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    if not commonest:
-        return empty
-    d, n = commonest[0]
-    rows = rows.where(F.size("v") == d)
+    lengths = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.count_if("is_query").alias("asked")).where("n > 1 and asked > 0").orderBy("d").collect()
+    out = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for d, n, n_asked in lengths:
+        out = out.union(_search(rows.where(F.size("v") == d), d, n, n_asked, k, recall, lists))
+    return out
+
+
+def _search(rows: DataFrame, d: int, n: int, n_asked: int, k: int, recall: float, lists: int) -> DataFrame:
+    """``search`` among the ``n`` staged rows of length ``d``, of which ``n_asked`` are queries."""
 
     def sampled(df: DataFrame, size: int, of: int) -> DataFrame:
         return df if of <= size else df.where(F.pmod(F.shiftright("h", 3), F.lit(1 << 20)) < int((1 << 20) * size / of) + 1)
@@ -116,9 +118,6 @@ def search(vectors: DataFrame, queries: F.Column, k: int = 20, recall: float = 0
 
     listed = stage(rows.mapInPandas(assign, "vec_id long, v array<double>, is_query boolean, h long, list int"), "listed")
     asked = listed.where("is_query")
-    n_asked = asked.count()
-    if not n_asked:
-        return empty
     probes = _probes(listed, sampled(asked, TUNED, n_asked), centres, k, recall)
 
     sizes = {r[0]: r[1] for r in listed.groupBy("list").agg(F.count("*")).collect()}

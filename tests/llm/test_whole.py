@@ -3,8 +3,9 @@
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from epistrand.llm import passages, toxicity
+from epistrand.llm import ann, passages, toxicity
 
 DOCS = "doc_id long, text string, source string"
 
@@ -40,3 +41,11 @@ def test_toxic_words_are_kept_by_log_odds(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     sample = spark.createDataFrame([(i, int(i < 60)) for i in range(400)], "_id long, label int")
     assert "vilex" in toxicity.fit(docs, sample).lexicon.toxic
+
+
+def test_ann_searches_every_length(spark):
+    r = np.random.default_rng(3)
+    rows = [(i, [float(v) for v in r.normal(size=20 if i < 60 else 18)]) for i in range(100)]
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, k=5, lists=2).collect()
+    assert Counter(g.query_id for g in got) == {q: 5 for q in range(0, 100, 20)}
+    assert all((g.query_id < 60) == (g.vec_id < 60) for g in got)
