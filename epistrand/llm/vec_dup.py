@@ -133,12 +133,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, blocks: int = 4
     rows = stage(rows.select("vec_id", F.when(usable, F.xxhash64("label", "v")).alias("cid"), F.when(usable, F.col("label")).alias("label"), F.when(usable, F.col("v")).alias("v")), "vectors")
     classes = rows.where("cid is not null").groupBy("cid").agg(F.first("label").alias("label"), F.first("v").alias("v"), F.count("*").alias("weight"), F.min("vec_id").alias("id"))
     classes = stage(classes, "classes")
-    dims = [r[0] for r in classes.select(F.size("v").alias("d")).distinct().limit(1000).collect()]
-    found = [_links(classes.where(F.size("v") == d), d, threshold, blocks) for d in dims]
-    part = found[0] if found else spark.createDataFrame([], "cid long, links long, root long")
-    for f in found[1:]:
-        part = part.union(f)
-    part = stage(part, "links")
+    # A class alone in its length has no partner.
+    dims = [r[0] for r in classes.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).where("n > 1").collect()]
+    part = spark.createDataFrame([], "cid long, links long, root long")
+    for d in dims:
+        part = part.union(stage(_links(classes.where(F.size("v") == d), d, threshold, blocks), "links"))
     counts = part.groupBy("cid").agg(F.sum("links").alias("links"))
     roots = components(part.where("root is not null"), "cid", "root")
     per = classes.join(counts, "cid", "left").join(roots.withColumnRenamed("node", "cid"), "cid", "left")

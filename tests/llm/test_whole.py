@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import functions as F
 
-from epistrand.llm import ann, passages, toxicity
+from epistrand.llm import ann, passages, toxicity, vec_dup
 
 DOCS = "doc_id long, text string, source string"
 
@@ -49,3 +49,9 @@ def test_ann_searches_every_length(spark):
     got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, k=5, lists=2).collect()
     assert Counter(g.query_id for g in got) == {q: 5 for q in range(0, 100, 20)}
     assert all((g.query_id < 60) == (g.vec_id < 60) for g in got)
+
+
+def test_vec_dup_compares_every_length(spark):
+    rows = [(n, 1, [1.0] * n) for n in range(1, 1301)] + [(2000 + n, 1, [1.0] * (n - 1) + [1.01]) for n in (900, 1250)]
+    got = {g.vec_id: g.n_links for g in vec_dup.near_duplicates(spark.createDataFrame(rows, "vec_id long, label long, embedding array<double>")).collect()}
+    assert {i for i, n in got.items() if n} == {900, 1250, 2900, 3250}
