@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Most rows that a lookup table may hold to be broadcast; larger ones are joined by shuffle.
-BROADCAST_ROWS = 200_000
+#: Most bytes that a lookup table may fill to be broadcast; larger ones are joined by shuffle.
+BROADCAST_BYTES = 32 << 20
 
 _staged: list[tuple[SparkSession, str]] = []
 
@@ -52,10 +52,25 @@ def _clean() -> None:
             return
 
 
-def lookup(df: DataFrame, small: DataFrame, on: list[str] | str, how: str = "left", most: int = BROADCAST_ROWS) -> DataFrame:
-    """Join ``small`` (a staged or otherwise cheap table) to ``df``; broadcast it only if it has at most ``most`` rows."""
-    few = small.limit(most + 1).count() <= most
-    return df.join(F.broadcast(small) if few else small, on, how)
+def _row_bytes(df: DataFrame) -> Column:
+    """About the bytes that a row fills in memory."""
+    total = F.lit(16)
+    for f in df.schema.fields:
+        kind = f.dataType.simpleString()
+        if kind.startswith(("array", "map")):
+            each = 16 * max(1, kind.count(":"))
+            total = total + 24 + F.coalesce(F.size(f.name), F.lit(0)).cast("long") * each
+        elif kind in ("string", "binary"):
+            total = total + 16 + F.coalesce(F.octet_length(f.name), F.lit(0))
+        else:
+            total = total + 8 * max(1, kind.count(":"))
+    return total
+
+
+def lookup(df: DataFrame, small: DataFrame, on: list[str] | str | Column, how: str = "left", most: int = BROADCAST_BYTES) -> DataFrame:
+    """Join ``small`` (a staged or otherwise cheap table) to ``df``; broadcast it only if it fills at most ``most`` bytes."""
+    held = small.agg(F.coalesce(F.sum(_row_bytes(small)), F.lit(0))).first()[0]
+    return df.join(F.broadcast(small) if held <= most else small, on, how)
 
 
 def held_out_remainder(doc_id: Column, of: int) -> Column:

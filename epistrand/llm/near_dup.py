@@ -8,10 +8,12 @@
 3. Bands of 4 registers give 32 keys a kind; two sets of similarity s share none with probability
    (1 - s^4)^32, 5e-8 at 0.8. Classes that share a key are candidates.
 4. Within a key, every class is first compared with eight leaders only. Candidates whose register
-   agreement, corrected for chance collisions, is five standard errors below the threshold go; the
-   rest are confirmed on full sets. Connected components follow.
-5. To lose no link, the members of a key outside its largest component are then compared with all
-   members of other components there. A group of copies is one component by then and costs nothing.
+   agreement, corrected for chance collisions, is five standard errors below the threshold go (3e-7
+   of the pairs at the threshold itself, fewer above it); the rest are confirmed on full sets. Connected components follow.
+5. To lose no link, members of a key that are still in different components are compared: pair by
+   pair in keys of at most ``FEW`` members, else by an index on their differences from the shingles
+   that most of their group hold (``_by_difference``), which is exact and joins only members that
+   share rare differences. A group of copies is one component by then and costs nothing.
 
 Nulls: a null text, or one without words, has an empty set and is linked with nothing. A null id is
 a document of its own. Equal rows are members of one class. An empty table gives no rows.
@@ -37,6 +39,8 @@ REGISTERS, BAND, MANTISSA = 128, 4, 10
 MOST_PERMUTED, LEAST_RANGED = 640, 512
 #: Leaders of a key, and likeliest partners of a class that are confirmed first.
 LEADERS, TRIED = 8, 6
+#: Members of a key whose pairs are compared one by one; those of larger keys meet by their differences.
+FEW = 16
 #: Chance that unequal least hashes of similar-sized sets share a register (Yu and Weber 2020).
 COLLISION = 0.1699919487 / (1 << MANTISSA)
 
@@ -135,26 +139,87 @@ def _estimated(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
     return est.where(F.col("est") >= least)
 
 
-def _confirmed(docs: DataFrame, sketched: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """The pairs (x, y) of set ids with den * intersection >= num * union, on full sets read again from the texts."""
-    needed = pairs.select(F.col("x").alias("sid")).union(pairs.select(F.col("y").alias("sid"))).distinct()
-    # One document a class stands for it; its set is made anew, so that sets of all documents are never stored.
-    who = stage(sketched.select("sid", "doc_id").join(needed, "sid").groupBy("sid").agg(F.min("doc_id").alias("_id")).select("_id").distinct(), "who")
-    texts = lookup(docs.select("doc_id", "text"), who, F.col("doc_id").eqNullSafe(F.col("_id")), "inner")
+def _sets(docs: DataFrame, sketched: DataFrame, needed: DataFrame, k: int) -> DataFrame:
+    """(sid, items) of the classes in ``needed`` (distinct sid), made anew from one document each, so that sets of all documents are never stored."""
+    who = stage(sketched.select("sid", "doc_id").join(needed, "sid").groupBy("sid").agg(F.min("doc_id").alias("_id")).select("sid", "_id"), "who")
+    id_rows = docs.select(F.col("doc_id").alias("_doc"), "text")
+    texts = lookup(id_rows, who.select("_id").distinct(), F.col("_doc").eqNullSafe(F.col("_id")), "inner")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(t or "", k) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["sid", "items"])
 
-    sets = stage(texts.select("text").mapInArrow(run, "sid long, items array<long>").dropDuplicates(["sid"]), "sets")
+    # Rows of one id may differ in text, so the class asked for is looked up again.
+    made = texts.select("text").mapInArrow(run, "sid long, items array<long>")
+    return stage(made.join(needed, "sid", "left_semi").dropDuplicates(["sid"]), "sets")
+
+
+def _confirmed(docs: DataFrame, sketched: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """The pairs (x, y) of set ids with den * intersection >= num * union, on full sets read again from the texts."""
+    needed = pairs.select(F.col("x").alias("sid")).union(pairs.select(F.col("y").alias("sid"))).distinct()
+    sets = _sets(docs, sketched, needed, k)
     both = pairs.join(sets.select(F.col("sid").alias("x"), F.col("items").alias("p")), "x").join(sets.select(F.col("sid").alias("y"), F.col("items").alias("q")), "y")
     common = F.size(F.array_intersect("p", "q"))
     return both.where(F.lit(den) * common >= F.lit(num) * (F.size("p") + F.size("q") - common)).select("x", "y")
 
 
+def _by_difference(docs: DataFrame, sketched: DataFrame, many: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """(x, y): candidate pairs of different components within each group of ``many`` (grp, sid, root), an index exact for the rest.
+
+    The centre M of a group holds the shingles that more than half of its members hold, and D(x) is
+    the symmetric difference of x and M. Since |x ^ y| = |D(x)| + |D(y)| - 2 |D(x) & D(y)|, two members
+    are linked exactly if they share (w(x) + w(y)) / 2 differences, with w(x) = |D(x)| - c |x| and
+    c = (den - num) / (den + num). So whoever has w(x) + w(y) <= 0 is linked without a look, and also to
+    the member of least w: one pair a member settles all of those. Of the others, one at least is far:
+    w(x) > -w_least. Differences are sorted by how few members have them, and a pair that shares t of
+    them shares one among the first |D| - t + 1 of both (prefix filter), at places that leave room for
+    t. A group of edited copies differs from its centre in edits that few others have, so its members meet seldom.
+    """
+    sets = _sets(docs, sketched, many.select("sid").distinct(), k)
+    of = many.join(sets, "sid")
+    size = many.groupBy("grp").agg(F.count("*").alias("g"))
+    held = of.select("grp", F.explode("items").alias("el")).groupBy("grp", "el").agg(F.count("*").alias("df"))
+    held = stage(lookup(held, size, "grp", "inner"), "held")
+    core = held.where(2 * F.col("df") > F.col("g")).groupBy("grp").agg(F.collect_list("el").alias("centre"))
+    centred = lookup(of, core, "grp", "left").withColumn("centre", F.coalesce("centre", F.array().cast("array<long>")))
+    odd = F.explode_outer(F.array_union(F.array_except("items", "centre"), F.array_except("centre", "items")))
+    odd = centred.select("grp", "sid", "root", F.size("items").alias("n"), odd.alias("el"))
+    rare = held.select("grp", "el", F.when(2 * F.col("df") > F.col("g"), F.col("g") - F.col("df")).otherwise(F.col("df")).alias("f"))
+    c = (den - num) / (den + num)
+    sorted_d = odd.join(rare, ["grp", "el"], "left").groupBy("grp", "sid", "root", "n").agg(F.sort_array(F.collect_list(F.when(F.col("el").isNotNull(), F.struct("f", "el")))).alias("d"))
+    members = stage(sorted_d.withColumn("w", F.size("d") - c * F.col("n")), "differences")
+    least = stage(members.groupBy("grp").agg(F.min(F.struct("w", "sid")).alias("m")).select("grp", F.col("m.w").alias("w_least"), F.col("m.sid").alias("hub")), "hubs")
+    members = lookup(members, least, "grp", "inner")
+    near = F.col("w") + F.col("w_least") <= 1e-9
+    linked = members.where(near & (F.col("sid") != F.col("hub"))).select(F.col("sid").alias("a"), F.col("hub").alias("b"))
+    # All components with a near member are one.
+    mains = stage(members.where(near | (F.col("sid") == F.col("hub"))).select("grp", "root").distinct().withColumn("main", F.lit(True)), "mains")
+    members = lookup(members, mains, ["grp", "root"]).withColumn("main", F.coalesce("main", F.lit(False)))
+
+    def index(rows: DataFrame, other_w: Column) -> DataFrame:
+        """Places in the prefix against partners of ``other_w`` or more, of differences that another member has too."""
+        t = F.greatest(F.lit(1), F.ceil((F.col("w") + other_w) / 2 - 1e-9))
+        first = F.slice("d", 1, F.greatest(F.lit(0), F.size("d") - t + 1).cast("int"))
+        return rows.select("grp", "sid", "root", "main", "w", F.size("d").alias("nd"), F.posexplode(first).alias("at", "e")).where("e.f > 1").select("grp", F.col("e.el").alias("el"), "sid", "root", "main", "w", (F.col("nd") - F.col("at")).alias("room"))
+
+    # Partners of a far member x have w above -w(x), and x has w above -w_least.
+    far = members.where(~F.col("main"))
+    probe = index(far, F.col("w_least")).select("grp", "el", F.col("sid").alias("x"), F.col("root").alias("rx"), F.col("w").alias("wx"), F.col("room").alias("room_x"))
+    build = index(members, -F.col("w_least")).select("grp", "el", F.col("sid").alias("y"), F.col("root").alias("ry"), "main", F.col("w").alias("wy"), F.col("room").alias("room_y"))
+    t = (F.col("wx") + F.col("wy")) / 2 - 1e-9
+    met = probe.join(build, ["grp", "el"]).where((F.col("rx") != F.col("ry")) & (F.col("main") | (F.col("x") < F.col("y"))) & (F.least("room_x", "room_y") >= t))
+    pairs = linked.union(met.select("x", "y"))
+    return pairs.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct()
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept): documents linked at similarity num/den or more, ``k``-word shingles."""
+    """(doc_id, n_shingles, component_id, kept): documents linked at similarity num/den or more, ``k``-word shingles.
+
+    ``num / den`` is 0.8 or more: below that, two linked sets might have no kind of registers in common.
+    """
+    if num * 10 < den * 8:
+        raise ValueError("similarity must be 0.8 or more")
     sketched = stage(sketches(docs, k), "sketches")
     classes = stage(sketched.where("n_shingles > 0").groupBy("sid").agg(F.first("a").alias("a"), F.first("b").alias("b")), "classes")
     least = num / den - 5 * (num / den * (1 - num / den) / REGISTERS) ** 0.5
@@ -177,12 +242,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     placed = members.select("key", "sid").join(roots.withColumnRenamed("node", "sid"), "sid", "left").select("key", "sid", F.coalesce("root", "sid").alias("root"))
     placed = stage(placed, "placed")
     sizes = placed.groupBy("key", "root").agg(F.count("*").alias("n"))
-    largest = sizes.groupBy("key").agg(F.max(F.struct("n", "root")).alias("m"), F.count("*").alias("c")).where("c > 1").select("key", F.col("m.root").alias("largest"))
-    open_keys = placed.join(largest, "key")
-    outer = open_keys.where("root != largest").select("key", F.col("sid").alias("x"), F.col("root").alias("rx"))
-    inner = open_keys.select("key", F.col("sid").alias("y"), F.col("root").alias("ry"), (F.col("root") == F.col("largest")).alias("main"))
-    rest = outer.join(inner, (outer.key == inner.key) & (F.col("rx") != F.col("ry")) & (F.col("main") | (F.col("x") < F.col("y"))))
-    rest = rest.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    largest = sizes.groupBy("key").agg(F.max(F.struct("n", "root")).alias("m"), F.count("*").alias("c"), F.sum("n").alias("n")).where("c > 1").select("key", F.col("m.root").alias("largest"), "n")
+    open_keys = stage(placed.join(largest, "key"), "open")
+    few = open_keys.where(F.col("n") <= FEW)
+    x, y = few.select("key", F.col("sid").alias("x"), F.col("root").alias("rx")), few.select("key", F.col("sid").alias("y"), F.col("root").alias("ry"))
+    rest = x.join(y, "key").where((F.col("x") < F.col("y")) & (F.col("rx") != F.col("ry"))).select("x", "y")
+    many = open_keys.where(F.col("n") > FEW).select(F.col("largest").alias("grp"), "sid", "root").distinct()
+    rest = stage(rest.union(_by_difference(docs, sketched, stage(many, "groups"), k, num, den)).distinct(), "rest")
     rest = stage(_estimated(rest, classes, least).select("x", "y").join(tried, ["x", "y"], "left_anti"), "pairs")
     more = stage(_confirmed(docs, sketched, rest, k, num, den), "links")
 
