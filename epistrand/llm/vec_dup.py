@@ -7,13 +7,14 @@ keep within budget in one block at least. Each block has a grid on its two leadi
 wide as its radius, so that partners sit in neighbouring cells; half of the neighbours see a copy.
 Inside a cell, pairs within the block's budget are verified on the original vectors in double
 precision, and counted by the first block whose budget they keep, so each once. A cell emits counts
-and a spanning set of links only, never its pairs. Crowded cells are cut into chunks that meet
-pairwise in separate tasks.
-
-Equal vectors with equal labels form one class with a weight before anything else. Nulls: vectors
-that are null, zero or hold null or non-finite numbers, and rows without a label, link with nothing.
-Vectors of different length are never compared. Null ids are counted as partners. An empty table
-gives no rows.
+and a spanning set of links only, never its pairs. Crowded cells are cut into chunks; a task holds one
+chunk and streams all others that meet it past, members of later chunks and visitors alike.
+
+Equal vectors with equal labels form one class with a weight before anything else, so ties and
+repeated rows cost nothing. Nulls: vectors that are null, zero or hold null or non-finite numbers, and
+rows without a label, link with nothing. Vectors of different length are never compared; each length
+is searched apart. Null ids are counted as partners. Columns other than ``vec_id``, ``label`` and
+``embedding`` play no part, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,7 +22,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,7 +34,7 @@ SAMPLE = 20_000
 CHUNK = 4096
 CROWDED = 50_000
 _FORWARD = ((1, 0), (-1, 1), (0, 1), (1, 1))
-_ROW = "cell long, i int, j int, role int, cid long, weight long, vec binary"
+_ROW = "cell long, chunk int, role int, cid long, weight long, vec binary"
 
 
 def is_valid(vec: str) -> F.Column:
@@ -94,29 +94,34 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         root = new
 
 
-def _cell_links(rot: Rotation, block: int, threshold: float, vec: np.ndarray, left: np.ndarray, right: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Linked pairs (indices into ``vec``) between ``left`` and ``right``, each pair once, that this block answers for."""
-    norm = np.linalg.norm(vec, axis=1)
-    r = rot.turn(vec / norm[:, None])
-    x = r[block]
+class _Side:
+    """Vectors of one side of a comparison, with their norms and rotated blocks."""
+
+    def __init__(self, rot: Rotation, block: int, cid: np.ndarray, weight: np.ndarray, vec: np.ndarray):
+        self.cid, self.weight, self.vec = cid, weight, vec
+        self.norm = np.linalg.norm(vec, axis=1)
+        self.r = rot.turn(vec / self.norm[:, None])
+        self.sq = (self.r[block] ** 2).sum(1)
+
+
+def _links_between(rot: Rotation, block: int, threshold: float, left: _Side, right: _Side, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Linked pairs (index on the left, index on the right), each once, that this block answers for."""
     found: list[tuple[np.ndarray, np.ndarray]] = []
-    sq = (x**2).sum(1)
-    for s in range(0, len(left), 1024):
-        rows = left[s : s + 1024]
-        for t in range(s if same else 0, len(right), 4096):
-            cols = right[t : t + 4096]
-            d = sq[rows][:, None] + sq[cols] - 2 * (x[rows] @ x[cols].T)
+    x, y = left.r[block], right.r[block]
+    for s in range(0, len(x), 1024):
+        for t in range(s if same else 0, len(y), 4096):
+            d = left.sq[s : s + 1024, None] + right.sq[None, t : t + 4096] - 2 * (x[s : s + 1024] @ y[t : t + 4096].T)
             p, q = np.nonzero(d <= rot.budget[block] + 1e-9)
-            p, q = rows[p], cols[q]
+            p, q = p + s, q + t
             if same:
                 p, q = p[p < q], q[p < q]
-            for c in range(0, len(p), 200_000):
-                u, v = p[c : c + 200_000], q[c : c + 200_000]
-                ok = ((r[block][u] - r[block][v]) ** 2).sum(1) <= rot.budget[block]
+            for c in range(0, len(p), 100_000):
+                u, v = p[c : c + 100_000], q[c : c + 100_000]
+                ok = ((x[u] - y[v]) ** 2).sum(1) <= rot.budget[block]
                 for b in range(block):
-                    ok &= ((r[b][u] - r[b][v]) ** 2).sum(1) > rot.budget[b]
+                    ok &= ((left.r[b][u] - right.r[b][v]) ** 2).sum(1) > rot.budget[b]
                 u, v = u[ok], v[ok]
-                ok = (vec[u] * vec[v]).sum(1) / (norm[u] * norm[v]) >= threshold
+                ok = (left.vec[u] * right.vec[v]).sum(1) / (left.norm[u] * right.norm[v]) >= threshold
                 if ok.any():
                     found.append((u[ok], v[ok]))
     if not found:
@@ -125,6 +130,33 @@ def _cell_links(rot: Rotation, block: int, threshold: float, vec: np.ndarray, le
     return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
 
+class _Cell:
+    """One chunk of a cell: holds its members, counts their links among themselves and with what is streamed past."""
+
+    def __init__(self, rot: Rotation, block: int, threshold: float, cid: np.ndarray, weight: np.ndarray, vec: np.ndarray):
+        self.args, self.held = (rot, block, threshold), _Side(rot, block, cid, weight, vec)
+        a, b = _links_between(*self.args, self.held, self.held, True)
+        self.links = np.bincount(a, weight[b], len(cid)).astype(np.int64) + np.bincount(b, weight[a], len(cid)).astype(np.int64)
+        self.root = _roots(len(cid), a, b)
+
+    def meet(self, cid: np.ndarray, weight: np.ndarray, vec: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(cid, links, root) of the streamed ones that are linked with a held one."""
+        rot, block, _ = self.args
+        other = _Side(rot, block, cid, weight, vec)
+        a, b = _links_between(*self.args, other, self.held, False)
+        n = len(self.root)
+        self.links += np.bincount(b, weight[a], n).astype(np.int64)
+        root = _roots(n + len(cid), np.concatenate([np.arange(n), b]), np.concatenate([self.root, a + n]))
+        self.root = root[:n]
+        links = np.bincount(a, self.held.weight[b], len(cid))
+        hit = np.flatnonzero(links > 0)
+        return cid[hit], links[hit], self.held.cid[root[n + hit]]
+
+    def own(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        hit = np.flatnonzero(self.links > 0)
+        return self.held.cid[hit], self.links[hit], self.held.cid[self.root[hit]]
+
+
 def near_duplicates(vectors: DataFrame, threshold: float = 0.93, blocks: int = 4) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row."""
     spark = vectors.sparkSession
@@ -152,7 +184,7 @@ def _links(classes: DataFrame, dim: int, threshold: float, blocks: int) -> DataF
     """(cid, links, root): partial counts of linked vectors, and spanning links between classes."""
     n = classes.count()
     take = classes if n <= SAMPLE else classes.where(F.pmod(F.xxhash64("cid"), F.lit(1 << 20)) < int((1 << 20) * SAMPLE / n))
-    sample = take.select("v").orderBy("v").toPandas()["v"]
+    sample = take.select("cid", "v").toPandas().sort_values("cid")["v"]
     rot = Rotation(_unit(np.stack(sample.to_list())) if len(sample) else np.zeros((0, dim)), dim, blocks, max(0.0, 2 - 2 * threshold))
     n_blocks = len(rot.parts)
 
@@ -181,73 +213,50 @@ def _links(classes: DataFrame, dim: int, threshold: float, blocks: int) -> DataF
                 r = rot.turn(_unit(vec))
                 for k in range(n_blocks):
                     a, b = _homes(r, rot, k)
-                    out: list[tuple[int, int, int, int, int]] = []  # cell, i, j, role, row; role 0: home, 1: visitor
-                    for role, (da, db) in [(0, (0, 0)), *[(1, f) for f in _FORWARD]]:
-                        cells = _cell_hash(label, k, a + da, b + db)
-                        for row, cell in enumerate(cells.tolist()):
+                    out: list[tuple[int, int, int, int]] = []  # cell, chunk, role, row; role 0: held, 1: streamed
+                    for visits, (da, db) in [(False, (0, 0)), *[(True, f) for f in _FORWARD]]:
+                        for row, cell in enumerate(_cell_hash(label, k, a + da, b + db).tolist()):
                             chunks = crowded.get(cell, 1)
-                            if role:
-                                out += [(cell, c, c, 1, row) for c in range(chunks)]
+                            if visits:
+                                out += [(cell, c, 1, row) for c in range(chunks)]
                             else:
                                 own = int(cid[row]) % chunks
-                                out += [(cell, min(own, c), max(own, c), 0, row) for c in range(chunks)]
-                    t = np.array(out, dtype=np.int64).reshape(-1, 5)
+                                out += [(cell, c, int(c < own), row) for c in range(own + 1)]
+                    t = np.array(out, dtype=np.int64).reshape(-1, 4)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(t[:, 0]), pa.array(t[:, 1].astype(np.int32)), pa.array(t[:, 2].astype(np.int32)), pa.array((t[:, 3] + 2 * k).astype(np.int32)), pa.array(cid[t[:, 4]]), pa.array(weight[t[:, 4]]), pa.array([packed[x] for x in t[:, 4]], pa.binary())],
-                        ["cell", "i", "j", "role", "cid", "weight", "vec"])
-
-    dealt = cols.mapInArrow(deal, _ROW).repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j", "role")
-
-    def meet(i: int, j: int, block: int, role: np.ndarray, cid: np.ndarray, weight: np.ndarray, vec: np.ndarray) -> pd.DataFrame | None:
-        home, visitor = np.flatnonzero(role == 0), np.flatnonzero(role == 1)
-        if i == j:
-            pairs = [_cell_links(rot, block, threshold, vec, home, home, True)]
-            if len(visitor):
-                pairs.append(_cell_links(rot, block, threshold, vec, visitor, home, False))
-        else:
-            chunk = cid[home] % crowded_chunks(i, j)
-            pairs = [_cell_links(rot, block, threshold, vec, home[chunk == i], home[chunk == j], False)]
-        a, b = np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs])
-        if not len(a):
-            return None
-        links = np.bincount(a, weight[b], len(cid)) + np.bincount(b, weight[a], len(cid))
-        root = _roots(len(cid), a, b)
-        hit = np.flatnonzero(links > 0)
-        return pd.DataFrame({"cid": cid[hit], "links": links[hit].astype(np.int64), "root": cid[root[hit]]})
+                        [pa.array(t[:, 0]), pa.array(t[:, 1].astype(np.int32)), pa.array((t[:, 2] + 2 * k).astype(np.int32)), pa.array(cid[t[:, 3]]), pa.array(weight[t[:, 3]]), pa.array([packed[x] for x in t[:, 3]], pa.binary())],
+                        ["cell", "chunk", "role", "cid", "weight", "vec"])
 
-    chunks_of: dict = {}
+    dealt = cols.mapInArrow(deal, _ROW).repartition("cell", "chunk").sortWithinPartitions("cell", "chunk", "role")
 
-    def crowded_chunks(i: int, j: int) -> int:
-        return chunks_of["n"]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, cell = None, [], None
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-        key = None
+        def out(rows: tuple[np.ndarray, np.ndarray, np.ndarray]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(rows[0]), pa.array(rows[1].astype(np.int64)), pa.array(rows[2])], ["cid", "links", "root"])
 
-        def finish() -> Iterator[pd.DataFrame]:
-            g = pd.concat(held, ignore_index=True) if len(held) > 1 else held[0]
-            cid = g["cid"].to_numpy()
-            if len(cid) > 1:
-                code = g["role"].to_numpy()
-                chunks_of["n"] = crowded.get(int(g["cell"].iloc[0]), 1)
-                vec = np.frombuffer(b"".join(g["vec"]), np.float64).reshape(len(g), dim)
-                out = meet(key[1], key[2], int(code[0]) // 2, code % 2, cid, g["weight"].to_numpy(), vec)
-                if out is not None:
-                    yield out
+        def opened(block: int) -> _Cell:
+            return _Cell(rot, block, threshold, *(np.concatenate([h[x] for h in held]) for x in range(3)))
 
         for b in batches:
-            if not len(b):
-                continue
-            k = b[["cell", "i", "j"]].to_numpy()
-            cut = np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1
-            for s, e in zip([0, *cut], [*cut, len(b)], strict=True):
-                now = tuple(int(x) for x in k[s])
-                if held and now != key:
-                    yield from finish()
-                    held = []
-                key = now
-                held.append(b.iloc[s:e])
-        if held:
-            yield from finish()
-
-    return dealt.mapInPandas(run, "cid long, links long, root long")
+            at, chunk, role, cid, weight = (b.column(c).to_numpy(zero_copy_only=False) for c in ("cell", "chunk", "role", "cid", "weight"))
+            cut = np.flatnonzero((at[1:] != at[:-1]) | (chunk[1:] != chunk[:-1]) | (role[1:] != role[:-1])) + 1
+            for s, e in zip([0, *cut.tolist()], [*cut.tolist(), len(at)], strict=True):
+                if s == e:
+                    continue
+                now = (at[s], chunk[s], role[s] // 2)
+                if now != key:
+                    if key is not None and (held or cell):
+                        yield out((cell or opened(key[2])).own())
+                    key, held, cell = now, [], None
+                rows = cid[s:e], weight[s:e], np.frombuffer(b"".join(b.column("vec").slice(s, e - s).to_pylist()), np.float64).reshape(e - s, dim)
+                if role[s] % 2 == 0:
+                    held.append(rows)
+                elif held or cell:
+                    cell = cell or opened(key[2])
+                    for x in range(0, e - s, 4096):
+                        yield out(cell.meet(*(r[x : x + 4096] for r in rows)))
+        if key is not None and (held or cell):
+            yield out((cell or opened(key[2])).own())
+
+    return dealt.mapInArrow(run, "cid long, links long, root long")
