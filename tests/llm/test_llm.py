@@ -3,6 +3,7 @@
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -108,7 +109,7 @@ def test_chat(spark):
     assert got[1].turns_sha256 == hashlib.sha256(turns.encode()).hexdigest() and got[1].n_turns == 6 and not got[1].valid_order
     loss = (odd[2] or "") + odd[5]
     assert (got[1].loss_chars, got[1].loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
-    assert got[2].valid_order and got[2].n_turns == 2 and got[None].n_turns == 1
+    assert got[2].valid_order and got[2].n_turns == 2 and got[None].n_turns == 1 and not got[None].valid_order  # it ends unanswered
 
 
 def test_html():
@@ -121,9 +122,24 @@ def test_html_repeats(spark):
     rows = [(i, f"http://h.org/{i}", f"<p>{common}</p><p>own{i} " + " ".join(f"u{i}x{j}" for j in range(15)) + "</p>") for i in range(5)] + [(9, None, None), (10, "http://h.org/z", "")]
     got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert all(got[i].startswith(f"own{i} ") and common not in got[i] for i in range(5)) and got[9] == got[10] == ""
-    brute = [[1, 2, 3, 4, 9], [7, 1, 2, 3, 4], [1, 2, 3, 5, 4]]
-    cover = html_text.repeated([np.array(x) for x in brute], 3, 3)
-    assert [c.tolist() for c in cover] == [[True] * 3 + [False] * 2, [False] + [True] * 3 + [False], [True] * 3 + [False] * 2]
+    r = random.Random(3)
+    pages = [np.array([r.randrange(3) for _ in range(r.randrange(30))], np.uint64) for _ in range(12)]
+    hosts = np.array([i % 2 for i in range(12)])
+    page, place, total = html_text.runs(pages, np.ones(12), hosts, 3)
+    want = Counter((h, run) for p, h in zip(pages, hosts) for run in {tuple(p[i : i + 3].tolist()) for i in range(len(p) - 2)})
+    assert {(hosts[p], tuple(pages[p][x : x + 3].tolist())): n for p, x, n in zip(page, place, total)} == want
+
+
+def test_html_counts_over_the_whole_host(spark, monkeypatch):
+    monkeypatch.setattr(html_text, "SHARD_PAGES", 7)
+    monkeypatch.setattr(html_text, "TOKENS", 100)
+    r = random.Random(4)
+    common = [text(12, r) for _ in range(30)]
+    rows = [(i, f"https://big.org/{i}", f"<p>own{i} a b c</p><div>{common[i % 30]}</div>") for i in range(90)]
+    rows += [(100 + i, "https://other.org/x", "<p>same page " + text(20, random.Random(1)) + "</p>") for i in range(5)]
+    got = {x.page_id: x for x in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i].text == f"own{i} a b c" and got[i].n_removed == 12 for i in range(90))
+    assert all(got[100 + i].text.startswith("same page") for i in range(5))  # copies of one page are one page
 
 
 def jaccard(a, b, k):
