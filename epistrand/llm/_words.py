@@ -10,17 +10,18 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _BASE = 0xD1342543DE82EF95
 _INVERSE = pow(_BASE, -1, 1 << 64)
+KEPT = 1 << 18
 _powers: dict[int, np.ndarray] = {}
 
 
 def _power(base: int, n: int) -> np.ndarray:
-    """base ** 0 ... base ** (n - 1), modulo 2 ** 64; grown by doubling and kept."""
+    """base ** 0 ... base ** (n - 1), modulo 2 ** 64; grown by doubling and kept up to ``KEPT`` of them."""
     p = _powers.get(base)
     if p is None or len(p) < n:
         p = np.ones(1, np.uint64)
         while len(p) < max(n, 1 << 14):
             p = np.concatenate([p, p * np.uint64(pow(base, len(p), 1 << 64))])
-        _powers[base] = p
+        _powers[base] = p[:KEPT].copy() if len(p) > KEPT else p
     return p[:n]
 
 

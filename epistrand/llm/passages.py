@@ -11,16 +11,24 @@
    shared shingles are chained again, and maximal-scoring segments of aligned shingles with at least
    ``least`` words and a shingle similarity of ``similarity`` or more are the passages.
 
-5. What is left open is compared without the limit of step 2. A passage holds an unbroken run of 25
-   words at least, so it holds one of the 20-word runs that are least in a window of 6. Such a run
-   with a word that no passage covers yet is joined to all its places in all earlier documents,
-   and the stretches there, even single runs, go through step 4.
+5. What is left open is looked for again, with keys that few documents hold. Seeds that some earlier
+   document has too, but that no passage covers yet, are paired with those 15 to 45 words on; such a
+   pair is joined to its first holder. Wherever a pair has an earlier holder, all 50-word windows
+   around it are hashed in all its holders, and each is joined to its own first holder; so every
+   verbatim repeat of ``least`` words is found, whichever documents hold its parts. No step pairs the
+   holders of one key with each other.
+
+A verbatim repeat may miss fewer than 20 words at its ends, where all seeds are covered already. A
+fuzzy passage (with edits) is found if two of its seeds are first held together by a document that
+shares the passage; this can fail only where other documents hold all such pairs of it.
 
 ``remove`` cuts every passage from the later document; its first occurrence stays.
 
-Nulls: a null text has no passage; a null id counts as a document of its own (by a hash of the text).
-Rows with equal ids count as one document and are not compared. A repeat inside one document is no
-passage. An empty table gives no rows.
+Nulls: a null text has no passage. A document is a distinct pair of id and text: rows that repeat
+both are one document, not compared with itself; rows without an id, with an id that is no integer,
+or whose id stands over several texts come before all others, in the order of a hash. A repeat
+inside one document is no passage. Ties (equal texts) go to the smaller id. Texts of any length are
+read whole; extra columns play no part. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,7 +41,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import IntegralType, StructField, StructType
 from pyspark.sql.window import Window
 
 from ._common import lookup, stage
@@ -45,9 +53,8 @@ K, WINDOW = 5, 16
 SEED, GAP = 8.0, 0.05
 #: Words around a chain that are aligned too.
 CONTEXT = 60
-#: Doublings of a shingle that make a long run (K - 1 + 2**DOUBLINGS words), and the window that its minimisers are taken in.
-DOUBLINGS, LONG_WINDOW = 4, 6
-LONG = K - 1 + 2**DOUBLINGS
+#: Stretches whose slices of one document are cut together.
+SLICES = 256
 #: A seed with more rows than this, and than one of ``SHARES`` equal parts of all rows, is split; so at most ``SHARES`` seeds are.
 LEAST_SHARE, SHARES = 5_000, 100_000
 
@@ -72,13 +79,6 @@ def minimisers(h: np.ndarray, window: int = WINDOW) -> np.ndarray:
     return np.unique(np.concatenate(out))
 
 
-def long_runs(h: np.ndarray) -> np.ndarray:
-    """Hashes of the runs of ``LONG`` words, from shingles."""
-    for i in range(DOUBLINGS):
-        h = mix64(h[: max(0, len(h) - 2**i)]) * np.uint64(0x9E3779B97F4A7C15) + h[2**i :]
-    return mix64(h)
-
-
 def chains(p: np.ndarray, a: np.ndarray) -> list[np.ndarray]:
     """Index arrays of disjoint chains of matches (p, a), sorted by p; both positions rise along a chain."""
     if len(p) == 0:
@@ -188,8 +188,18 @@ def _scored(mate: np.ndarray, least: int, similarity: float) -> tuple[list[tuple
     return out, short
 
 
-def _doc(docs: DataFrame) -> Column:
-    return F.coalesce(docs["doc_id"].cast("long"), F.xxhash64(docs["text"]))
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``__doc``, the key of a document: its id, or a hash below zero where that is none (see above)."""
+    own = F.xxhash64(F.col("doc_id").cast("string"), "text").bitwiseOR(F.lit(-(1 << 63)))
+    if not isinstance(docs.schema["doc_id"].dataType, IntegralType):
+        return docs.withColumn("__doc", own)
+    text = F.coalesce(F.xxhash64("text"), F.lit(0))
+    odd = docs.where("doc_id is not null").groupBy(F.col("doc_id").alias("__odd")).agg(F.min(text).alias("a"), F.max(text).alias("b")).where("a != b").select("__odd")
+    odd = stage(odd, "odd")
+    key = F.col("doc_id").cast("long")
+    if not odd.limit(1).count():
+        return docs.withColumn("__doc", F.coalesce(key, own))
+    return lookup(docs, odd, docs["doc_id"] == odd["__odd"]).withColumn("__doc", F.when(F.col("__odd").isNull(), F.coalesce(key, own)).otherwise(own)).drop("__odd")
 
 
 def seeds(docs: DataFrame, least: int) -> DataFrame:
@@ -209,13 +219,16 @@ def seeds(docs: DataFrame, least: int) -> DataFrame:
             if ids:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ids, pos, got)], ["doc", "pos", "seed"])
 
-    return docs.select(_doc(docs).alias("doc"), "text").mapInArrow(run, "doc long, pos int, seed long")
+    return docs.select(F.col("__doc").alias("doc"), "text").mapInArrow(run, "doc long, pos int, seed long")
 
 
 def find(docs: DataFrame, least: int = 50, similarity: float = 0.8) -> DataFrame:
-    """(doc_id, other_id, first_word, last_word, other_first, other_last, similarity): passages of ``least`` or more
-    words that a document shares with an earlier one, as word positions from 0, ends inclusive."""
-    s = stage(seeds(docs, least), "seeds")
+    """(doc_id, other_id, first_word, last_word, other_first, other_last, similarity, doc, other): passages of ``least`` or
+    more words that a document shares with an earlier one, as word positions from 0, ends inclusive; ``doc`` and
+    ``other`` are the keys that ``remove`` goes by."""
+    keyed = _keyed(docs.select("doc_id", "text"))
+    s = stage(seeds(keyed, least), "seeds")
+    # Repeated rows of one document give the same seeds, which count once below: all joins are by (doc, pos).
     first = s.groupBy("seed").agg(F.min(F.struct("doc", "pos")).alias("a"), F.max("doc").alias("m"), F.count("*").alias("n")).where(F.col("a.doc") < F.col("m"))
     first = stage(first.select("seed", F.col("a.doc").alias("other"), F.col("a.pos").alias("at"), "n"), "first")
     # A seed may hold a third of all rows: rows of frequent seeds are dealt over as many salts as they fill shares.
@@ -224,53 +237,79 @@ def find(docs: DataFrame, least: int = 50, similarity: float = 0.8) -> DataFrame
     salted = lookup(s, hot, "seed").select("seed", "doc", "pos", F.coalesce(F.pmod(F.xxhash64("doc", "pos"), "salts"), F.lit(0)).cast("int").alias("salt"))
     salts = F.when(F.col("n") > share, F.ceil(F.col("n") / share)).otherwise(1).cast("int")
     dealt = first.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).select("seed", "salt", "other", "at")
-    matches = salted.join(dealt, ["seed", "salt"]).where(F.col("doc") > F.col("other")).select("doc", "other", "pos", "at")
-    found = stage(_passages(docs, matches, least, similarity, ["pos", "at"], K), "passages")
-    more = _passages(docs, _open_matches(docs, found, least), least, similarity, ["d0", "d1", "a0", "a1"], LONG)
-    return found.union(more).dropDuplicates(["doc_id", "other_id", "first_word", "last_word"])
-
-
-def _open_matches(docs: DataFrame, found: DataFrame, least: int) -> DataFrame:
-    """(doc, other, d0, d1, a0, a1): the places of long runs of ``doc`` with a word outside ``found``, with all their places in earlier documents."""
-    spans = stage(found.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set(F.struct(F.col("first_word").cast("int").alias("s"), F.col("last_word").cast("int").alias("e"))).alias("spans")), "covered")
-    texts = lookup(docs.select(_doc(docs).alias("doc"), "text"), spans, F.col("doc") == F.col("_id"), "left").select("doc", "text", "spans")
+    matches = salted.join(dealt, ["seed", "salt"]).where(F.col("doc") > F.col("other")).select("doc", "other", "pos", "at", "seed")
+    matches = stage(matches, "matches")
+    found = stage(_passages(keyed, matches.select("doc", "other", "pos", "at"), least, similarity, ["pos", "at"]), "passages")
+    more = _passages(keyed, _open_matches(keyed, s, matches, found, least), least, similarity, ["d0", "d1", "a0", "a1"])
+    all_found = found.union(more).dropDuplicates(["doc", "other", "first_word", "last_word"])
+    ids = stage(keyed.where("__doc < 0").select(F.col("__doc").alias("key"), F.col("doc_id").alias("id")).dropDuplicates(["key"]), "ids")
+    for name in ("doc", "other"):
+        of = ids.select(F.col("key").alias(name), F.col("id").alias(f"{name}_own"))
+        all_found = lookup(all_found, of, name)
+    kind = docs.schema["doc_id"].dataType
+
+    def named(name: str) -> Column:
+        return F.when(F.col(name) < 0, F.col(f"{name}_own")).otherwise(F.col(name).cast(kind)).alias(f"{name}_id")
+
+    return all_found.select(named("doc"), named("other"), "first_word", "last_word", "other_first", "other_last", "similarity", "doc", "other")
+
+
+def _open_matches(keyed: DataFrame, s: DataFrame, matches: DataFrame, found: DataFrame, least: int) -> DataFrame:
+    """(doc, other, d0, d1, a0, a1): stretches to align around seeds that an earlier document holds and no passage of ``found`` covers."""
+    reach = least - K
+    by_pos = Window.partitionBy("doc").orderBy("at")
+    spans = found.select("doc", F.col("first_word").cast("int").alias("at"), F.col("last_word").cast("int").alias("end"), F.lit(None).cast("long").alias("seed"))
+    both = spans.union(matches.select("doc", F.col("pos").alias("at"), F.lit(None).cast("int"), "seed"))
+    covered = F.max("end").over(by_pos.rangeBetween(Window.unboundedPreceding, 0))
+    bare = both.withColumn("bare", F.coalesce(covered, F.lit(-1)) < F.col("at") + K - 1).where("seed is not null")
+    near = F.max("bare").over(by_pos.rangeBetween(-reach, reach))
+    wanted = stage(bare.withColumn("near", near).where("near").select("doc", F.col("at").alias("pos"), "seed").distinct(), "wanted")
+    held = lookup(s, wanted.select("seed").distinct(), "seed", "left_semi").select("doc", "pos", "seed").distinct()
+
+    def pairs(rows: DataFrame) -> DataFrame:
+        """Seeds with each seed of the same document that starts ``reach - 30`` to ``reach`` words on."""
+        on = F.collect_list(F.struct("pos", "seed")).over(Window.partitionBy("doc").orderBy("pos").rangeBetween(reach - 30, reach))
+        return rows.withColumn("on", on).select("doc", F.col("pos").alias("p"), "seed", F.explode("on").alias("x")).select("doc", "p", F.col("x.pos").alias("q"), F.xxhash64("seed", "x.seed").alias("key"))
+
+    asked = stage(pairs(wanted), "asked")
+    keys = asked.groupBy("key").agg(F.max("doc").alias("last"))
+    offered = stage(lookup(pairs(held), keys, "key", "inner").where(F.col("doc") <= F.col("last")).select("doc", "p", "q", "key"), "offered")
+    first = offered.groupBy("key").agg(F.min(F.struct("doc", "p", "q")).alias("a"), F.max("doc").alias("m")).where(F.col("a.doc") < F.col("m"))
+    first = stage(first.select("key", F.col("a.doc").alias("other"), F.col("a.p").alias("a0"), F.col("a.q").alias("a1")), "firsts")
+    joined = stage(lookup(asked, first, "key", "inner").where(F.col("doc") > F.col("other")), "joined")
+    fuzzy = joined.select("doc", "other", F.col("p").alias("d0"), F.col("q").alias("d1"), "a0", "a1")
+
+    # Windows of ``least`` words that hold both seeds of a pair.
+    live = joined.select("key").distinct()
+    places = lookup(offered, live, "key", "left_semi").select("doc", "p", "q", F.lit(False).alias("open"))
+    places = places.union(joined.select("doc", "p", "q", F.lit(True)))
+    places = places.select("doc", F.greatest(F.lit(0), F.col("q") + K - least).cast("int").alias("lo"), F.col("p").alias("hi"), "open")
+    places = stage(places.groupBy(F.col("doc").alias("_id")).agg(F.collect_set(F.struct("lo", "hi", "open")).alias("places")), "places")
+    texts = lookup(keyed.select(F.col("__doc").alias("doc"), "text"), places, F.col("doc") == F.col("_id"), "inner").select("doc", "text", "places")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, pos, key, left = [], [], [], []
-            for i, text, covered in zip(*(b.column(c).to_pylist() for c in ("doc", "text", "spans")), strict=True):
-                w = word_hashes(text or "")
-                if len(w) >= max(least, LONG):
-                    h = long_runs(shingles(w))
-                    at = minimisers(h, LONG_WINDOW)
-                    bare = np.ones(len(w), np.int64)
-                    for x in covered or ():
-                        bare[x["s"] : x["e"] + 1] = 0
-                    upto = np.concatenate([[0], np.cumsum(bare)])
-                    ids.append(np.full(len(at), i, np.int64))
-                    pos.append(at.astype(np.int32))
-                    key.append(h[at].view(np.int64))
-                    left.append(upto[at + LONG] > upto[at])
-            if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ids, pos, key, left)], ["doc", "pos", "run", "open"])
-
-    runs = stage(texts.mapInArrow(run, "doc long, pos int, run long, open boolean"), "runs")
-    wanted = runs.groupBy("run").agg(F.min("doc").alias("a"), F.max(F.when(F.col("open"), F.col("doc"))).alias("m"), F.count("*").alias("n")).where(F.col("a") < F.col("m"))
-    wanted = stage(wanted.select("run", "n"), "wanted")
-    held = stage(lookup(runs, wanted, "run", "inner"), "held")
-    # Places of a run that context would join count as one, so a line repeated in both documents costs one row.
-    inside = Window.partitionBy("run", "doc").orderBy("pos")
-    places = held.withColumn("far", (F.col("pos") - F.lag("pos", 1, -3 * CONTEXT).over(inside) > 2 * CONTEXT).cast("int"))
-    places = places.withColumn("place", F.sum("far").over(inside)).groupBy("run", "doc", "place").agg(F.min("pos").alias("lo"), F.max("pos").alias("hi"), F.max("open").alias("open"), F.first("n").alias("n"))
-    # Rows of a frequent run are dealt over as many salts as they fill shares; each salt sees all earlier places.
-    salts = F.ceil(F.col("n") / LEAST_SHARE).cast("int")
-    later = places.where("open").select("run", "doc", F.col("lo").alias("d0"), F.col("hi").alias("d1"), F.pmod(F.xxhash64("doc", "lo"), salts).cast("int").alias("salt"))
-    earlier = places.select("run", F.col("doc").alias("other"), F.col("lo").alias("a0"), F.col("hi").alias("a1"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
-    return later.join(earlier, ["run", "salt"]).where(F.col("doc") > F.col("other")).select("doc", "other", "d0", "d1", "a0", "a1")
-
-
-def _passages(docs: DataFrame, matches: DataFrame, least: int, similarity: float, ends_of: list[str], words: int) -> DataFrame:
-    """The passages around ``matches`` (doc, other, ``ends_of``) of ``words`` words: positions to chain (pos, at), or stretches as they are (d0, d1, a0, a1)."""
+            for i, text, at in zip(*(b.column(c).to_pylist() for c in ("doc", "text", "places")), strict=True):
+                h = shingles(word_hashes(text), least)
+                inside = np.zeros((2, len(h) + 1), np.int64)
+                for x in at:
+                    for row in (0, 1) if x["open"] else (0,):
+                        inside[row, min(x["lo"], len(h))] += 1
+                        inside[row, min(x["hi"] + 1, len(h))] -= 1
+                inside = inside.cumsum(axis=1)[:, :-1] > 0
+                p = np.flatnonzero(inside[0])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(p), i, np.int64)), pa.array(p.astype(np.int32)), pa.array(h[p].view(np.int64)), pa.array(inside[1][p])], ["doc", "p", "key", "open"])
+
+    windows = stage(texts.mapInArrow(run, "doc long, p int, key long, open boolean"), "windows")
+    first = windows.groupBy("key").agg(F.min(F.struct("doc", "p")).alias("a"), F.max(F.when(F.col("open"), F.col("doc"))).alias("m")).where(F.col("a.doc") < F.col("m"))
+    first = first.select("key", F.col("a.doc").alias("other"), F.col("a.p").alias("a0"))
+    exact = windows.where("open").join(first, "key").where(F.col("doc") > F.col("other"))
+    exact = exact.select("doc", "other", F.col("p").alias("d0"), (F.col("p") + reach).alias("d1"), "a0", (F.col("a0") + reach).alias("a1"))
+    return fuzzy.union(exact)
+
+
+def _passages(keyed: DataFrame, matches: DataFrame, least: int, similarity: float, ends_of: list[str]) -> DataFrame:
+    """The passages around ``matches`` (doc, other, ``ends_of``) of seeds: positions to chain (pos, at), or stretches as they are (d0, d1, a0, a1)."""
     matches = matches.repartition("doc", "other").sortWithinPartitions("doc", "other", *ends_of)
 
     def chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -279,7 +318,7 @@ def _passages(docs: DataFrame, matches: DataFrame, least: int, similarity: float
         def finish(rows: np.ndarray, out: list) -> None:
             if len(ends_of) == 4:
                 ends = sorted(set(map(tuple, rows[:, 2:].tolist())))
-            elif len(rows) < 2:
+            elif len(rows) < 2:  # looked at again by pairs of seeds
                 return
             else:
                 ends = sorted((int(rows[c[0], 2]), int(rows[c[-1], 2]), int(rows[c[0], 3]), int(rows[c[-1], 3])) for c in chains(rows[:, 2], rows[:, 3]))
@@ -290,8 +329,8 @@ def _passages(docs: DataFrame, matches: DataFrame, least: int, similarity: float
                     merged[-1] = [merged[-1][0], max(d1, merged[-1][1]), min(a0, merged[-1][2]), max(a1, merged[-1][3]), merged[-1][4]]
                 else:
                     merged.append([d0, d1, a0, a1, []])
-                merged[-1][4] += [d0, d1 + words - 1, a0, a1 + words - 1]
-            out += [(rows[0, 0], rows[0, 1], d0, d1 + words - 1, a0, a1 + words - 1, parts if len(parts) > 4 else []) for d0, d1, a0, a1, parts in merged]
+                merged[-1][4] += [d0, d1 + K - 1, a0, a1 + K - 1]
+            out += [(rows[0, 0], rows[0, 1], d0, d1 + K - 1, a0, a1 + K - 1, parts if len(parts) > 4 else []) for d0, d1, a0, a1, parts in merged]
 
         def frame(out: list) -> pd.DataFrame:
             f = pd.DataFrame(np.array([x[:6] for x in out], np.int64).reshape(-1, 6), columns=["doc", "other", "d0", "d1", "a0", "a1"])
@@ -323,13 +362,13 @@ def _passages(docs: DataFrame, matches: DataFrame, least: int, similarity: float
 
     spans = matches.mapInPandas(chain, "doc long, other long, d0 long, d1 long, a0 long, a1 long, parts array<long>")
     spans = stage(spans.withColumn("chain", F.xxhash64("doc", "other", "d0", "a0")), "chains")
-    own = _slices(docs, spans.select("chain", F.col("doc").alias("of"), "d0", "d1"))
-    other = _slices(docs, spans.select("chain", F.col("other").alias("of"), F.col("a0").alias("d0"), F.col("a1").alias("d1")))
+    own = _slices(keyed, spans.select("chain", F.col("doc").alias("of"), "d0", "d1"))
+    other = _slices(keyed, spans.select("chain", F.col("other").alias("of"), F.col("a0").alias("d0"), F.col("a1").alias("d1")))
     sides = own.select("chain", F.col("of").alias("doc"), F.col("lo").alias("d_lo"), F.col("w").alias("d"), F.col("first").alias("d_first")).join(other.select("chain", F.col("of").alias("other"), F.col("lo").alias("a_lo"), F.col("w").alias("a"), F.col("first").alias("a_first")), "chain")
     sides = lookup(sides, spans.where(F.size("parts") > 0).select("chain", "parts"), "chain")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "other_id", "first_word", "last_word", "other_first", "other_last"]
+        names = ["doc", "other", "first_word", "last_word", "other_first", "other_last"]
         for b in batches:
             out = []
             for r in range(b.num_rows):
@@ -341,28 +380,34 @@ def _passages(docs: DataFrame, matches: DataFrame, least: int, similarity: float
             cols = list(zip(*out, strict=True)) if out else [()] * 7
             yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in cols[:6]], pa.array(cols[6], pa.float64())], [*names, "similarity"])
 
-    found = sides.mapInArrow(compare, "doc_id long, other_id long, first_word long, last_word long, other_first long, other_last long, similarity double")
-    return found.dropDuplicates(["doc_id", "other_id", "first_word", "last_word"])
+    found = sides.mapInArrow(compare, "doc long, other long, first_word long, last_word long, other_first long, other_last long, similarity double")
+    return found.dropDuplicates(["doc", "other", "first_word", "last_word"])
 
 
-def _slices(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(chain, of, first, lo, w): 31-bit word hashes of the wanted stretches with context. ``wanted``: chain, of, d0, d1."""
-    texts = docs.select(_doc(docs).alias("_d"), "text")
-    rows = lookup(texts, wanted, F.col("_d") == F.col("of"), "inner").select("chain", "of", "d0", "d1", "text")
+def _slices(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(chain, of, first, lo, w): 31-bit word hashes of the wanted stretches with context. ``wanted``: chain, of, d0, d1.
+
+    The stretches of a document are gathered by the hundred, so that its text is sent once for each
+    hundred, not once a stretch; the first holder of a common passage may have one for every copy.
+    """
+    many = wanted.groupBy("of").agg(F.count("*").alias("n")).where(F.col("n") > SLICES).select("of", F.ceil(F.col("n") / SLICES).alias("parts_of"))
+    dealt = lookup(wanted, many, "of").withColumn("part", F.coalesce(F.pmod(F.xxhash64("chain"), F.col("parts_of")), F.lit(0)))
+    gathered = stage(dealt.groupBy("of", "part").agg(F.collect_list(F.struct("chain", "d0", "d1")).alias("at")), "gathered")
+    texts = keyed.select(F.col("__doc").alias("_d"), "text")
+    rows = lookup(texts, gathered, F.col("_d") == F.col("of"), "inner").select("of", "at", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, w = None, np.zeros(0, np.uint64)
         for b in batches:
-            lo, got = [], []
-            for text, s, e in zip(b.column("text").to_pylist(), b.column("d0").to_pylist(), b.column("d1").to_pylist(), strict=True):
-                if text is not last and text != last:
-                    last, w = text, word_hashes(text)
-                x = max(0, s - CONTEXT)
-                lo.append(x)
-                got.append((w[x : e + 1 + CONTEXT] >> np.uint64(33)).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([b.column("chain"), b.column("of"), b.column("d0"), pa.array(lo, pa.int64()), pa.array(got, pa.list_(pa.int32()))], ["chain", "of", "first", "lo", "w"])
+            for r in range(b.num_rows):
+                w = (word_hashes(b.column("text")[r].as_py()) >> np.uint64(33)).astype(np.int32)
+                of, at = b.column("of")[r].as_py(), b.column("at")[r].values
+                chain, d0, d1 = (at.field(c).to_numpy(zero_copy_only=False) for c in ("chain", "d0", "d1"))
+                lo = np.maximum(0, d0 - CONTEXT)
+                got = [w[x : e + 1 + CONTEXT] for x, e in zip(lo.tolist(), d1.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(chain), pa.array(np.full(len(lo), of, np.int64)), pa.array(d0), pa.array(lo), pa.array(got, pa.list_(pa.int32()))], ["chain", "of", "first", "lo", "w"])
 
-    return rows.mapInArrow(run, "chain long, of long, first long, lo long, w array<int>")
+    # Repeated rows of a document give the same slices.
+    return rows.mapInArrow(run, "chain long, of long, first long, lo long, w array<int>").dropDuplicates(["chain"])
 
 
 def cut(text: str, spans: list[tuple[int, int]]) -> str:
@@ -385,10 +430,10 @@ def cut(text: str, spans: list[tuple[int, int]]) -> str:
 def remove(docs: DataFrame, found: DataFrame) -> DataFrame:
     """``docs`` with the passages of ``found`` cut from the later documents; documents left without words go.
     ``n_chars``, where there is one, follows the text."""
-    spans = stage(found.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set(F.struct(F.col("first_word").cast("int").alias("s"), F.col("last_word").cast("int").alias("e"))).alias("__spans")), "spans")
-    joined = lookup(docs, spans, _doc(docs) == F.col("__id"), "left").drop("__id")
+    names = docs.columns
+    spans = stage(found.groupBy(F.col("doc").alias("__id")).agg(F.collect_set(F.struct(F.col("first_word").cast("int").alias("s"), F.col("last_word").cast("int").alias("e"))).alias("__spans")), "spans")
+    joined = lookup(_keyed(docs), spans, F.col("__doc") == F.col("__id"), "left").select(*names, "__spans")
     schema = docs.schema
-    names = schema.fieldNames()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
