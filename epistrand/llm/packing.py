@@ -32,8 +32,10 @@ from ._common import dense_rank_within, stage
 
 #: Texts with these separators are encoded whole: Python splits at them, the tokenizer does not.
 _ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
-#: Most words that a worker remembers; beyond it, the memory starts anew (only speed changes).
-MEMO = 400_000
+#: Most bytes of words and ids that each of a task's three memories holds; beyond it, the memory starts anew (only speed changes).
+MEMO = 12 << 20
+#: About the bytes of an entry besides its word and ids.
+ENTRY = 200
 SALTS = 256
 
 
@@ -48,16 +50,19 @@ _LATIN_BYTES = {c: "".join(_BYTE[b] for b in chr(c).encode()) for c in range(128
 
 
 class _Memo(dict):
-    """word -> ids; forgets everything at ``MEMO`` words."""
+    """word -> ids; forgets everything at ``MEMO`` bytes."""
 
     def __init__(self, encode):
         super().__init__()
-        self.encode = encode
+        self.encode, self.held = encode, 0
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= MEMO:
+        ids = self.encode(word)
+        self.held += ENTRY + len(word) + len(ids)
+        if self.held > MEMO:
             self.clear()
-        ids = self[word] = self.encode(word)
+            self.held = 0
+        self[word] = ids
         return ids
 
 
@@ -93,6 +98,11 @@ class WordEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         return [self._text(t) for t in texts]
 
+    def forget(self) -> None:
+        for memo in (self.runs, self.latin, self.words):
+            memo.clear()
+            memo.held = 0
+
     def _text(self, text: str) -> bytes:
         if any(c in text for c in _ODD):
             return self.whole(text)
@@ -145,6 +155,7 @@ def pieces(docs: DataFrame, tokenizer: str, length: int, end_id: int, id_col: st
                     crc.append(zlib.crc32(part))
                     of.append(total)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), *[pa.array(x, pa.int64()) for x in (start, n, crc, of)]], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+        enc.forget()  # the worker is used again, by other operators too
 
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(cut, schema)
 
