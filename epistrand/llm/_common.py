@@ -18,7 +18,8 @@ _staged: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or a temporary one in local mode."""
+    """The folder that all executors share: ``spark.checkpoint.dir``. Where that is unset, in local mode only (as in
+    tests), a temporary folder of the machine serves, since driver and executors are one process there."""
     set_dir = spark.conf.get("spark.checkpoint.dir", None)
     if set_dir is None:
         if not spark.sparkContext.master.startswith("local"):
@@ -35,12 +36,18 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     readers prune columns. The folder is removed when the driver ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = staged_path(spark, name)
     df.write.parquet(path)
-    _staged.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+def staged_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder that is removed when the driver ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _staged.append((spark, path))
+    return path
+
+
 @atexit.register
 def _clean() -> None:
     for spark, path in _staged:
@@ -49,7 +56,7 @@ def _clean() -> None:
             where = jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
         except Exception:  # the session has ended, or the cluster cleans the folder itself
-            return
+            continue
 
 
 def _row_bytes(df: DataFrame) -> Column:

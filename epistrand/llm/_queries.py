@@ -81,5 +81,72 @@ def queries() -> dict:
     return {f.__name__: f for f in named}
 
 
+#: Least node reachable by ``links`` (x, y: both directions) of every row of ``nodes`` (id).
+_REACH = """
+reach(id, root) AS (
+    SELECT id, id FROM nodes
+    UNION
+    SELECT l.y, r.root FROM reach r JOIN links l ON l.x = r.id WHERE r.root < l.y
+),
+least AS (SELECT id, min(root) AS component_id FROM reach GROUP BY id)
+"""
+
+_OP3 = f"""
+WITH RECURSIVE usable AS (
+    SELECT vec_id, label, v, sqrt(list_inner_product(v, v)) AS norm
+    FROM (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings)
+    WHERE label IS NOT NULL AND v IS NOT NULL AND len(v) > 0
+      AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0
+),
+links AS (
+    SELECT a.vec_id AS x, b.vec_id AS y FROM usable a JOIN usable b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+    WHERE list_inner_product(a.v, b.v) / (a.norm * b.norm) >= 0.93
+),
+nodes AS (SELECT DISTINCT vec_id AS id FROM embeddings),
+{_REACH}
+SELECT e.vec_id, (SELECT count(*) FROM links l WHERE l.x = e.vec_id) AS n_links, c.component_id, e.vec_id = c.component_id AS kept
+FROM embeddings e JOIN least c ON c.id = e.vec_id
+"""
+
+_OP4 = r"""
+WITH said AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
+    UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'
+),
+seen AS (
+    SELECT *, lag(role) OVER w AS before, lead(role) OVER w AS after,
+        12 + length(regexp_replace(role, '<(\\*)\|', '<\1\\|', 'g')) + 5 * (length(role) - length(replace(role, chr(10), ''))) + 1
+        + length(regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g')) + 11 AS chars
+    FROM said WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
+)
+SELECT conv_id, count(*) AS n_turns,
+    sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+    coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+    sum(chars)::BIGINT AS formatted_chars,
+    bool_and(CASE WHEN before IS NULL THEN role IN ('system', 'user') WHEN before IN ('system', 'assistant') THEN role = 'user' ELSE before = 'user' AND role = 'assistant' END
+        AND (after IS NOT NULL OR role = 'assistant')) AS valid_order
+FROM seen GROUP BY conv_id
+"""
+
+_OP10 = rf"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+),
+sets AS (
+    SELECT doc_id, CASE WHEN len(w) < 2 THEN w ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS items FROM words
+),
+items AS (SELECT doc_id, len(items) AS n, unnest(items) AS item FROM sets),
+common AS (SELECT a.doc_id AS x, b.doc_id AS y, a.n AS n, b.n AS m, count(*) AS c FROM items a JOIN items b ON a.item = b.item AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM common WHERE 100 * c >= 80 * (n + m - c)),
+nodes AS (SELECT DISTINCT doc_id AS id FROM documents),
+{_REACH}
+SELECT s.doc_id, len(s.items) AS n_shingles, c.component_id, s.doc_id = c.component_id AS kept
+FROM sets s JOIN least c ON c.id = s.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The queries that SQL expresses on the tables of the small folders (all pairs, so not on larger ones)."""
+    return {"op3_vec_dup": _OP3, "op4_chat": _OP4, "op10_near_dup": _OP10}

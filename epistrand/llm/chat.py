@@ -8,7 +8,8 @@ flag; a turn's text is a segment of its own, under the loss if its role is train
 Nulls: a null text or role is empty; null turns come first; rows without a conversation id form one
 conversation. Equal turns are ordered by role, then text; repeated rows are separate turns. Rows of
 one conversation are streamed in order in bounded memory, however many there are: a digest of a
-conversation's turns in order cannot be divided. An empty table gives no rows.
+conversation's turns in order cannot be divided. A text of any length is one segment. Columns besides
+the four named ones play no part, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -68,7 +69,7 @@ SEGMENTS = "conv_id {id}, turn_no long, part string, text string, loss boolean,
 
 def format_chat(chats: DataFrame, template: Template = Template(), id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """Segments of every turn, in order within a partition: conv_id, turn_no, part (head, body, foot), text, loss,
-    valid_turn (the machine allows the role there), last (of the conversation)."""
+    valid_turn (the machine allows the role there and, in the last foot, ends in a final state), last (of the conversation)."""
     rows = chats.select(F.col(id_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.repartition(F.col("conv_id")).sortWithinPartitions(F.col("conv_id").asc_nulls_first(), F.col("turn").asc_nulls_first(), "role", "text")
 
@@ -81,7 +82,7 @@ def format_chat(chats: DataFrame, template: Template = Template(), id_col: str =
             loss = role in template.loss_roles
             rows.append((conv, no, "head", template.start + escape_role(role) + template.role_end, False, valid, False))
             rows.append((conv, no, "body", escape(text), loss, valid, False))
-            rows.append((conv, no, "foot", template.end + template.turn_end, False, valid, last))
+            rows.append((conv, no, "foot", template.end + template.turn_end, False, valid and (not last or state in template.final_states), last))
 
         def frame(rows: list) -> pd.DataFrame:
             f = pd.DataFrame(rows, columns=["conv_id", "turn_no", "part", "text", "loss", "valid_turn", "last"])

@@ -5,7 +5,9 @@ score. Trees are grown on the driver from a bounded sample of labelled rows, lev
 binned statistics, and flattened into arrays; scoring walks all rows down each tree at once.
 
 A null text counts as empty and gets a score. Documents without a label are scored like others; a
-null id is never labelled. Repeated rows get equal scores. Without labels of both kinds every score
+null id is never labelled. Repeated rows get equal scores. Texts are measured whole, however long;
+columns other than ``doc_id`` and ``text`` play no part, whatever their names; splits of equal gain
+go to the earlier statistic and the lower threshold. Without labels of both kinds every score
 is the share of label 1 (0.5 without any label). An empty table gives no rows.
 """
 
@@ -137,10 +139,14 @@ def measured(docs: DataFrame, extra: list[str]) -> DataFrame:
 
 def fit(docs: DataFrame, sample: DataFrame, **options) -> Forest:
     """Grow a forest from the labelled rows; ``sample`` is bounded, so it is broadcast to leave the texts where they are."""
-    labelled = docs.join(F.broadcast(sample), docs["doc_id"] == F.col("_id")).select("text", "label")
-    rows = measured(labelled, ["label"]).orderBy("label", "x").toPandas()
+    texts = docs.select(F.col("doc_id").alias("__doc"), "text")
+    labelled = texts.join(F.broadcast(sample.select(F.col("_id").alias("__id"), "label")), F.col("__doc") == F.col("__id")).select("text", "label")
+    rows = measured(labelled, ["label"]).toPandas()
     x = np.stack(rows["x"].to_list()) if len(rows) else np.zeros((0, N_FEATURES))
-    return grow(x, rows["label"].to_numpy(np.float64), **options)
+    y = rows["label"].to_numpy(np.float64)
+    # In one order whatever the tasks did, so that the trees come out alike; the rows are bounded by the sample.
+    order = np.lexsort((*x.T, y))
+    return grow(x[order], y[order], **options)
 
 
 def classify(docs: DataFrame, forest: Forest, threshold: float) -> DataFrame:
