@@ -240,7 +240,7 @@ def find(docs: DataFrame, least: int = 50, similarity: float = 0.8) -> DataFrame
     matches = salted.join(dealt, ["seed", "salt"]).where(F.col("doc") > F.col("other")).select("doc", "other", "pos", "at", "seed")
     matches = stage(matches, "matches")
     found = stage(_passages(keyed, matches.select("doc", "other", "pos", "at"), least, similarity, ["pos", "at"]), "passages")
-    more = _passages(keyed, _open_matches(keyed, s, matches, found, least), least, similarity, ["d0", "d1", "a0", "a1"])
+    more = _passages(keyed, _open_matches(keyed, first, matches, found, least), least, similarity, ["d0", "d1", "a0", "a1"])
     all_found = found.union(more).dropDuplicates(["doc", "other", "first_word", "last_word"])
     ids = stage(keyed.where("__doc < 0").select(F.col("__doc").alias("key"), F.col("doc_id").alias("id")).dropDuplicates(["key"]), "ids")
     for name in ("doc", "other"):
@@ -254,17 +254,25 @@ def find(docs: DataFrame, least: int = 50, similarity: float = 0.8) -> DataFrame
     return all_found.select(named("doc"), named("other"), "first_word", "last_word", "other_first", "other_last", "similarity", "doc", "other")
 
 
-def _open_matches(keyed: DataFrame, s: DataFrame, matches: DataFrame, found: DataFrame, least: int) -> DataFrame:
+def _open_matches(keyed: DataFrame, first: DataFrame, matches: DataFrame, found: DataFrame, least: int) -> DataFrame:
     """(doc, other, d0, d1, a0, a1): stretches to align around seeds that an earlier document holds and no passage of ``found`` covers."""
     reach = least - K
+    # Seeds that several documents hold: the later holders, which ask, and the first, which only offer.
+    held = matches.select("doc", F.col("pos").alias("at"), "seed", F.lit(True).alias("asks"))
+    held = held.union(first.select(F.col("other").alias("doc"), "at", "seed", F.lit(False))).distinct()
+    spans = found.select("doc", F.col("first_word").cast("int").alias("at"), F.col("last_word").cast("int").alias("end")).distinct()
+    ends = spans.select("doc", F.explode(F.array(F.col("at"), F.col("end") + 1)).alias("at")).distinct()
+    none = [F.lit(None).cast("long").alias("seed"), F.lit(None).cast("boolean").alias("asks")]
+    rows = held.select("doc", "at", "seed", "asks", F.lit(None).cast("int").alias("end"), F.lit(False).alias("edge"))
+    rows = rows.union(spans.select("doc", "at", *none, "end", F.lit(False))).union(ends.select("doc", "at", *none, F.lit(None).cast("int"), F.lit(True)))
     by_pos = Window.partitionBy("doc").orderBy("at")
-    spans = found.select("doc", F.col("first_word").cast("int").alias("at"), F.col("last_word").cast("int").alias("end"), F.lit(None).cast("long").alias("seed"))
-    both = spans.union(matches.select("doc", F.col("pos").alias("at"), F.lit(None).cast("int"), "seed"))
-    covered = F.max("end").over(by_pos.rangeBetween(Window.unboundedPreceding, 0))
-    bare = both.withColumn("bare", F.coalesce(covered, F.lit(-1)) < F.col("at") + K - 1).where("seed is not null")
-    near = F.max("bare").over(by_pos.rangeBetween(-reach, reach))
-    wanted = stage(bare.withColumn("near", near).where("near").select("doc", F.col("at").alias("pos"), "seed").distinct(), "wanted")
-    held = lookup(s, wanted.select("seed").distinct(), "seed", "left_semi").select("doc", "pos", "seed").distinct()
+    covered = F.coalesce(F.max("end").over(by_pos.rangeBetween(Window.unboundedPreceding, 0)), F.lit(-1)) >= F.col("at") + K - 1
+    around = by_pos.rangeBetween(-reach, reach)
+    rows = rows.withColumn("bare", F.col("seed").isNotNull() & ~covered)
+    rows = rows.withColumn("near", F.max("bare").over(around)).withColumn("loose", F.col("near") | F.max("edge").over(around)).where("seed is not null and loose")
+    # A passage that is covered in its earliest holder lies in one found passage, or an edge of one lies in it.
+    loose = stage(rows.groupBy("doc", F.col("at").alias("pos"), "seed").agg(F.max(F.col("asks") & F.col("near")).alias("wanted")), "loose")
+    wanted = loose.where("wanted").select("doc", "pos", "seed")
 
     def pairs(rows: DataFrame) -> DataFrame:
         """Seeds with each seed of the same document that starts ``reach - 30`` to ``reach`` words on."""
@@ -273,7 +281,7 @@ def _open_matches(keyed: DataFrame, s: DataFrame, matches: DataFrame, found: Dat
 
     asked = stage(pairs(wanted), "asked")
     keys = asked.groupBy("key").agg(F.max("doc").alias("last"))
-    offered = stage(lookup(pairs(held), keys, "key", "inner").where(F.col("doc") <= F.col("last")).select("doc", "p", "q", "key"), "offered")
+    offered = stage(lookup(pairs(loose.drop("wanted")), keys, "key", "inner").where(F.col("doc") <= F.col("last")).select("doc", "p", "q", "key"), "offered")
     first = offered.groupBy("key").agg(F.min(F.struct("doc", "p", "q")).alias("a"), F.max("doc").alias("m")).where(F.col("a.doc") < F.col("m"))
     first = stage(first.select("key", F.col("a.doc").alias("other"), F.col("a.p").alias("a0"), F.col("a.q").alias("a1")), "firsts")
     joined = stage(lookup(asked, first, "key", "inner").where(F.col("doc") > F.col("other")), "joined")
@@ -289,13 +297,13 @@ def _open_matches(keyed: DataFrame, s: DataFrame, matches: DataFrame, found: Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, text, at in zip(*(b.column(c).to_pylist() for c in ("doc", "text", "places")), strict=True):
-                h = shingles(word_hashes(text), least)
+            for r, (i, text) in enumerate(zip(b.column("doc").to_pylist(), b.column("text").to_pylist(), strict=True)):
+                h, at = shingles(word_hashes(text), least), b.column("places")[r].values
+                lo, hi, asks = (at.field(c).to_numpy(zero_copy_only=False) for c in ("lo", "hi", "open"))
                 inside = np.zeros((2, len(h) + 1), np.int64)
-                for x in at:
-                    for row in (0, 1) if x["open"] else (0,):
-                        inside[row, min(x["lo"], len(h))] += 1
-                        inside[row, min(x["hi"] + 1, len(h))] -= 1
+                for row, x in ((0, np.ones(len(lo), bool)), (1, asks)):
+                    np.add.at(inside[row], np.minimum(lo[x], len(h)), 1)
+                    np.add.at(inside[row], np.minimum(hi[x] + 1, len(h)), -1)
                 inside = inside.cumsum(axis=1)[:, :-1] > 0
                 p = np.flatnonzero(inside[0])
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(p), i, np.int64)), pa.array(p.astype(np.int32)), pa.array(h[p].view(np.int64)), pa.array(inside[1][p])], ["doc", "p", "key", "open"])
