@@ -240,8 +240,9 @@ def find(docs: DataFrame, least: int = 50, similarity: float = 0.8) -> DataFrame
     matches = salted.join(dealt, ["seed", "salt"]).where(F.col("doc") > F.col("other")).select("doc", "other", "pos", "at", "seed")
     matches = stage(matches, "matches")
     found = stage(_passages(keyed, matches.select("doc", "other", "pos", "at"), least, similarity, ["pos", "at"]), "passages")
-    more = _passages(keyed, _open_matches(keyed, first, matches, found, least), least, similarity, ["d0", "d1", "a0", "a1"])
-    all_found = found.union(more).dropDuplicates(["doc", "other", "first_word", "last_word"])
+    exact, fuzzy = _open_matches(keyed, first, matches, found, least)
+    more = _passages(keyed, fuzzy, least, similarity, ["d0", "d1", "a0", "a1"])
+    all_found = found.union(exact).union(more).dropDuplicates(["doc", "other", "first_word", "last_word"])
     ids = stage(keyed.where("__doc < 0").select(F.col("__doc").alias("key"), F.col("doc_id").alias("id")).dropDuplicates(["key"]), "ids")
     for name in ("doc", "other"):
         of = ids.select(F.col("key").alias(name), F.col("id").alias(f"{name}_own"))
@@ -254,8 +255,9 @@ def find(docs: DataFrame, least: int = 50, similarity: float = 0.8) -> DataFrame
     return all_found.select(named("doc"), named("other"), "first_word", "last_word", "other_first", "other_last", "similarity", "doc", "other")
 
 
-def _open_matches(keyed: DataFrame, first: DataFrame, matches: DataFrame, found: DataFrame, least: int) -> DataFrame:
-    """(doc, other, d0, d1, a0, a1): stretches to align around seeds that an earlier document holds and no passage of ``found`` covers."""
+def _open_matches(keyed: DataFrame, first: DataFrame, matches: DataFrame, found: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+    """Verbatim passages, and (doc, other, d0, d1, a0, a1), stretches to align, around seeds that an earlier document holds and no
+    passage of ``found`` covers."""
     reach = least - K
     # Seeds that several documents hold: the later holders, which ask, and the first, which only offer.
     held = matches.select("doc", F.col("pos").alias("at"), "seed", F.lit(True).alias("asks"))
@@ -271,22 +273,20 @@ def _open_matches(keyed: DataFrame, first: DataFrame, matches: DataFrame, found:
     rows = rows.withColumn("bare", F.col("seed").isNotNull() & ~covered)
     rows = rows.withColumn("near", F.max("bare").over(around)).withColumn("loose", F.col("near") | F.max("edge").over(around)).where("seed is not null and loose")
     # A passage that is covered in its earliest holder lies in one found passage, or an edge of one lies in it.
-    loose = stage(rows.groupBy("doc", F.col("at").alias("pos"), "seed").agg(F.max(F.col("asks") & F.col("near")).alias("wanted")), "loose")
-    wanted = loose.where("wanted").select("doc", "pos", "seed")
+    loose = stage(rows.groupBy("doc", F.col("at").alias("pos"), "seed").agg(F.max(F.col("asks") & F.col("near")).alias("wanted"), F.max("bare").alias("bare")), "loose")
+    wanted = loose.where("wanted").select("doc", "pos", "seed", "bare")
 
     def pairs(rows: DataFrame) -> DataFrame:
         """Seeds with each seed of the same document that starts ``reach - 30`` to ``reach`` words on."""
-        on = F.collect_list(F.struct("pos", "seed")).over(Window.partitionBy("doc").orderBy("pos").rangeBetween(reach - 30, reach))
-        return rows.withColumn("on", on).select("doc", F.col("pos").alias("p"), "seed", F.explode("on").alias("x")).select("doc", "p", F.col("x.pos").alias("q"), F.xxhash64("seed", "x.seed").alias("key"))
+        on = F.collect_list(F.struct("pos", "seed", "bare")).over(Window.partitionBy("doc").orderBy("pos").rangeBetween(reach - 30, reach))
+        return rows.withColumn("on", on).select("doc", F.col("pos").alias("p"), "seed", "bare", F.explode("on").alias("x")).select("doc", "p", F.col("x.pos").alias("q"), F.xxhash64("seed", "x.seed").alias("key"), (F.col("bare") | F.col("x.bare")).alias("bare"))
 
-    asked = stage(pairs(wanted), "asked")
+    asked = stage(pairs(wanted).where("bare").drop("bare"), "asked")
     keys = asked.groupBy("key").agg(F.max("doc").alias("last"))
     offered = stage(lookup(pairs(loose.drop("wanted")), keys, "key", "inner").where(F.col("doc") <= F.col("last")).select("doc", "p", "q", "key"), "offered")
     first = offered.groupBy("key").agg(F.min(F.struct("doc", "p", "q")).alias("a"), F.max("doc").alias("m")).where(F.col("a.doc") < F.col("m"))
     first = stage(first.select("key", F.col("a.doc").alias("other"), F.col("a.p").alias("a0"), F.col("a.q").alias("a1")), "firsts")
     joined = stage(lookup(asked, first, "key", "inner").where(F.col("doc") > F.col("other")), "joined")
-    fuzzy = joined.select("doc", "other", F.col("p").alias("d0"), F.col("q").alias("d1"), "a0", "a1")
-
     # Windows of ``least`` words that hold both seeds of a pair.
     live = joined.select("key").distinct()
     places = lookup(offered, live, "key", "left_semi").select("doc", "p", "q", F.lit(False).alias("open"))
@@ -312,8 +312,21 @@ def _open_matches(keyed: DataFrame, first: DataFrame, matches: DataFrame, found:
     first = windows.groupBy("key").agg(F.min(F.struct("doc", "p")).alias("a"), F.max(F.when(F.col("open"), F.col("doc"))).alias("m")).where(F.col("a.doc") < F.col("m"))
     first = first.select("key", F.col("a.doc").alias("other"), F.col("a.p").alias("a0"))
     exact = windows.where("open").join(first, "key").where(F.col("doc") > F.col("other"))
-    exact = exact.select("doc", "other", F.col("p").alias("d0"), (F.col("p") + reach).alias("d1"), "a0", (F.col("a0") + reach).alias("a1"))
-    return fuzzy.union(exact)
+    # Windows that follow each other in both documents are one passage.
+    line = Window.partitionBy("doc", "other", "shift").orderBy("p")
+    exact = exact.withColumn("shift", F.col("a0") - F.col("p")).withColumn("new", (F.col("p") - F.lag("p", 1, -2).over(line) > 1).cast("int"))
+    exact = exact.withColumn("run", F.sum("new").over(line)).groupBy("doc", "other", "shift", "run").agg(F.min("p").cast("long").alias("first_word"), (F.max("p") + least - 1).cast("long").alias("last_word"))
+    exact = exact.select("doc", "other", "first_word", "last_word", (F.col("first_word") + F.col("shift")).alias("other_first"), (F.col("last_word") + F.col("shift")).alias("other_last"), F.lit(1.0).alias("similarity"))
+    exact = stage(exact, "exact")
+    # Pairs inside those need no look; what else they hold may be fuzzy.
+    ends = exact.select("doc", F.col("first_word").cast("int").alias("d0"), F.col("last_word").alias("end"))
+    rows = joined.select("doc", "other", F.col("p").alias("d0"), F.col("q").alias("d1"), "a0", "a1", F.lit(None).cast("long").alias("end"))
+    rows = rows.union(ends.select("doc", F.lit(None).cast("long"), "d0", *[F.lit(None).cast("int") for _ in range(3)], "end"))
+    upto = F.max("end").over(Window.partitionBy("doc").orderBy("d0").rangeBetween(Window.unboundedPreceding, 0))
+    fuzzy = rows.withColumn("upto", upto).where("other is not null and coalesce(upto, -1) < d1 + " + str(K - 1)).select("doc", "other", "d0", "d1", "a0", "a1")
+    # Verbatim passages may go on with edits, so their ends are aligned as well.
+    whole = exact.select("doc", "other", F.col("first_word").cast("int").alias("d0"), (F.col("last_word") + 1 - K).cast("int").alias("d1"), F.col("other_first").cast("int").alias("a0"), (F.col("other_last") + 1 - K).cast("int").alias("a1"))
+    return exact, fuzzy.union(whole)
 
 
 def _passages(keyed: DataFrame, matches: DataFrame, least: int, similarity: float, ends_of: list[str]) -> DataFrame:
@@ -337,8 +350,14 @@ def _passages(keyed: DataFrame, matches: DataFrame, least: int, similarity: floa
                     merged[-1] = [merged[-1][0], max(d1, merged[-1][1]), min(a0, merged[-1][2]), max(a1, merged[-1][3]), merged[-1][4]]
                 else:
                     merged.append([d0, d1, a0, a1, []])
-                merged[-1][4] += [d0, d1 + K - 1, a0, a1 + K - 1]
-            out += [(rows[0, 0], rows[0, 1], d0, d1 + K - 1, a0, a1 + K - 1, parts if len(parts) > 4 else []) for d0, d1, a0, a1, parts in merged]
+                parts = merged[-1][4]
+                for part in parts[-16:] if len(ends_of) == 4 else ():  # pairs on one diagonal that overlap are one chain
+                    if a0 - d0 == part[2] - part[0] and d0 <= part[1] + 1:
+                        part[1], part[3] = max(part[1], d1 + K - 1), max(part[3], a1 + K - 1)
+                        break
+                else:
+                    parts.append([d0, d1 + K - 1, a0, a1 + K - 1])
+            out += [(rows[0, 0], rows[0, 1], d0, d1 + K - 1, a0, a1 + K - 1, [x for part in parts for x in part] if len(parts) > 1 else []) for d0, d1, a0, a1, parts in merged]
 
         def frame(out: list) -> pd.DataFrame:
             f = pd.DataFrame(np.array([x[:6] for x in out], np.int64).reshape(-1, 6), columns=["doc", "other", "d0", "d1", "a0", "a1"])
