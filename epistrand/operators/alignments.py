@@ -52,26 +52,53 @@ def sniff(alignments: DataFrame) -> dict:
     return {"records": n, "proper": proper, "templates": same, "tags": tags, "paired": paired, "sorted": ordered, "tagged": "MM" if "MM" in has else "XM"}
 
 
-def project(payload: Column, cigar: Column, fill: str = "-") -> Column:
-    """Query string -> reference space: insertions and soft clips go, deletions and skips become ``fill``."""
-    ops = F.arrays_zip(F.regexp_extract_all(cigar, F.lit(r"(\d+)([MIDNSHP=X])"), F.lit(1)).alias("n"), F.regexp_extract_all(cigar, F.lit(r"(\d+)([MIDNSHP=X])"), F.lit(2)).alias("op"))
-    start = F.struct(F.lit(1).alias("q"), F.lit("").alias("out"))
+def _ops(cigar: Column) -> Column:
+    rx = F.lit(r"(\d+)([MIDNSHP=X])")
+    return F.arrays_zip(F.regexp_extract_all(cigar, rx, F.lit(1)).alias("n"), F.regexp_extract_all(cigar, rx, F.lit(2)).alias("op"))
+
+
+def _pieces(cigar: Column) -> Column:
+    """What the reference space of a read is made of, in order: (from, n) runs of the query, ``from`` 0 for a gap."""
+    start = F.struct(F.lit(1).alias("q"), F.array().cast("array<struct<from:int,n:int>>").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         n, op = x["n"].cast("int"), x["op"]
-        took = F.when(op.isin("M", "=", "X"), F.substring(payload, acc["q"], n)).when(op.isin("D", "N"), F.repeat(F.lit(fill), n)).otherwise("")
+        took = F.when(op.isin("M", "=", "X"), F.array(F.struct(acc["q"].alias("from"), n.alias("n")))).when(op.isin("D", "N"), F.array(F.struct(F.lit(0).alias("from"), n.alias("n")))).otherwise(F.array().cast("array<struct<from:int,n:int>>"))
         return F.struct(F.when(op.isin("M", "=", "X", "I", "S"), acc["q"] + n).otherwise(acc["q"]).alias("q"), F.concat(acc["out"], took).alias("out"))
 
     bad = ~cigar.rlike(r"^(\d+[MIDNSHP=X])+$")
-    return F.when(bad, F.raise_error(F.concat(F.lit("unknown CIGAR operation: "), cigar))).otherwise(F.aggregate(ops, start, step, lambda a: a["out"]))
+    return F.when(bad, F.raise_error(F.concat(F.lit("unknown CIGAR operation: "), cigar)).cast("array<struct<from:int,n:int>>")).otherwise(F.aggregate(_ops(cigar), start, step, lambda a: a["out"]))
+
+
+def project(payload: Column, cigar: Column, fill: str = "-") -> Column:
+    """Query string -> reference space: insertions and soft clips go, deletions and skips become ``fill``."""
+    return _laid_out(payload, _pieces(cigar), fill)
+
+
+def _laid_out(payload: Column, pieces: Column, fill: str) -> Column:
+    # The string is split once, so the work is linear in the read however many operations it has.
+    chars = F.split(payload, "")
+    whole = (F.size(pieces) == 1) & (F.get(pieces, F.lit(0))["from"] == 1)
+    some = F.array_join(F.flatten(F.transform(pieces, lambda x: F.when(x["from"] > 0, F.slice(chars, F.greatest(x["from"], F.lit(1)), x["n"])).otherwise(F.array_repeat(F.lit(fill), x["n"])))), "")
+    return F.when(whole, F.substring(payload, F.lit(1), F.get(pieces, F.lit(0))["n"])).otherwise(some)
+
+
+def _projected(a: DataFrame, min_baseq: int, *keep: Column | str) -> DataFrame:
+    """``keep``, seq and xm in reference space, with bases of low quality masked."""
+    p = a.withColumn("_pieces", _pieces(F.col("cigar")))
+    p = p.withColumns({"seq": mask(F.col("seq"), F.col("qual"), min_baseq, "N"), "xm": mask(F.col("xm"), F.col("qual"), min_baseq, "-")}) if min_baseq > 0 else p
+    return p.select(*keep, _laid_out(F.col("seq"), F.col("_pieces"), "N").alias("seq"), _laid_out(F.col("xm"), F.col("_pieces"), "-").alias("xm"))
 
 
 def mask(payload: Column, qual: Column, least: int, fill: str) -> Column:
     """``fill`` where the base quality is below ``least``."""
     if least <= 0:
         return payload
-    low = F.zip_with(F.split(payload, ""), F.split(qual, ""), lambda c, q: F.when(F.ascii(q) - 33 >= least, c).otherwise(F.lit(fill)))
-    return F.array_join(low, "")
+    # Qualities are single characters, so they compare as text; a read without low ones is left as it is.
+    enough = chr(33 + least)
+    low = F.zip_with(F.split(payload, ""), F.split(qual, ""), lambda c, q: F.when(q >= enough, c).otherwise(F.lit(fill)))
+    some = qual.rlike(f"[\\x21-\\x{32 + least:02x}]")
+    return F.when(some, F.array_join(low, "")).otherwise(payload)
 
 
 def strand_of(xg: Column) -> Column:
@@ -94,32 +121,35 @@ _OUT = ["templid", "rname", "strand", "start", "seq", "xm"]
 def single_reads(alignments: DataFrame, min_mapq: int = 0, min_baseq: int = 0, trim: int | tuple[int, int] = 0, **skips) -> DataFrame:
     """Single-end records with XM and XG, one read each."""
     a = alignments.where((F.col("flag").bitwiseAND(skip_mask(False, **skips)) == 0) & (F.col("mapq") >= min_mapq) & F.col("xm").isNotNull() & F.col("xg").isNotNull())
-    seq, xm = mask(F.col("seq"), F.col("qual"), min_baseq, "N"), mask(F.col("xm"), F.col("qual"), min_baseq, "-")
-    r = a.select(F.col("rec_no").alias("templid"), "rname", strand_of(F.col("xg")).alias("strand"), F.col("pos").cast("int").alias("start"), project(seq, F.col("cigar"), "N").alias("seq"), project(xm, F.col("cigar")).alias("xm"))
+    r = _projected(a, min_baseq, F.col("rec_no").alias("templid"), "rname", strand_of(F.col("xg")).alias("strand"), F.col("pos").cast("int").alias("start"))
     return trimmed(r, trim).select(*_OUT)
 
 
 def paired_reads(alignments: DataFrame, min_mapq: int = 0, min_baseq: int = 0, trim: int | tuple[int, int] = 0, **skips) -> DataFrame:
     """Proper pairs merged into templates: at each position the strictly better base wins, the first record on a tie.
 
-    Records are projected before the shuffle on the name; the merge is row-local on the two strings.
+    Records are projected before the one shuffle on the name, which moves whole reads; the records of a template are
+    then laid over each other in order, array by array.
     """
     a = alignments.where((F.col("flag").bitwiseAND(skip_mask(True, **skips)) == 0) & (F.col("flag").bitwiseAND(PROPER) != 0) & (F.col("mapq") >= min_mapq) & F.col("xm").isNotNull() & F.col("xg").isNotNull())
-    p = a.select("qname", "rec_no", "rname", strand_of(F.col("xg")).alias("strand"), F.col("pos").cast("int").alias("pos"), F.least("pos", "pnext").cast("int").alias("left"), F.abs("tlen").cast("int").alias("span"), *[project(F.col(c), F.col("cigar"), f).alias(c) for c, f in (("seq", "N"), ("xm", "-"), ("qual", "!"))])
-    r = p.select("*", F.posexplode(F.arrays_zip(F.split("seq", "").alias("b"), F.split("xm", "").alias("c"), F.split("qual", "").alias("q"))).alias("i", "x"))
-    r = r.select("qname", "rec_no", "rname", "strand", "left", "span", (F.col("pos") + F.col("i")).alias("at"), F.col("x")["b"].alias("b"), F.col("x")["c"].alias("c"), (F.ascii(F.col("x")["q"]) - 33).alias("q"))
-    least = max(min_baseq - 1, 0)
-    head = F.min_by(F.struct("rname", "strand", "left", "span", F.col("rec_no").alias("templid")), "rec_no").alias("h")
-    best = F.when(F.col("q") > least, F.struct("b", "c"))
-    g = r.groupBy("qname", "at").agg(head, F.max_by(best, F.when(F.col("q") > least, F.struct("q", -F.col("rec_no")))).alias("v"))
-    t = g.groupBy("qname").agg(F.min_by("h", "h.templid").alias("h"), F.min("h.left").alias("left"), F.max("at").alias("last"), F.map_from_entries(F.collect_list(F.struct("at", "v"))).alias("m"))
-    end = F.greatest(F.col("left") + F.col("h.span") - 1, F.col("last"))
-    places = F.sequence(F.col("left"), end)
-
-    def text(part: str, fill: str) -> Column:
-        return F.array_join(F.transform(places, lambda x: F.coalesce(F.try_element_at(F.col("m"), x)[part], F.lit(fill))), "")
-
-    out = t.select(F.col("h.templid").alias("templid"), F.col("h.rname").alias("rname"), F.col("h.strand").alias("strand"), F.col("left").alias("start"), text("b", "N").alias("seq"), text("c", "-").alias("xm"))
+    a = a.withColumn("_pieces", _pieces(F.col("cigar")))
+    texts = [_laid_out(F.col(c), F.col("_pieces"), f).alias(c) for c, f in (("seq", "N"), ("xm", "-"), ("qual", "!"))]
+    p = a.select("qname", F.struct("rec_no", "rname", strand_of(F.col("xg")).alias("strand"), F.col("pos").cast("int").alias("pos"), F.least("pos", "pnext").cast("int").alias("left"), F.abs("tlen").cast("int").alias("span"), *texts).alias("r"))
+    t = p.groupBy("qname").agg(F.array_sort(F.collect_list("r")).alias("rs"))
+    left = F.array_min(F.transform("rs", lambda r: r["left"]))
+    last = F.array_max(F.transform("rs", lambda r: r["pos"] + F.length(r["xm"]) - 1))
+    t = t.withColumns({"h": F.element_at("rs", 1), "left": left}).withColumn("end", F.greatest(F.col("left") + F.col("h.span") - 1, last))
+    nothing = F.struct(F.lit(chr(33 + max(min_baseq - 1, 0))).alias("q"), F.lit("N").alias("b"), F.lit("-").alias("c"))
+    blank = F.struct(F.lit("!").alias("q"), F.lit("N").alias("b"), F.lit("-").alias("c"))
+
+    def overlaid(acc: Column, r: Column) -> Column:
+        own = F.arrays_zip(F.split(r["qual"], "").alias("q"), F.split(r["seq"], "").alias("b"), F.split(r["xm"], "").alias("c"))
+        at = F.concat(F.array_repeat(blank, r["pos"] - F.col("left")), F.slice(own, F.lit(1), F.length(r["xm"])), F.array_repeat(blank, F.greatest(F.lit(0), F.col("end") - r["pos"] - F.length(r["xm"]) + 1)))
+        return F.zip_with(acc, at, lambda x, y: F.when(y["q"] > x["q"], y).otherwise(x))
+
+    merged = F.aggregate("rs", F.array_repeat(nothing, F.col("end") - F.col("left") + 1), overlaid)
+    t = t.withColumn("m", merged)
+    out = t.select(F.col("h.rec_no").alias("templid"), F.col("h.rname").alias("rname"), F.col("h.strand").alias("strand"), F.col("left").alias("start"), F.array_join(F.transform("m", lambda x: x["b"]), "").alias("seq"), F.array_join(F.transform("m", lambda x: x["c"]), "").alias("xm"))
     return trimmed(out, trim).select(*_OUT)
 
 
@@ -192,8 +222,7 @@ def long_reads(alignments: DataFrame, min_mapq: int = 0, min_baseq: int = 0, min
             yield pd.DataFrame(rows, columns=["templid", "rname", "pos", "cigar", "seq", "qual", "strand", "xm"])
 
     d = a.mapInPandas(strands, "templid long, rname string, pos int, cigar string, seq string, qual string, strand string, xm string")
-    seq, xm = mask(F.col("seq"), F.col("qual"), min_baseq, "N"), mask(F.col("xm"), F.col("qual"), min_baseq, "-")
-    r = d.select("templid", "rname", "strand", F.col("pos").alias("start"), project(seq, F.col("cigar"), "N").alias("seq"), project(xm, F.col("cigar")).alias("xm"))
+    r = _projected(d, min_baseq, "templid", "rname", "strand", F.col("pos").alias("start"))
     return trimmed(r, trim).select(*_OUT)
 
 

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from .alignments import UNMAPPED
 
+#: Bases of a genome tile, and of the next tile that it holds as well, so that a short read needs one tile.
+TILE, OVERLAP = 16_384, 1_024
+
 
 def strand_tag(alignments: DataFrame) -> Column:
     """CT or GA from XG, else YD (r: GA), else ZS (leading ``-``: GA); null without any."""
@@ -64,16 +67,37 @@ def check_genome(header: DataFrame, genome: DataFrame) -> None:
         raise ValueError("the genome does not match the header of the alignments")
 
 
+def tiles(genome: DataFrame) -> DataFrame:
+    """(rname, tile, bases): contigs cut into tiles of ``TILE`` bases in one pass, each with the first ``OVERLAP`` bases of the next."""
+    cut = genome.select("rname", F.regexp_extract_all("seq", F.lit(f".{{1,{TILE}}}"), F.lit(0)).alias("t"))
+    cut = cut.select("rname", F.posexplode(F.arrays_zip(F.col("t").alias("own"), F.slice("t", F.lit(2), F.size("t")).alias("next"))).alias("tile", "x"))
+    return cut.select("rname", F.col("tile").cast("long").alias("tile"), F.concat("x.own", F.coalesce(F.substring("x.next", 1, OVERLAP), F.lit(""))).alias("bases"))
+
+
 def call_methylation(alignments: DataFrame, genome: DataFrame) -> DataFrame:
-    """All records, with xg and xm filled in where they are called: mapped records with a strand tag and no xm yet."""
+    """All records, with xg and xm filled in where they are called: mapped records with a strand tag and no xm yet.
+
+    Reads are joined to the tile of the genome that they start in, never to a whole contig.
+    """
     a = alignments if "xm" in alignments.columns else alignments.withColumn("xm", F.lit(None).cast("string"))
     a = a if "xg" in a.columns else a.withColumn("xg", F.lit(None).cast("string"))
-    g = genome.select(F.col("rname").alias("_rname"), F.col("seq").alias("_genome"))
     tag = strand_tag(a)
+    spans = F.transform(F.filter(F.arrays_zip(*[F.regexp_extract_all("cigar", F.lit(r"(\d+)([MDN=X])"), F.lit(i)).alias(n) for i, n in ((1, "n"), (2, "op"))]), lambda x: x["op"].isNotNull()), lambda x: x["n"].cast("long"))
+    need = F.col("pos") + F.aggregate(spans, F.lit(0).cast("long"), lambda x, y: x + y) + 1  # the last base and two more
+    a = a.withColumns({"_tile": F.floor((F.greatest(F.col("pos") - 2, F.lit(1)) - 1) / TILE), "_need": need})
+    short = F.coalesce(F.col("_need") <= (F.col("_tile") + 1) * TILE + OVERLAP, F.lit(True))
+    t = tiles(genome)
+    one = t.select(F.col("rname").alias("_rname"), F.col("tile").alias("_t"), F.col("bases").alias("_genome"))
+    few = a.where(short).join(one, (F.col("rname") == F.col("_rname")) & (F.col("_tile") == F.col("_t")), "left").drop("_rname", "_t")
+    # Longer reads gather their tiles by record.
+    many = a.where(~short).select(F.col("rec_no").alias("_rec"), F.col("rname").alias("_rname"), F.explode(F.sequence(F.col("_tile"), F.floor((F.col("_need") - 1) / TILE))).alias("_t"))
+    parts = many.join(t.select("rname", "tile", F.substring("bases", 1, TILE).alias("part")), (F.col("_rname") == F.col("rname")) & (F.col("_t") == F.col("tile")))
+    parts = parts.groupBy("_rec").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("tile", "part"))), lambda x: x["part"]), "").alias("_genome"))
+    j = few.unionByName(a.where(~short).join(parts, F.col("rec_no") == F.col("_rec"), "left").drop("_rec"))
     called = F.col("xm").isNull() & tag.isNotNull() & (F.col("flag").bitwiseAND(UNMAPPED) == 0) & F.col("_genome").isNotNull()
-    j = a.join(g, a["rname"] == F.col("_rname"), "left")
-    xm = call_string(F.col("seq"), reference_in_query_space(F.col("cigar"), F.col("_genome"), F.col("pos")), tag)
-    return j.withColumns({"xm": F.when(called, xm).otherwise(F.col("xm")), "xg": F.when(called, tag).otherwise(F.col("xg")), "called": called}).drop("_rname", "_genome")
+    at = F.col("pos") - F.col("_tile") * TILE
+    xm = call_string(F.col("seq"), reference_in_query_space(F.col("cigar"), F.col("_genome"), at), tag)
+    return j.withColumns({"xm": F.when(called, xm).otherwise(F.col("xm")), "xg": F.when(called, tag).otherwise(F.col("xg")), "called": called}).drop("_genome", "_tile", "_need")
 
 
 def call_summary(called: DataFrame) -> DataFrame:

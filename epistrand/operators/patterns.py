@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.contexts import context
+from ..functions.hashing import fnv1a_hex, site_bytes
 
 # How far a reverse-strand site is moved, by context.
 STRAND_OFFSET = {"CG": 1, "CHG": 2, "CHH": 0, "CxG": 0, "CX": 0}
@@ -35,8 +38,8 @@ def pattern_bases(reads: DataFrame, seqnames: str, start: int, end: int, name: s
     in_context = F.col("code").rlike(f"[{c.meth}{c.unmeth}]")
     shifted = sites.where(in_context).withColumn("pos", (F.col("at") - F.when(F.col("strand") == "-", shift).otherwise(0)).cast("int"))
     shifted = shifted.where(~F.col("pos").isin(marks)) if marks else shifted
-    total = own.count()  # reads that are left without a site count, too
-    common = shifted.groupBy("pos").agg(F.count("*").alias("n")).where(F.col("n") >= min_context_freq * total).select("pos")
+    total = own.agg(F.count("*").alias("total"))  # one row; reads that are left without a site count, too
+    common = shifted.groupBy("pos").agg(F.count("*").alias("n")).join(F.broadcast(total), F.col("n") >= min_context_freq * F.col("total")).select("pos")
     rows = shifted.join(common, "pos", "left_semi").select("templid", "strand", "start", "_end", "pos", "code", F.lit(True).alias("site"))
     if marks:
         base = F.expr("substring(seq, i + 1, 1)")
@@ -55,9 +58,36 @@ def patterns(reads: DataFrame, seqnames: str, start: int, end: int, name: str =
     return g.select("templid", "strand", "start", "end", "nbase", "beta", "codes", F.upper(F.lpad(F.hex(F.xxhash64("codes")), 16, "0")).alias("pattern"))
 
 
-def wide(pattern_rows: DataFrame, base_rows: DataFrame) -> DataFrame:
-    """The wide table: one column a position of the region."""
-    cols = base_rows.groupBy("templid").pivot("pos").agg(F.first("code"))
+def fnv_ids(base_rows: DataFrame) -> DataFrame:
+    """(templid, pattern): FNV-1a ids of patterns without highlighted positions, from ``pattern_bases``."""
+    sites = F.array_sort(F.collect_list(F.struct("pos", "code")))
+    data = F.unhex(F.array_join(F.transform("s", lambda x: site_bytes(x["pos"], x["code"])), ""))
+    g = base_rows.where("site").groupBy("templid").agg(sites.alias("s"))
+    return g.select("templid", fnv1a_hex(data).alias("pattern"))
+
+
+def beta_density(pattern_rows: DataFrame, n: int = 2048) -> DataFrame:
+    """(x, y): the density of betas over ``n`` points between the least and the largest one, patterns weighed by their counts.
+
+    A Gaussian kernel; the bandwidth is 0.9 times the smaller of standard deviation and quartile range over 1.34,
+    over the fifth root of the number of patterns. Betas of a region take few values, so they are summed first.
+    """
+    u = unique_patterns(pattern_rows)
+    s = u.agg(F.count("*").alias("k"), F.stddev_samp("beta").alias("sd"), (F.percentile("beta", F.lit(0.75)) - F.percentile("beta", F.lit(0.25))).alias("iqr"), F.min("beta").alias("lo"), F.max("beta").alias("hi"), F.sum("count").alias("total"))
+    low = F.when((F.col("iqr") > 0) & (F.col("iqr") / 1.34 < F.col("sd")), F.col("iqr") / 1.34).otherwise(F.col("sd"))
+    low = F.when(low > 0, low).when(F.abs("lo") > 0, F.abs("lo")).otherwise(1.0)
+    s = s.where("k > 0").select("lo", "hi", "total", (0.9 * low * F.pow("k", F.lit(-0.2))).alias("bw"))
+    grid = F.broadcast(s).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    grid = grid.withColumn("x", F.col("lo") + F.col("i") * (F.col("hi") - F.col("lo")) / (n - 1))
+    at = u.groupBy("beta").agg(F.sum("count").alias("c")).agg(F.collect_list(F.struct("beta", "c")).alias("at"))  # distinct betas only
+    z = lambda b: F.exp(-0.5 * F.pow((F.col("x") - b) / F.col("bw"), F.lit(2)))
+    y = F.aggregate("at", F.lit(0.0), lambda acc, b: acc + b["c"] / F.col("total") * z(b["beta"])) / (F.col("bw") * (2 * math.pi) ** 0.5)
+    return grid.join(F.broadcast(at)).select("x", y.alias("y"))
+
+
+def wide(pattern_rows: DataFrame, base_rows: DataFrame, positions: list[int] | None = None) -> DataFrame:
+    """The wide table: one column a position of the region, those given or all (which takes a pass to list them)."""
+    cols = base_rows.groupBy("templid").pivot("pos", positions).agg(F.first("code"))
     return pattern_rows.join(cols, "templid")
 
 

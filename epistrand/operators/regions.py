@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 from ..functions.contexts import beta, context
 from .reports import with_pass
 
-#: Up to so many targets are broadcast; more are joined on (chromosome, bin).
+#: Up to so many targets are broadcast by bin; more are joined on (chromosome, bin).
 BROADCAST_TARGETS = 100_000
 BIN = 4096
 
@@ -41,8 +41,8 @@ def match_targets(reads: DataFrame, targets: DataFrame, kind: str = "amplicon",
         near = F.least("re", "be") - F.greatest("rs", "bs") + 1 >= min_overlap
     on = (F.col("rname") == F.col("seqnames")) & near
     if t.limit(BROADCAST_TARGETS + 1).count() <= BROADCAST_TARGETS:
-        pairs = r.join(F.broadcast(t), on)
-    elif kind == "capture":
+        return _looked_up(reads, t, kind, tolerance, min_overlap)
+    if kind == "capture":
         left = r.withColumn("bin", _bins(F.col("rs"), F.col("re")))
         right = t.withColumn("tbin", _bins(F.col("bs"), F.col("be")))
         pairs = left.join(right, on & (F.col("bin") == F.col("tbin")))
@@ -57,6 +57,44 @@ def match_targets(reads: DataFrame, targets: DataFrame, kind: str = "amplicon",
     return reads.join(first, "templid", "left")
 
 
+def _looked_up(reads: DataFrame, t: DataFrame, kind: str, tolerance: int, min_overlap: int) -> DataFrame:
+    """``match_targets`` for few targets: they are broadcast by bin, and each read looks up its bins, with no shuffle.
+
+    An amplicon's start or end is near the read's, so two bins tell; a captured target overlaps one of the read's bins.
+    """
+    def binned(a: Column, b: Column, name: str) -> DataFrame:
+        g = t.select("seqnames", _bins(a, b).alias("_bin"), F.struct("bed_row", "bs", "be").alias("t"))
+        return F.broadcast(g.groupBy(F.col("seqnames").alias(f"_s{name}"), F.col("_bin").alias(f"_b{name}")).agg(F.collect_list("t").alias(f"_t{name}")))
+
+    rs, re = F.col("start"), _read_end()
+    if kind == "amplicon":
+        joins = [(binned(F.col("bs") - tolerance, F.col("bs") + tolerance, "1"), "1", rs), (binned(F.col("be") - tolerance, F.col("be") + tolerance, "2"), "2", re)]
+        fits = {"1": lambda x: F.abs(rs - x["bs"]) <= tolerance, "2": lambda x: F.abs(re - x["be"]) <= tolerance}
+        out = reads
+        for table, n, at in joins:
+            out = out.join(table, (F.col("rname") == F.col(f"_s{n}")) & (F.floor(at / BIN) == F.col(f"_b{n}")), "left")
+        found = [F.array_min(F.transform(F.filter(F.col(f"_t{n}"), fits[n]), lambda x: x["bed_row"])) for n in "12"]
+        return out.withColumn("bed_row", F.least(*found)).select(*reads.columns, "bed_row")
+    table = binned(F.col("bs"), F.col("be"), "1")
+
+    def earliest(of: str, end: Column) -> Column:
+        fit = F.filter(of, lambda x: F.least(end, x["be"]) - F.greatest(rs, x["bs"]) + 1 >= min_overlap)
+        return F.array_min(F.transform(fit, lambda x: x["bed_row"]))
+
+    first, last = F.floor(rs / BIN), F.floor(re / BIN)
+    near = reads.where(F.coalesce(last - first <= 1, F.lit(True)))
+    for n, at in (("1", first), ("2", last)):
+        t_n = table.select(F.col("_s1").alias(f"_s{n}"), F.col("_b1").alias(f"_b{n}"), F.col("_t1").alias(f"_t{n}"))
+        near = near.join(F.broadcast(t_n), (F.col("rname") == F.col(f"_s{n}")) & (at == F.col(f"_b{n}")), "left")
+    found = [earliest(f"_t{n}", re) for n in "12"]
+    near = near.withColumn("bed_row", F.least(*found)).select(*reads.columns, "bed_row")
+    # Longer reads look up each of their bins.
+    far = reads.where(last - first > 1)
+    looked = far.select("templid", "rname", "start", re.alias("_end"), _bins(rs, re).alias("bin")).join(table, (F.col("rname") == F.col("_s1")) & (F.col("bin") == F.col("_b1"))).withColumn("bed_row", earliest("_t1", F.col("_end")))
+    hit = looked.groupBy("templid").agg(F.min("bed_row").alias("bed_row"))
+    return near.unionByName(far.join(hit, "templid", "left").select(*reads.columns, "bed_row"))
+
+
 def region_report(reads: DataFrame, targets: DataFrame, kind: str = "amplicon", threshold: bool = True, tolerance: int = 1, min_overlap: int = 1, **thresholds) -> DataFrame:
     """Targets with ``nreads+``, ``nreads-`` and ``VEF``; targets without reads have nulls, unmatched reads a row without a target."""
     m = match_targets(with_pass(reads, threshold, **thresholds), targets, kind, tolerance, min_overlap)

@@ -43,13 +43,15 @@ def base_counts(reads: DataFrame, variants: DataFrame) -> DataFrame:
     """
     # Alleles of one site share a name and a position, so counts are made by position.
     v = variants.select(F.col("seqnames").alias("vchr"), F.col("pos").alias("vpos"), F.floor(F.col("pos") / BIN).alias("vbin")).distinct()
-    end = F.col("start") + F.length("seq") - 1
-    r = reads.select("rname", "strand", "start", "seq", "pass", end.alias("end"))
-    r = r.withColumn("bin", F.explode(F.sequence(F.floor(F.col("start") / BIN), F.floor(F.col("end") / BIN))))
+    # A read is padded to the start of its first bin and cut at bins, so a base is a place in a short piece.
+    padded = F.concat(F.repeat(F.lit("-"), F.col("start") % BIN), F.col("seq"))
+    pieces = F.posexplode(F.regexp_extract_all(padded, F.lit(f"(?s).{{1,{BIN}}}"), F.lit(0))).alias("i", "piece")
+    r = reads.where(F.col("start") >= 0).select("rname", "strand", "pass", F.floor(F.col("start") / BIN).alias("first"), pieces)
+    r = r.select("rname", "strand", "pass", (F.col("first") + F.col("i")).alias("bin"), "piece")
     if v.limit(BROADCAST_VARIANTS + 1).count() <= BROADCAST_VARIANTS:
         v = F.broadcast(v)
-    j = r.join(v, (F.col("rname") == F.col("vchr")) & (F.col("bin") == F.col("vbin")) & F.col("vpos").between(F.col("start"), F.col("end")))
-    j = j.select("vchr", "vpos", "pass", "strand", F.expr("substring(seq, vpos - start + 1, 1)").alias("base"))
+    j = r.join(v, (F.col("rname") == F.col("vchr")) & (F.col("bin") == F.col("vbin")))
+    j = j.select("vchr", "vpos", "pass", "strand", F.expr(f"substring(piece, cast(vpos - bin * {BIN} as int) + 1, 1)").alias("base")).where(F.col("base").isin("A", "C", "G", "T"))
     counts = [F.count_if((F.col("pass") == (m == "M")) & ((F.col("strand") != "-") == (s == "+")) & (F.col("base") == b)).alias(f"{m}{s}{b}") for m, s in _GROUPS for b in "ACGT"]
     g = j.groupBy("vchr", "vpos").agg(*counts)
     out = variants.join(g, (variants["seqnames"] == g["vchr"]) & (variants["pos"] == g["vpos"]), "left")

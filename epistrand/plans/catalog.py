@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.contexts import CONTEXTS
 from ..operators import alignments as al
 from ..operators import calling, patterns, regions, reports, variants
+from ..sources import text
 from . import synthetic as syn
 
 _Q: dict = {}
@@ -290,6 +294,154 @@ def call_methylation(spark: SparkSession, sf: str) -> DataFrame:
     return calling.call_methylation(a, genome).select(F.col("rec_no").alias("templid"), "xg", "xm")
 
 
+_MERGED = f"""{syn.PAIRS_SQL}, places AS (SELECT *, unnest(range(n)) AS j FROM paired),
+q AS (SELECT templid, rname, strand, start, j, substr(seq, j + 1, 1) AS b, substr(xm, j + 1, 1) AS c,
+  CASE WHEN j < a THEN (j * 7 + templid) % 41 ELSE 0 END AS q1, CASE WHEN j >= n - a THEN (j * 5 + templid * 2) % 41 ELSE 0 END AS q2 FROM places),
+w AS (SELECT *, CASE WHEN q1 > 9 AND q1 >= q2 THEN 1 WHEN q2 > 9 THEN 2 ELSE 0 END AS won FROM q)
+SELECT templid * 2 AS templid, rname, strand, start,
+  string_agg(CASE won WHEN 1 THEN b WHEN 2 THEN translate(b, 'ACGT', 'CGTA') ELSE 'N' END, '' ORDER BY j) AS seq,
+  string_agg(CASE won WHEN 1 THEN c WHEN 2 THEN lower(c) ELSE '-' END, '' ORDER BY j) AS xm FROM w GROUP BY ALL"""
+
+
+@_query("pair_merge", f"WITH {_MERGED}")
+def pair_merge(spark: SparkSession, sf: str) -> DataFrame:
+    return al.paired_reads(syn.pairs(spark, sf), min_baseq=10)
+
+
+@_query("sniff_counts", f"""WITH {syn.PAIRS_SQL}, f AS (SELECT templid * 2 + k AS rec_no, 'q' || templid AS qname FROM paired, (SELECT unnest([0, 1]) AS k)),
+h AS (SELECT *, lag(qname) OVER (ORDER BY rec_no) AS before FROM (SELECT * FROM f ORDER BY rec_no LIMIT 1024))
+SELECT count(*) AS records, count(*) AS proper, count(*) FILTER (before = qname) AS templates, count(*) AS n_xm, count(*) AS n_xg, true AS paired, true AS sorted, 'XM' AS tagged FROM h""")
+def sniff_counts(spark: SparkSession, sf: str) -> DataFrame:
+    seen = al.sniff(syn.pairs(spark, sf))
+    row = {k: seen[k] for k in ("records", "proper", "templates", "paired", "sorted", "tagged")} | {f"n_{t.lower()}": seen["tags"][t] for t in ("XM", "XG")}
+    return spark.createDataFrame([row], "records long, proper long, templates long, n_xm long, n_xg long, paired boolean, sorted boolean, tagged string")
+
+
+_LONG = f"""{syn.READS_SQL}, e AS (SELECT templid, rname, start, templid % 3 = 0 AS rev, unnest(string_split(seq, '')) AS b, unnest(range(length(seq))) AS i FROM reads),
+k AS (SELECT *, lag(b, 2, 'N') OVER w AS b2, lag(b, 1, 'N') OVER w AS b1, lead(b, 1, 'N') OVER w AS a1, lead(b, 2, 'N') OVER w AS a2,
+  sum(CASE WHEN b = CASE WHEN rev THEN 'G' ELSE 'C' END THEN 1 ELSE 0 END) OVER (PARTITION BY templid ORDER BY CASE WHEN rev THEN -i ELSE i END) AS k FROM e WINDOW w AS (PARTITION BY templid ORDER BY i)),
+x AS (SELECT *, CASE WHEN NOT rev AND b = 'C' THEN CASE WHEN a1 = 'G' THEN 'z' WHEN a2 = 'G' THEN 'x' ELSE 'h' END
+  WHEN rev AND b = 'G' THEN CASE WHEN b1 = 'C' THEN 'z' WHEN b2 = 'C' THEN 'x' ELSE 'h' END ELSE '.' END AS c, (k * 37 + templid) % 256 AS p FROM k),
+longs AS (SELECT templid, rname, CASE WHEN rev THEN '-' ELSE '+' END AS strand, start, string_agg(CASE WHEN p >= 128 THEN upper(c) ELSE c END, '' ORDER BY i) AS xm FROM x GROUP BY ALL)"""
+
+
+@_query("long_reads", f"WITH {_LONG} SELECT * FROM longs")
+def long_reads(spark: SparkSession, sf: str) -> DataFrame:
+    return al.long_reads(syn.long_alignments(spark, sf), min_prob=128).drop("seq")
+
+
+@_query("snv_rows", f"WITH {syn.RAW_VARIANTS_SQL}, a AS (SELECT name, seqnames, pos, ref, unnest(string_split(alt, ',')) AS alt FROM raw_variants) SELECT * FROM a WHERE length(ref) = 1 AND length(alt) = 1")
+def snv_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return variants.single_nucleotide(syn.raw_variants(spark, sf))
+
+
+@_query("chromosome_styles", f"""WITH {syn.VARIANTS_SQL}, c AS (SELECT name, CASE CAST(substr(name, 3) AS BIGINT) % 4 WHEN 0 THEN 'MT' WHEN 1 THEN 'chrM' WHEN 2 THEN 'chr7' ELSE 'X' END AS chr FROM variants)
+SELECT name, CASE chr WHEN 'MT' THEN 'chrM' WHEN 'X' THEN 'chrX' ELSE chr END AS ucsc, CASE chr WHEN 'chrM' THEN 'MT' WHEN 'chr7' THEN '7' ELSE chr END AS ncbi FROM c""")
+def chromosome_styles(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.substring("name", 3, 20).cast("long") % 4
+    c = syn.variants(spark, sf).select("name", F.when(k == 0, "MT").when(k == 1, "chrM").when(k == 2, "chr7").otherwise("X").alias("chr"))
+    return c.select("name", variants.chromosome_style(F.col("chr"), "UCSC").alias("ucsc"), variants.chromosome_style(F.col("chr"), "NCBI").alias("ncbi"))
+
+
+_FREQS_RAW = _FREQS.replace(syn.VARIANTS_SQL, f"{syn.RAW_VARIANTS_SQL.replace('variants AS (', 'simple AS (', 1).replace('FROM variants)', 'FROM simple)')}, variants AS (SELECT name, seqnames, pos, ref, alt FROM (SELECT name, seqnames, pos, ref, unnest(string_split(alt, ',')) AS alt FROM raw_variants) WHERE length(ref) = 1 AND length(alt) = 1), sites AS (SELECT DISTINCT name, seqnames, pos FROM variants)").replace("FROM passed r JOIN variants v", "FROM passed r JOIN sites v")
+
+
+@_query("variant_counts_multiallelic", f'WITH {_FREQS_RAW}, al AS (SELECT name, seqnames, pos AS "range", ref AS "REF", alt AS "ALT", {_ALLELES} FROM freqs) SELECT *, {_SUMS} FROM al')
+def variant_counts_multiallelic(spark: SparkSession, sf: str) -> DataFrame:
+    return variants.variant_report(syn.reads(spark, sf), syn.raw_variants(spark, sf), test=False)
+
+
+_CLIPPED = _CALLED.replace("string_split('NN' || g || 'NN', '') AS l", "string_split('NN' || 'NN' || substr(g, 1, 5) || 'NNN' || 'NNNN' || rpad(substr(g, 15, length(g) - 19), CAST(length(g) - 19 AS INTEGER), 'N') || 'NNNNN' || 'NN', '') AS l").replace(" FROM g)\nSELECT", " FROM g WHERE length(g) >= 30)\nSELECT").replace("'NNNNN' || 'NN'", "'NNNNN' || rpad(substr(g, length(g) - 4, 2), 2, 'N')")
+
+
+@_query("call_cigar", "WITH " + _CLIPPED)
+def call_cigar(spark: SparkSession, sf: str) -> DataFrame:
+    genome, a = syn.clipped_reads(spark, sf)
+    return calling.call_methylation(a, genome).select(F.col("rec_no").alias("templid"), "xg", "xm")
+
+
+@_query("call_summary", f"WITH {syn.LETTERS_SQL} SELECT count(*) AS nrecs, count(*) FILTER (templid % 5 <> 0) AS ncalled FROM letters")
+def call_summary(spark: SparkSession, sf: str) -> DataFrame:
+    genome, a = syn.genome_and_reads(spark, sf)
+    a = a.withColumn("xg", F.when(F.col("rec_no") % 5 != 0, F.col("xg")))  # without a strand tag nothing is called
+    return calling.call_summary(calling.call_methylation(a, genome))
+
+
+@_query("strand_tags", f"""WITH {syn.LETTERS_SQL} SELECT templid, CASE templid % 6 WHEN 0 THEN 'CT' WHEN 1 THEN 'GA' WHEN 2 THEN 'GA' WHEN 3 THEN 'CT' WHEN 4 THEN 'GA' END AS xg FROM letters""")
+def strand_tags(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("templid") % 6
+    a = syn.letters(spark, sf).select("templid", F.when(k == 0, "CT").when(k == 1, "GA").alias("xg"), F.when(k == 2, "r").when(k == 3, "f").alias("yd"), F.when(k == 4, "-+").alias("zs"))
+    return a.select("templid", calling.strand_tag(a).alias("xg"))
+
+
+@_query("bed_ecdf_rows", _SQL["bed_ecdf"].replace("FROM matched", "FROM matched WHERE bed_row IN (1, 3, 5)"))
+def bed_ecdf_rows(spark: SparkSession, sf: str) -> DataFrame:
+    e = regions.region_ecdf(syn.reads(spark, sf), syn.targets(spark, sf), "capture", rows=[1, 3, 5], min_overlap=OVERLAP)
+    return _rounded(e, "beta", "cum_frac")
+
+
+@_query("bin_counts", _SQL["patterns_topk_per_bin"].replace("SELECT *, CAST(row_number() OVER (ORDER BY beta, count, codes DESC) AS INTEGER) AS rank FROM t", "SELECT CAST(i AS INTEGER) AS bin, (SELECT count(*) FROM t WHERE t.bin = i) AS n FROM (SELECT unnest(range(1, 11)) AS i)"))
+def bin_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return patterns.bin_counts(patterns.select_patterns(_patterns(spark, sf)))
+
+
+@_query("beta_density", _pattern_sql() + _UNIQUE + """, ds AS (SELECT count(*) AS k, stddev_samp(beta) AS sd, quantile_cont(beta, 0.75) - quantile_cont(beta, 0.25) AS iqr, min(beta) AS lo, max(beta) AS hi, sum(count) AS total FROM u),
+dw AS (SELECT lo, hi, total, 0.9 * CASE WHEN iqr > 0 AND iqr / 1.34 < sd THEN iqr / 1.34 WHEN sd > 0 THEN sd WHEN abs(lo) > 0 THEN abs(lo) ELSE 1.0 END * pow(k, -0.2) AS bw FROM ds WHERE k > 0),
+dg AS (SELECT *, lo + i * (hi - lo) / 63 AS x FROM dw, (SELECT unnest(range(64)) AS i))
+SELECT round(x, 6) AS x, round((SELECT sum(count / total * exp(-0.5 * pow((x - beta) / bw, 2))) FROM u) / (bw * sqrt(2 * pi())), 6) AS y FROM dg""")
+def beta_density(spark: SparkSession, sf: str) -> DataFrame:
+    d = patterns.beta_density(_patterns(spark, sf), 64)
+    return d.select(F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
+_SHOWN = [5003, 5007, 5011, 5099, 5103]
+
+
+@_query("patterns_wide", _pattern_sql() + f", c AS (SELECT templid, {', '.join(f'max(code) FILTER (pos = {x}) AS \"{x}\"' for x in _SHOWN)} FROM l GROUP BY templid) SELECT p.templid, p.codes, c.* EXCLUDE (templid) FROM p JOIN c USING (templid)")
+def patterns_wide(spark: SparkSession, sf: str) -> DataFrame:
+    reads = syn.reads(spark, sf)
+    b = patterns.pattern_bases(reads, *REGION, "CG", clip=True)
+    w = patterns.wide(_patterns(spark, sf), b, _SHOWN)
+    return w.select("templid", "codes", *[F.col(f"`{x}`") for x in _SHOWN])
+
+
+def _written(spark: SparkSession, lines: DataFrame) -> str:
+    """The path of ``lines`` as one text file in the folder that executors share."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if top is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    path = f"{(top or tempfile.mkdtemp()).rstrip('/')}/round-trip-{uuid.uuid4().hex}"
+    lines.coalesce(1).write.text(path)
+    return path
+
+
+@_query("vcf_round_trip", f"WITH {syn.RAW_VARIANTS_SQL} SELECT CASE WHEN CAST(substr(name, 3) AS BIGINT) % 3 = 0 THEN seqnames || ':' || pos || '_' || ref || '/' || alt ELSE name END AS name, seqnames, pos, ref, alt FROM raw_variants")
+def vcf_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    name = F.when(F.substring("name", 3, 20).cast("long") % 3 == 0, ".").otherwise(F.col("name"))
+    v = syn.raw_variants(spark, sf).select(F.concat_ws("\t", "seqnames", F.col("pos").cast("string"), name, "ref", "alt", F.lit("."), F.lit("PASS"), F.lit(".")).alias("value"))
+    head = spark.createDataFrame([("##fileformat=VCFv4.2",), ("#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO",)], "value string")
+    return text.read_vcf(spark, _written(spark, head.union(v)))
+
+
+@_query("vcf_regions", f"WITH {syn.VARIANTS_SQL}, {syn.TARGETS_SQL} SELECT * FROM variants v WHERE EXISTS (SELECT 1 FROM targets t WHERE t.seqnames = v.seqnames AND v.pos BETWEEN t.start AND t.\"end\" AND t.bed_row <= 20)")
+def vcf_regions(spark: SparkSession, sf: str) -> DataFrame:
+    v = syn.variants(spark, sf).select(F.concat_ws("\t", "seqnames", F.col("pos").cast("string"), "name", "ref", "alt").alias("value"))
+    return text.read_vcf(spark, _written(spark, v), syn.targets(spark, sf).where("bed_row <= 20"))
+
+
+@_query("bed_round_trip", f"WITH {syn.TARGETS_SQL} SELECT CAST(row_number() OVER (ORDER BY bed_row) AS INTEGER) AS bed_row, seqnames, start, \"end\", CAST(\"end\" - start + 1 AS INTEGER) AS width, '*' AS strand, 't' || bed_row AS V4 FROM targets")
+def bed_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    t = syn.targets(spark, sf).orderBy("bed_row").select(F.concat_ws("\t", "seqnames", (F.col("start") - 1).cast("string"), F.col("end").cast("string"), F.concat(F.lit("t"), F.col("bed_row").cast("string"))).alias("value"))
+    return text.read_bed(spark, _written(spark, t), zero_based=True)
+
+
+@_query("fasta_round_trip", f"WITH {syn.LETTERS_SQL} SELECT 'c' || templid AS rname, length(t) AS rlen, translate(t, '{syn.LOWER}-', '{syn.BASES_OF}') AS seq FROM letters WHERE t <> ''")
+def fasta_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    g, _ = syn.genome_and_reads(spark, sf)
+    lines = F.concat(F.lit(">c"), F.col("rname"), F.lit(" of > many\n"), F.regexp_replace(F.lower("seq"), "(.{60})", "$1\n")).alias("value")
+    return text.read_fasta(spark, _written(spark, g.where("seq <> ''").select(lines))).drop("rid")
+
+
 def queries() -> dict:
     return dict(_Q)
 

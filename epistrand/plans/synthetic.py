@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -78,6 +78,46 @@ def genome_and_reads(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataF
     return genome, a
 
 
+def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two proper records a document of three letters or more: its first and its last two thirds, with qualities and bases of their own."""
+    r = reads(spark, sf_dir).withColumn("n", F.length("xm")).where("n >= 3").withColumn("a", F.expr("cast(n * 2 div 3 as int)"))
+
+    def record(no: int, first: Column, flag: int, step: int, turn: bool) -> DataFrame:
+        seq, xm = (F.substring(F.col(c), first, F.col("a")) for c in ("seq", "xm"))
+        seq, xm = (F.translate(seq, "ACGT", "CGTA"), F.lower(xm)) if turn else (seq, xm)
+        qual = F.array_join(F.transform(F.sequence(F.lit(0), F.col("a") - 1), lambda i: F.char(33 + ((i + first - 1) * step + F.col("templid") * no) % 41)), "")
+        pos = (F.col("start") + first - 1).cast("int")
+        return r.select((F.col("templid") * 2 + no - 1).alias("rec_no"), F.concat(F.lit("q"), F.col("templid").cast("string")).alias("qname"), F.lit(flag).alias("flag"), "rname", pos.alias("pos"), F.lit(60).alias("mapq"), F.concat(F.col("a").cast("string"), F.lit("M")).alias("cigar"), F.col("start").alias("pnext"), F.col("n").alias("tlen"), seq.alias("seq"), xm.alias("xm"), qual.alias("qual"), F.when(F.col("strand") == "+", "CT").otherwise("GA").alias("xg"))
+
+    return record(1, F.lit(1), 99, 7, False).unionByName(record(2, F.col("n") - F.col("a") + 1, 147, 5, True))
+
+
+def long_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One long read a document: every C of the original strand has a probability of 5mC; every third read runs backwards."""
+    r = reads(spark, sf_dir)
+    reverse = F.col("templid") % 3 == 0
+    n = F.when(reverse, F.regexp_count("seq", F.lit("G"))).otherwise(F.regexp_count("seq", F.lit("C")))
+    ml = F.transform(F.sequence(F.lit(1), n), lambda k: ((k * 37 + F.col("templid")) % 256).cast("int"))
+    return r.select(F.col("templid").alias("rec_no"), F.concat(F.lit("q"), F.col("templid").cast("string")).alias("qname"), F.when(reverse, 16).otherwise(0).alias("flag"), "rname", F.col("start").alias("pos"), F.lit(60).alias("mapq"), F.concat(F.length("seq").cast("string"), F.lit("M")).alias("cigar"), "seq", F.repeat(F.lit("I"), F.length("seq")).alias("qual"), F.when(n > 0, F.concat(F.lit("C+m"), F.repeat(F.lit(",0"), n))).alias("mm"), F.when(n > 0, ml).alias("ml"))
+
+
+def raw_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Variants with several alternative alleles, insertions and deletions among them."""
+    k = F.col("name").substr(F.lit(3), F.lit(20)).cast("long")
+    turned = F.translate("alt", "ACGT", "CGTA")
+    other = F.when(turned == F.col("ref"), F.translate("ref", "ACGT", "CGTA")).otherwise(turned)
+    alt = F.when(k % 5 == 0, F.concat("alt", F.lit(","), other)).when(k % 7 == 0, F.concat("alt", F.lit(",AC"))).when(k % 11 == 0, F.lit("GG")).otherwise(F.col("alt"))
+    return variants(spark, sf_dir).withColumn("alt", alt).withColumn("ref", F.when(k % 13 == 0, F.concat("ref", F.lit("T"))).otherwise(F.col("ref")))
+
+
+def clipped_reads(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """As ``genome_and_reads``, for reads of 30 bases and more with a soft clip, an insertion, a deletion, a skip and mismatches."""
+    genome, a = genome_and_reads(spark, sf_dir)
+    n = F.length("seq")
+    a = a.where(n >= 30).withColumn("cigar", F.concat(F.lit("2S5M3I2D4X3N"), (n - 19).cast("string"), F.lit("M5S")))
+    return genome, a
+
+
 LETTERS_SQL = f"""letters AS (
   SELECT doc_id AS templid, lang AS rname, CASE WHEN doc_id % 2 = 0 THEN '+' ELSE '-' END AS strand,
          CAST(1 + (doc_id * 37) % {SPAN} AS INTEGER) AS start, regexp_replace(translate(text, '{UPPER}', '{LOWER}'), '[^a-z]', '-', 'g') AS t
@@ -97,3 +137,7 @@ TARGETS_SQL = f"""targets AS (
 VARIANTS_SQL = f"""variants AS (
   SELECT 'rs' || p_partkey AS name, {LANG_SQL.format(k="p_partkey")} AS seqnames, CAST(1 + (p_partkey * 17) % {SPAN} AS INTEGER) AS pos,
          substr('ACGT', CAST(p_partkey % 4 + 1 AS BIGINT), 1) AS ref, substr('ACGT', CAST((p_partkey % 4 + 1 + (p_partkey // 4) % 3) % 4 + 1 AS BIGINT), 1) AS alt FROM part)"""
+PAIRS_SQL = f"""{READS_SQL}, paired AS (SELECT templid, rname, strand, start, seq, xm, length(xm) AS n, length(xm) * 2 // 3 AS a FROM reads WHERE length(xm) >= 3)"""
+RAW_VARIANTS_SQL = f"""{VARIANTS_SQL}, raw_variants AS (SELECT name, seqnames, pos, CASE WHEN k % 13 = 0 THEN ref || 'T' ELSE ref END AS ref,
+  CASE WHEN k % 5 = 0 THEN alt || ',' || CASE WHEN translate(alt, 'ACGT', 'CGTA') = ref THEN translate(ref, 'ACGT', 'CGTA') ELSE translate(alt, 'ACGT', 'CGTA') END WHEN k % 7 = 0 THEN alt || ',AC' WHEN k % 11 = 0 THEN 'GG' ELSE alt END AS alt
+  FROM (SELECT *, CAST(substr(name, 3) AS BIGINT) AS k FROM variants))"""

@@ -22,26 +22,41 @@ _EOF = bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000")
 def _stream(path: str) -> Iterator[bytes]:
     """Inflated BGZF (or gzip) members in order."""
     with open(path, "rb") as f:
-        d = zlib.decompressobj(31)
+        d, open_member = zlib.decompressobj(31), False
         while chunk := f.read(1 << 20):
             while chunk:
                 yield d.decompress(chunk)
                 chunk = d.unused_data
                 if d.eof:
                     d = zlib.decompressobj(31)
+                    open_member = False
+                else:
+                    open_member = True
+    if open_member:
+        raise ValueError(f"{path}: the last block is cut short")
 
 
 class _Bytes:
-    def __init__(self, parts: Iterator[bytes]):
-        self.parts, self.buffer = parts, b""
+    """Takes bytes off a stream of parts; each byte is copied once."""
 
-    def take(self, n: int) -> bytes:
-        while len(self.buffer) < n:
-            more = next(self.parts, None)
-            if more is None:
+    def __init__(self, parts: Iterator[bytes]):
+        self.parts, self.buffer, self.at = parts, b"", 0
+
+    def take(self, n: int, may_end: bool = False) -> bytes:
+        """The next ``n`` bytes; nothing at the end of the stream if it may end here."""
+        if len(self.buffer) - self.at < n:
+            got = [self.buffer[self.at :]]
+            have = len(got[0])
+            while have < n and (more := next(self.parts, None)) is not None:
+                got.append(more)
+                have += len(more)
+            self.buffer, self.at = b"".join(got), 0
+            if have < n:
+                if have or not may_end:
+                    raise ValueError("the file is cut short")
                 return b""
-            self.buffer += more
-        out, self.buffer = self.buffer[:n], self.buffer[n:]
+        out = self.buffer[self.at : self.at + n]
+        self.at += n
         return out
 
 
@@ -74,7 +89,7 @@ def read_records(path: str) -> Iterator[tuple]:
         names.append(s.take(n)[:-1].decode())
         s.take(4)
     no = 0
-    while size := s.take(4):
+    while size := s.take(4, may_end=True):
         b = s.take(struct.unpack("<i", size)[0])
         rid, pos, l_name, mapq, _, n_ops, flag, l_seq, nrid, npos, tlen = struct.unpack_from("<iiBBHHHiiii", b)
         at = 32

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Variants meet the regions they are restricted to by chromosome and bin.
+BIN = 65_536
+
 
 def read_bed(spark: SparkSession, path: str, zero_based: bool = False) -> DataFrame:
     """bed_row, seqnames, start, end, width, strand and the further columns of a tab-separated file.
@@ -39,8 +42,9 @@ def read_vcf(spark: SparkSession, path: str, regions: DataFrame | None = None, s
     unnamed = F.concat(F.col("seqnames"), F.lit(":"), F.col("pos").cast("string"), F.lit("_"), F.col("ref"), F.lit("/"), F.col("alt"))
     v = v.withColumn("name", F.when(F.col("name") == ".", unnamed).otherwise(F.col("name")))
     if regions is not None:
-        r = reduce_intervals(regions).select(F.col("seqnames").alias("_s"), F.col("start").alias("_a"), F.col("end").alias("_b"))
-        v = v.join(r, (F.col("seqnames") == F.col("_s")) & F.col("pos").between(F.col("_a"), F.col("_b")), "left_semi")
+        bins = F.explode(F.sequence(F.floor(F.col("start") / BIN), F.floor(F.col("end") / BIN)))
+        r = reduce_intervals(regions).select(F.col("seqnames").alias("_s"), F.col("start").alias("_a"), F.col("end").alias("_b"), bins.alias("_bin"))
+        v = v.join(r, (F.col("seqnames") == F.col("_s")) & (F.floor(F.col("pos") / BIN) == F.col("_bin")) & F.col("pos").between(F.col("_a"), F.col("_b")), "left_semi")
     return v.select("name", "seqnames", "pos", "ref", "alt")
 
 
@@ -50,8 +54,9 @@ def clean_bases(seq):
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """rid, rname, rlen, seq of a plain or gzipped FASTA file. Contigs are whole sequences, so a file is split at ``>``."""
-    r = spark.read.option("lineSep", ">").text(path).where(F.trim("value") != "")
+    """rid, rname, rlen, seq of a plain or gzipped FASTA file. A record begins with a line that begins with ``>``;
+    ``rid`` rises with the order of the records in a file."""
+    r = spark.read.option("lineSep", "\n>").text(path).select(F.regexp_replace("value", "^>", "").alias("value")).where(F.trim("value") != "")
     head = F.regexp_extract("value", r"^([^\s]+)", 1)
     body = F.regexp_replace(F.regexp_replace("value", r"^[^\n]*\n?", ""), r"\s", "")
     rows = r.select(F.monotonically_increasing_id().alias("rid"), head.alias("rname"), clean_bases(body).alias("seq"))

@@ -5,6 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from epistrand import api, streaming
+from epistrand.functions import hashing
 from epistrand.functions.contexts import context
 from epistrand.functions.exact import fisher_two_sided
 from epistrand.operators import alignments as al
@@ -175,7 +177,7 @@ def test_files(spark, tmp_path):
     assert table(regions.reduce_intervals(bed), "seqnames", "start", "end") == [("chr1", 1, 20), ("chr2", 1, 2)]
     (tmp_path / "v.vcf").write_text("##x\n#CHROM\tPOS\n1\t7\t.\tA\tG\t.\n2\t9\trs1\tC\tT\t.\n")
     assert table(text.read_vcf(spark, str(tmp_path / "v.vcf"), bed, "UCSC"), "name", "pos") == [("chr1:7_A/G", 7)]
-    (tmp_path / "g.fa").write_text(">one x\nACGR\nacg\n>two\nTT\n")
+    (tmp_path / "g.fa").write_text(">one x > y\nACGR\nacg\n>two\nTT\n")
     g = text.read_fasta(spark, str(tmp_path / "g.fa"))
     assert table(g, "rname", "rlen", "seq") == [("one", 7, "ACGNACG"), ("two", 2, "TT")]
     text.check_fasta(g, [("one", 7), ("two", 2)])
@@ -195,6 +197,85 @@ def test_bam_round_trip(spark, tmp_path):
     assert [(g.qname, g.pos, g.seq, g.xm, list(g.ml)) for g in got] == [(r["qname"], r["pos"], r["seq"], r["xm"], [1, 2, 200]) for r in rows]
 
 
+def test_cut_bam_files_raise(spark, tmp_path):
+    path = tmp_path / "x.bam"
+    rows = bam.simulate(spark, pos=[1, 5, 9, 20], xm="ZZz", xg="CT").toPandas().to_dict("records")
+    bam.write_bam(iter([{**r, "tags": {"XM": r["xm"]}} for r in rows]), str(path), [("chrS", 1000)])
+    assert len(list(bam.read_records(str(path)))) == 4
+    import gzip
+
+    whole = b"".join(bam._stream(str(path)))
+    for n in (len(whole) - 2, len(whole) - 60):  # inside the last record, or its size
+        path.write_bytes(gzip.compress(whole[:n]))
+        with pytest.raises(ValueError, match="cut short"):
+            list(bam.read_records(str(path)))
+    path.write_bytes(gzip.compress(whole)[:-12])
+    with pytest.raises(ValueError, match="cut short"):
+        list(bam.read_records(str(path)))
+
+
+def test_targets_are_looked_up_as_by_join(spark, monkeypatch):
+    import random
+
+    r = random.Random(3)
+    reads = spark.createDataFrame([(i, r.choice("ab"), "+", r.randrange(1, 30_000), "Z" * r.choice([1, 40, 300, 9_000, 20_000]), "") for i in range(120)], "templid long, rname string, strand string, start int, xm string, seq string")
+    targets = spark.createDataFrame([(i, r.choice("abc"), s, s + r.randrange(1, 6_000)) for i in range(60) for s in [r.randrange(1, 30_000)]], "bed_row int, seqnames string, start int, end int")
+    for kind, options in (("amplicon", {"tolerance": 150}), ("capture", {"min_overlap": 20})):
+        got = table(regions.match_targets(reads, targets, kind, **options), "templid", "bed_row")
+        monkeypatch.setattr(regions, "BROADCAST_TARGETS", 0)
+        assert got == table(regions.match_targets(reads, targets, kind, **options), "templid", "bed_row")
+        monkeypatch.undo()
+        assert any(b is not None for _, b in got)
+
+
+def test_calling_over_tiles(spark, monkeypatch):
+    import random
+
+    r = random.Random(4)
+    seq = "".join(r.choice("ACGT") for _ in range(300))
+    g = spark.createDataFrame([(0, "c", 300, seq)], "rid long, rname string, rlen long, seq string")
+    rows = [(i, 0, "c", p, f"{n}M", seq[p - 1 : p - 1 + n], "CT" if i % 2 else "GA") for i, (p, n) in enumerate([(1, 300), (1, 10), (30, 5), (31, 40), (64, 64), (290, 11), (33, 200)])]
+    a = spark.createDataFrame(rows, "rec_no long, flag int, rname string, pos int, cigar string, seq string, xg string")
+    whole = table(calling.call_methylation(a, g), "rec_no", "xm")
+    monkeypatch.setattr(calling, "TILE", 32)
+    monkeypatch.setattr(calling, "OVERLAP", 8)
+    assert table(calling.call_methylation(a, g), "rec_no", "xm") == whole and len(whole) == 7
+
+
+def test_one_call_reports(spark, tmp_path):
+    path = str(tmp_path / "x.bam")
+    rows = bam.simulate(spark, pos=[9, 1, 5], xm=["ZZz", "zxh.H", "Z.Z"], xg="CT").orderBy("rec_no").toPandas().to_dict("records")
+    bam.write_bam(iter([{**r, "tags": {"XM": r["xm"], "XG": r["xg"]}} for r in rows]), path, [("chrS", 1000)])
+    out = api.cytosine_report(spark, path, report_file=str(tmp_path / "cx"), threshold=False, report_context="CX")
+    lines = next((tmp_path / "cx").glob("part*.csv")).read_text().splitlines()
+    assert len(lines) == 1 + out.count() and [int(x.split("\t")[2]) for x in lines[1:]] == sorted(x.pos for x in out.collect())
+    (tmp_path / "t.bed").write_text("chrS\t1\t5\nchrS\t900\t990\n")
+    api.capture_report(spark, path, str(tmp_path / "t.bed"), report_file=str(tmp_path / "bed"))
+    assert [x.split("\t")[0] for x in next((tmp_path / "bed").glob("part*.csv")).read_text().splitlines()[1:3]] == ["1", "2"]
+    assert api.mhl_report(spark, path).count() > 0 and api.extract_patterns(spark, path, "chrS", 1, 20).count() == 3
+
+
+def test_fnv_ids(spark, four):
+    known = {b"": "CBF29CE484222325", b"a": "AF63DC4C8601EC8C", b"foobar": "85944171F73967E8"}  # of the published test suite
+    got = spark.createDataFrame([(k,) for k in [*known, None]], "d binary").select("d", hashing.fnv1a_hex("d").alias("h")).collect()
+    assert {None if r.d is None else bytes(r.d): r.h for r in got} == {**known, None: None}
+    ids = table(patterns.fnv_ids(patterns.pattern_bases(four, "chr1", 1, 16)), "templid", "pattern")
+    of = {i: p for i, p in ids}
+    assert of[1] == of[2] != of[3] and all(len(p) == 16 for p in of.values())
+    z = hashing.fnv1a_64([bytes([4, 0, 0, 0, 7, 7, 0, 0, 0, 15])])[0]
+    assert of[1] == f"{int(z):016X}"
+
+
+def test_streaming_counts(spark, tmp_path):
+    reads = spark.createDataFrame([(i, "chr1", "+", 1, x, "") for i, x in enumerate(READS)], "templid long, rname string, strand string, start int, xm string, seq string")
+    reads.write.parquet(str(tmp_path / "in"))
+    s = streaming.cytosine_counts(spark.readStream.schema(reads.schema).parquet(str(tmp_path / "in")))
+    q = s.writeStream.format("memory").queryName("cx_counts").outputMode("complete").start()
+    q.processAllAvailable()
+    q.stop()
+    assert table(spark.table("cx_counts"), *s.columns) == table(streaming.cytosine_counts(reads), *s.columns)
+
+
 def test_contexts_are_checked(four):
     with pytest.raises(ValueError):
         context("CXX")
