@@ -4,13 +4,20 @@ lookups, connected components and dense ranks without a hot task."""
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+#: About the bytes of texts and vectors that a Python worker is sent at once; a batch of ten thousand texts may fill hundreds of MB.
+BATCH_BYTES = 4 << 20
 #: Most bytes that a lookup table may fill to be broadcast; larger ones are joined by shuffle.
 BROADCAST_BYTES = 32 << 20
 
@@ -29,6 +36,28 @@ def shared_dir(spark: SparkSession) -> str:
     return set_dir.rstrip("/")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by ``BATCH_BYTES``, where the session has Spark's default."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) == "67108864b":
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
+def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, with the memory that it leaves given back at the end of the task, since workers are used again."""
+
+    def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # there is none but in glibc
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return released
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
@@ -36,6 +65,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     readers prune columns. The folder is removed when the driver ends.
     """
     spark = df.sparkSession
+    small_batches(spark)
     path = staged_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, chat, html_text, mixing, near_dup, packing, passages, quality, toxicity, vec_dup
-from ._common import held_out_remainder
+from ._common import held_out_remainder, small_batches
 
 #: The vocabulary file of the packing query.
 TOKENIZER = "word_bpe_49k.json"
@@ -19,6 +19,7 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import stage
+from ._common import frugal, stage
 from .vec_dup import is_valid
 
 #: Vectors that centres are fitted on, and queries that probing is tuned on, at most (in expectation).
@@ -133,7 +133,7 @@ def _search(rows: DataFrame, d: int, n: int, n_asked: int, k: int, recall: float
             at = pa.array(_nearest(_matrix(b, d), centres).astype(np.int32)) if b.num_rows else pa.array([], pa.int32())
             yield pa.RecordBatch.from_arrays([*b.columns, at], [*b.schema.names, "list"])
 
-    listed = stage(rows.mapInArrow(assign, "vec_id long, v array<double>, is_query boolean, h long, list int"), "listed")
+    listed = stage(rows.mapInArrow(frugal(assign), "vec_id long, v array<double>, is_query boolean, h long, list int"), "listed")
     asked = stage(listed.where("is_query").dropDuplicates(["h"]).select("vec_id", "v", "h"), "asked")
     probes = _probes(listed, sampled(asked, TUNED, n_asked), centres, k, recall)
 
@@ -159,7 +159,7 @@ def _search(rows: DataFrame, d: int, n: int, n_asked: int, k: int, recall: float
                 cols = [pa.array(at[:, 1].astype(np.int32)), pa.array(at[:, 2].astype(np.int32)), pa.array(np.ones(len(at), bool)), b.column("vec_id").take(take), b.column("h").take(take), pa.array(bar[at[:, 0]]), b.column("v").take(take)]
                 yield pa.RecordBatch.from_arrays(cols, names)
 
-    right = asked.mapInArrow(probe, row)
+    right = asked.mapInArrow(frugal(probe), row)
     chunk = F.pmod(F.col("h"), F.element_at(chunk_of, F.col("list"))).cast("int")
     left = listed.select("list", chunk.alias("chunk"), F.lit(False).alias("asks"), F.col("vec_id").alias("id"), "h", F.lit(0.0).alias("bar"), "v")
     dealt = left.union(right).repartition("list", "chunk").sortWithinPartitions("list", "chunk", "asks")
@@ -189,7 +189,7 @@ def _search(rows: DataFrame, d: int, n: int, n_asked: int, k: int, recall: float
                     i, j, score = at.scan(q[y], q_id[y], bar[y], turn, k)
                     yield pa.RecordBatch.from_arrays([pa.array(q_id[y][i]), pa.array(h[y][i]), pa.array(at.ids[j]), pa.array(score)], ["query_id", "h", "vec_id", "score"])
 
-    found = dealt.mapInArrow(meet, "query_id long, h long, vec_id long, score double")
+    found = dealt.mapInArrow(frugal(meet), "query_id long, h long, vec_id long, score double")
     best = Window.partitionBy("query_id", "h").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window
 
-from ._common import components, lookup, stage
+from ._common import components, frugal, lookup, stage
 from ._words import mix64, word_hashes
 
 REGISTERS, BAND, MANTISSA = 128, 4, 10
@@ -108,7 +108,7 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
                 b.append(ranged(s) if len(s) >= LEAST_RANGED else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sid, pa.int64()), pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["doc_id", "n_shingles", "sid", "a", "b"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, sid long, a binary, b binary")
+    return docs.select("doc_id", "text").mapInArrow(frugal(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, sid long, a binary, b binary")
 
 
 def _band_keys() -> Column:
@@ -151,7 +151,7 @@ def _sets(docs: DataFrame, sketched: DataFrame, needed: DataFrame, k: int) -> Da
             yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["sid", "items"])
 
     # Rows of one id may differ in text, so the class asked for is looked up again.
-    made = texts.select("text").mapInArrow(run, "sid long, items array<long>")
+    made = texts.select("text").mapInArrow(frugal(run), "sid long, items array<long>")
     return stage(made.join(needed, "sid", "left_semi").dropDuplicates(["sid"]), "sets")
 
 
@@ -259,6 +259,6 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     ids = ids.join(new.withColumnRenamed("node", "sid"), "sid", "left").select("sid", "id", "copies", "root")
     ids = stage(ids.where("root is not null or copies > 1"), "ids")
     named = ids.where("root is not null").groupBy(F.col("root").alias("r")).agg(F.min("id").alias("least"))
-    ids = ids.join(named, F.col("root") == F.col("r"), "left").select("sid", F.coalesce("least", "id").alias("component"))
-    out = sketched.join(ids, "sid", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    ids = stage(ids.join(named, F.col("root") == F.col("r"), "left").select("sid", F.coalesce("least", "id").alias("component")), "components")
+    out = lookup(sketched.select("doc_id", "n_shingles", "sid"), ids, "sid").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

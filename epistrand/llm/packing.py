@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import dense_rank_within, stage
+from ._common import dense_rank_within, frugal, stage
 
 #: Texts with these separators are encoded whole: Python splits at them, the tokenizer does not.
 _ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
@@ -157,7 +157,7 @@ def pieces(docs: DataFrame, tokenizer: str, length: int, end_id: int, id_col: st
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), *[pa.array(x, pa.int64()) for x in (start, n, crc, of)]], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
         enc.forget()  # the worker is used again, by other operators too
 
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(cut, schema)
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(frugal(cut), schema)
 
 
 def plan(counts: dict[int, int], length: int, tiers: tuple[int, ...]) -> list[tuple[int, int, list[tuple[int, int]]]]:

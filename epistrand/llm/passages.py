@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType, StructField, StructType
 from pyspark.sql.window import Window
 
-from ._common import lookup, stage
+from ._common import frugal, lookup, stage
 from ._words import hashed, mix64, word_hashes
 from .toxicity import segments
 
@@ -219,7 +219,7 @@ def seeds(docs: DataFrame, least: int) -> DataFrame:
             if ids:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ids, pos, got)], ["doc", "pos", "seed"])
 
-    return docs.select(F.col("__doc").alias("doc"), "text").mapInArrow(run, "doc long, pos int, seed long")
+    return docs.select(F.col("__doc").alias("doc"), "text").mapInArrow(frugal(run), "doc long, pos int, seed long")
 
 
 def find(docs: DataFrame, least: int = 50, similarity: float = 0.8) -> DataFrame:
@@ -308,7 +308,7 @@ def _open_matches(keyed: DataFrame, first: DataFrame, matches: DataFrame, found:
                 p = np.flatnonzero(inside[0])
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(p), i, np.int64)), pa.array(p.astype(np.int32)), pa.array(h[p].view(np.int64)), pa.array(inside[1][p])], ["doc", "p", "key", "open"])
 
-    windows = stage(texts.mapInArrow(run, "doc long, p int, key long, open boolean"), "windows")
+    windows = stage(texts.mapInArrow(frugal(run), "doc long, p int, key long, open boolean"), "windows")
     first = windows.groupBy("key").agg(F.min(F.struct("doc", "p")).alias("a"), F.max(F.when(F.col("open"), F.col("doc"))).alias("m")).where(F.col("a.doc") < F.col("m"))
     first = first.select("key", F.col("a.doc").alias("other"), F.col("a.p").alias("a0"))
     exact = windows.where("open").join(first, "key").where(F.col("doc") > F.col("other"))
@@ -407,7 +407,7 @@ def _passages(keyed: DataFrame, matches: DataFrame, least: int, similarity: floa
             cols = list(zip(*out, strict=True)) if out else [()] * 7
             yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in cols[:6]], pa.array(cols[6], pa.float64())], [*names, "similarity"])
 
-    found = sides.mapInArrow(compare, "doc long, other long, first_word long, last_word long, other_first long, other_last long, similarity double")
+    found = sides.mapInArrow(frugal(compare), "doc long, other long, first_word long, last_word long, other_first long, other_last long, similarity double")
     return found.dropDuplicates(["doc", "other", "first_word", "last_word"])
 
 
@@ -434,7 +434,7 @@ def _slices(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(chain), pa.array(np.full(len(lo), of, np.int64)), pa.array(d0), pa.array(lo), pa.array(got, pa.list_(pa.int32()))], ["chain", "of", "first", "lo", "w"])
 
     # Repeated rows of a document give the same slices.
-    return rows.mapInArrow(run, "chain long, of long, first long, lo long, w array<int>").dropDuplicates(["chain"])
+    return rows.mapInArrow(frugal(run), "chain long, of long, first long, lo long, w array<int>").dropDuplicates(["chain"])
 
 
 def cut(text: str, spans: list[tuple[int, int]]) -> str:
@@ -459,7 +459,8 @@ def remove(docs: DataFrame, found: DataFrame) -> DataFrame:
     ``n_chars``, where there is one, follows the text."""
     names = docs.columns
     spans = stage(found.groupBy(F.col("doc").alias("__id")).agg(F.collect_set(F.struct(F.col("first_word").cast("int").alias("s"), F.col("last_word").cast("int").alias("e"))).alias("__spans")), "spans")
-    joined = lookup(_keyed(docs), spans, F.col("__doc") == F.col("__id"), "left").select(*names, "__spans")
+    rows = _keyed(docs.select(F.struct(*names).alias("__row"), "doc_id", "text"))
+    joined = lookup(rows, spans, F.col("__doc") == F.col("__id"), "left").select("__row.*", "__spans")
     schema = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -479,4 +480,4 @@ def remove(docs: DataFrame, found: DataFrame) -> DataFrame:
                 cols[at] = pa.array([o if x is None else len(t) for o, x, t in zip(old, got, text, strict=True)], cols[at].type)
             yield pa.RecordBatch.from_arrays(cols, names).take(pa.array(keep, pa.int64()))
 
-    return joined.mapInArrow(run, StructType([StructField(f.name, f.dataType, True) for f in schema]))
+    return joined.mapInArrow(frugal(run), StructType([StructField(f.name, f.dataType, True) for f in schema]))

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._common import frugal
+
 #: Labelled rows that the trees are grown from, at most (in expectation; rows are taken by a hash of their id).
 MAX_LABELLED = 40_000
 
@@ -134,7 +136,7 @@ def measured(docs: DataFrame, extra: list[str]) -> DataFrame:
             x = np.stack([statistics(t or "") for t in b.column("text").to_pylist()]) if b.num_rows else np.zeros((0, N_FEATURES))
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in extra], pa.array(list(x), pa.list_(pa.float64()))], [*extra, "x"])
 
-    return docs.select(*extra, "text").mapInArrow(run, ", ".join([*cols, "x array<double>"]))
+    return docs.select(*extra, "text").mapInArrow(frugal(run), ", ".join([*cols, "x array<double>"]))
 
 
 def fit(docs: DataFrame, sample: DataFrame, **options) -> Forest:
@@ -158,4 +160,4 @@ def classify(docs: DataFrame, forest: Forest, threshold: float) -> DataFrame:
             s = forest.score(x)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double, predicted int")
+    return docs.select("doc_id", "text").mapInArrow(frugal(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double, predicted int")

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from ._common import stage
+from ._common import frugal, stage
 
 #: Labelled documents to learn from, at most.
 MAX_LABELLED = 40_000
@@ -185,7 +185,7 @@ def _count(df: DataFrame, wanted: dict[str, int] | None) -> DataFrame:
                 yield flush()
         yield flush()
 
-    return df.select("text").mapInArrow(run, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    return df.select("text").mapInArrow(frugal(run), "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
 def fit(docs: DataFrame, sample: DataFrame) -> Model:
@@ -216,7 +216,7 @@ def fit(docs: DataFrame, sample: DataFrame) -> Model:
             s = [[x for _, _, x in f] for f, _ in found]
             yield pa.RecordBatch.from_arrays([pa.array(labels, pa.int32()), pa.array([k for _, k in found], pa.int64()), pa.array(s, pa.list_(pa.float64()))], ["label", "n", "s"])
 
-    seen = rows.select("text", "label").mapInArrow(scan, "label int, n long, s array<double>").toPandas()
+    seen = rows.select("text", "label").mapInArrow(frugal(scan), "label int, n long, s array<double>").toPandas()
     # In one order whatever the tasks did, so that sums come out alike; the rows are bounded by the sample.
     seen = seen.iloc[sorted(range(len(seen)), key=lambda i: (seen["label"].iat[i], seen["n"].iat[i], list(seen["s"].iat[i])))]
     y = seen["label"].to_numpy(np.float64)
@@ -272,7 +272,7 @@ def detect(docs: DataFrame, model: Model, threshold: float) -> DataFrame:
             s = np.array(score)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32)), pa.array([len(x) for x in spans], pa.int32()), pa.array(spans, kind)], ["doc_id", "score", "predicted", "n_passages", "passages"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(frugal(run), schema)
 
 
 def keep_clean(docs: DataFrame, model: Model, threshold: float) -> DataFrame:
@@ -284,4 +284,4 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float) -> DataFrame:
             score = [model.score(model.evidence(*_scan(t or "", scorer))) for t in b.column("text").to_pylist()]
             yield b.filter(pa.array([s < threshold for s in score], pa.bool_()))
 
-    return docs.mapInArrow(run, StructType([StructField(f.name, f.dataType, True) for f in docs.schema]))
+    return docs.mapInArrow(frugal(run), StructType([StructField(f.name, f.dataType, True) for f in docs.schema]))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import components, stage
+from ._common import components, frugal, stage
 
 #: Vectors that the rotation is fitted on, at most (in expectation).
 SAMPLE = 20_000
@@ -202,7 +202,7 @@ def _links(classes: DataFrame, dim: int, threshold: float, blocks: int) -> DataF
     cols = classes.select("cid", "label", "weight", "v")
     most = max(CHUNK, n * n_blocks // CROWDED + 1)
     # At most n * n_blocks / most <= CROWDED rows.
-    crowded = {r[0]: -(-r[1] // most) for r in cols.mapInArrow(count, "cell long").groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > most).collect()}
+    crowded = {r[0]: -(-r[1] // most) for r in cols.mapInArrow(frugal(count), "cell long").groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > most).collect()}
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -227,7 +227,7 @@ def _links(classes: DataFrame, dim: int, threshold: float, blocks: int) -> DataF
                         [pa.array(t[:, 0]), pa.array(t[:, 1].astype(np.int32)), pa.array((t[:, 2] + 2 * k).astype(np.int32)), pa.array(cid[t[:, 3]]), pa.array(weight[t[:, 3]]), pa.array([packed[x] for x in t[:, 3]], pa.binary())],
                         ["cell", "chunk", "role", "cid", "weight", "vec"])
 
-    dealt = cols.mapInArrow(deal, _ROW).repartition("cell", "chunk").sortWithinPartitions("cell", "chunk", "role")
+    dealt = cols.mapInArrow(frugal(deal), _ROW).repartition("cell", "chunk").sortWithinPartitions("cell", "chunk", "role")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held, cell = None, [], None
@@ -259,4 +259,4 @@ def _links(classes: DataFrame, dim: int, threshold: float, blocks: int) -> DataF
         if key is not None and (held or cell):
             yield out((cell or opened(key[2])).own())
 
-    return dealt.mapInArrow(run, "cid long, links long, root long")
+    return dealt.mapInArrow(frugal(run), "cid long, links long, root long")
