@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from epistrand.llm import _queries, mixing, near_dup, packing, passages
 from epistrand.llm import toxicity as toxicity_operator
-from epistrand.llm._common import lookup, stage, staged_path
+from epistrand.llm._common import lookup, small_batches, stage, staged_path
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,6 +57,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Training sequences of at most 2048 tokens."""
+    small_batches(spark)
     return packing.pack(docs, _queries.tokenizer_path())
 
 
