@@ -43,10 +43,16 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_BYTES))
 
 
+#: Called in a worker before it serves another operator: each gives back what its module keeps between tasks.
+kept_by_worker: list[Callable[[], None]] = []
+
+
 def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """``run``, with the memory that it leaves given back at the end of the task, since workers are used again."""
 
     def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for forget in kept_by_worker:
+            forget()
         try:
             yield from run(batches)
         finally:

@@ -28,12 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import dense_rank_within, frugal, stage
+from ._common import dense_rank_within, kept_by_worker, stage
 
 #: Texts with these separators are encoded whole: Python splits at them, the tokenizer does not.
 _ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
-#: Most bytes of words and ids that each of a task's three memories holds; beyond it, the memory starts anew (only speed changes).
-MEMO = 12 << 20
+#: Most bytes of words and ids that each memory of a worker holds; beyond it, the memory starts anew (only speed changes).
+MEMO = 80 << 20
 #: About the bytes of an entry besides its word and ids.
 ENTRY = 200
 SALTS = 256
@@ -60,11 +60,14 @@ class _Memo(dict):
         ids = self.encode(word)
         self.held += ENTRY + len(word) + len(ids)
         if self.held > MEMO:
-            self.clear()
-            self.held = 0
+            self.forget()
         self[word] = ids
         return ids
 
+    def forget(self) -> None:
+        self.clear()
+        self.held = 0
+
 
 class WordEncoder:
     """Ids of a text as little-endian uint32 bytes, word by word.
@@ -100,8 +103,7 @@ class WordEncoder:
 
     def forget(self) -> None:
         for memo in (self.runs, self.latin, self.words):
-            memo.clear()
-            memo.held = 0
+            memo.forget()
 
     def _text(self, text: str) -> bytes:
         if any(c in text for c in _ODD):
@@ -128,6 +130,14 @@ def _pack(ids: list[int]) -> bytes:
 _encoders: dict[str, WordEncoder] = {}
 
 
+def _forget() -> None:
+    for e in _encoders.values():
+        e.forget()
+
+
+kept_by_worker.append(_forget)
+
+
 def encoder(path: str) -> WordEncoder:
     if path not in _encoders:
         _encoders[path] = WordEncoder(path)
@@ -155,9 +165,9 @@ def pieces(docs: DataFrame, tokenizer: str, length: int, end_id: int, id_col: st
                     crc.append(zlib.crc32(part))
                     of.append(total)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), *[pa.array(x, pa.int64()) for x in (start, n, crc, of)]], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
-        enc.forget()  # the worker is used again, by other operators too
 
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(frugal(cut), schema)
+    # The worker keeps its memories for the next task; other operators make it forget them (``kept_by_worker``).
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(cut, schema)
 
 
 def plan(counts: dict[int, int], length: int, tiers: tuple[int, ...]) -> list[tuple[int, int, list[tuple[int, int]]]]:
