@@ -135,10 +135,10 @@ def test_html_counts_over_the_whole_host(spark, monkeypatch):
     monkeypatch.setattr(html_text, "TOKENS", 100)
     r = random.Random(4)
     common = [text(12, r) for _ in range(30)]
-    rows = [(i, f"https://big.org/{i}", f"<p>own{i} a b c</p><div>{common[i % 30]}</div>") for i in range(90)]
+    rows = [(i, f"https://big.org/{i}", f"<p>own{i} a{i} b{i} c{i}</p><div>{common[i % 30]}</div>") for i in range(90)]
     rows += [(100 + i, "https://other.org/x", "<p>same page " + text(20, random.Random(1)) + "</p>") for i in range(5)]
     got = {x.page_id: x for x in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert all(got[i].text == f"own{i} a b c" and got[i].n_removed == 12 for i in range(90))
+    assert all(got[i].text == f"own{i} a{i} b{i} c{i}" and got[i].n_removed == 12 for i in range(90))
     assert all(got[100 + i].text.startswith("same page") for i in range(5))  # copies of one page are one page
 
 
