@@ -294,8 +294,8 @@ def call_methylation(spark: SparkSession, sf: str) -> DataFrame:
     return calling.call_methylation(a, genome).select(F.col("rec_no").alias("templid"), "xg", "xm")
 
 
-_MERGED = f"""{syn.PAIRS_SQL}, places AS (SELECT *, unnest(range(n)) AS j FROM paired),
-q AS (SELECT templid, rname, strand, start, j, substr(seq, j + 1, 1) AS b, substr(xm, j + 1, 1) AS c,
+_MERGED = f"""{syn.PAIRS_SQL}, places AS (SELECT templid, rname, strand, start, n, a, unnest(string_split(seq, '')) AS b, unnest(string_split(xm, '')) AS c, unnest(range(n)) AS j FROM paired),
+q AS (SELECT templid, rname, strand, start, j, b, c,
   CASE WHEN j < a THEN (j * 7 + templid) % 41 ELSE 0 END AS q1, CASE WHEN j >= n - a THEN (j * 5 + templid * 2) % 41 ELSE 0 END AS q2 FROM places),
 w AS (SELECT *, CASE WHEN q1 > 9 AND q1 >= q2 THEN 1 WHEN q2 > 9 THEN 2 ELSE 0 END AS won FROM q)
 SELECT templid * 2 AS templid, rname, strand, start,
