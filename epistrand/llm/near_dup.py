@@ -7,8 +7,9 @@
    between 512 and 640, so that any two sets with similarity 0.8 or more share a kind.
 3. Bands of 4 registers give 32 keys a kind; two sets of similarity s share none with probability
    (1 - s^4)^32, 5e-8 at 0.8. Classes that share a key are candidates.
-4. Within a key, every class is first compared with eight leaders only. Candidates whose register
-   agreement, corrected for chance collisions, is five standard errors below the threshold go (3e-7
+4. Within a key, every class is first compared with eight leaders only; of the leaders of all its keys,
+   with the ``MET`` that it shares most keys with. So a class costs ``MET`` pairs at most here, however
+   large its groups are, and step 5 settles what this leaves open. Candidates whose register agreement, corrected for chance collisions, is five standard errors below the threshold go (3e-7
    of the pairs at the threshold itself, fewer above it); the rest are confirmed on full sets. Connected components follow.
 5. To lose no link, members of a key that are still in different components are compared: pair by
    pair in keys of at most ``FEW`` members, else by an index on their differences from the shingles
@@ -37,8 +38,8 @@ from ._words import mix64, word_hashes
 REGISTERS, BAND, MANTISSA = 128, 4, 10
 #: Largest set with permutation registers, and smallest set with range registers.
 MOST_PERMUTED, LEAST_RANGED = 640, 512
-#: Leaders of a key, and likeliest partners of a class that are confirmed first.
-LEADERS, TRIED = 8, 6
+#: Leaders of a key, leaders that a class is compared with first, and likeliest partners of a class that are confirmed first.
+LEADERS, MET, TRIED = 8, 12, 6
 #: Members of a key whose pairs are compared one by one; those of larger keys meet by their differences.
 FEW = 16
 #: Chance that unequal least hashes of similar-sized sets share a register (Yu and Weber 2020).
@@ -136,7 +137,7 @@ def _estimated(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
     left = classes.select(F.col("sid").alias("x"), F.col("a").alias("a1"), F.col("b").alias("b1"))
     right = classes.select(F.col("sid").alias("y"), F.col("a").alias("a2"), F.col("b").alias("b2"))
     est = pairs.join(left, "x").join(right, "y").select("x", "y", agreement("a1", "b1", "a2", "b2").alias("est"))
-    return est.where(F.col("est") >= least)
+    return stage(est, "estimates").where(F.col("est") >= least)  # staged, since a filter on it would run the function twice
 
 
 def _sets(docs: DataFrame, sketched: DataFrame, needed: DataFrame, k: int) -> DataFrame:
@@ -229,8 +230,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     led = keys.groupBy("key").agg(F.count("*").alias("n"), *[F.min(F.col("sid").bitwiseXOR(F.lit(o))).alias(f"l{i}") for i, o in enumerate(_ORDERS)]).where("n > 1")
     led = stage(led.select("key", F.array_distinct(F.array(*[F.col(f"l{i}").bitwiseXOR(F.lit(o)) for i, o in enumerate(_ORDERS)])).alias("leaders")), "keys")
     members = stage(keys.join(led, "key").select("key", "sid", "leaders"), "members")
-    first = members.select(F.col("sid").alias("x"), F.explode("leaders").alias("y")).where("x != y")
-    first = first.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    first = members.select("sid", F.explode("leaders").alias("leader")).where("sid != leader").groupBy("sid", "leader").agg(F.count("*").alias("shared"))
+    likely = Window.partitionBy("sid").orderBy(F.col("shared").desc(), "leader")
+    first = first.withColumn("r", F.row_number().over(likely)).where(f"r <= {MET}")
+    first = first.select(F.least("sid", "leader").alias("x"), F.greatest("sid", "leader").alias("y")).distinct()
     first = stage(_estimated(first, classes, least), "pairs")
     # The likeliest partners of either side suffice to form the components.
     best = Window.partitionBy("x").orderBy(F.col("est").desc(), "y")
