@@ -68,6 +68,25 @@ def shingles(w: np.ndarray, k: int = K) -> np.ndarray:
     return mix64(h)
 
 
+def window_hashes(w: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of all windows of ``n`` words, put together from windows of 1, 2, 4 ... words; not those of ``shingles``."""
+    if len(w) < n:
+        return np.zeros(0, np.uint64)
+    part, span, out, done = w, 1, None, 0
+
+    def joined(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return mix64(mix64(x[: len(y)]) * np.uint64(0x9E3779B97F4A7C15) + y)
+
+    while True:
+        if n & span:
+            out = part[done:] if out is None else joined(out, part[done:])
+            done += span
+        if done == n:
+            return mix64(out)
+        part = joined(part, part[span:])
+        span *= 2
+
+
 def minimisers(h: np.ndarray, window: int = WINDOW) -> np.ndarray:
     """Positions of the least hash of every window, each once."""
     if not len(h):
@@ -130,9 +149,10 @@ def align(d: np.ndarray, a: np.ndarray, diagonal: int, least: int, similarity: f
     repeats in ``a`` is matched to its occurrence nearest to that. ``parts`` are the chains (first, last, other first,
     other last) that were merged into the stretch: where it falls short, each is aligned alone, on its own diagonal.
     """
-    hd, ha = shingles(d), shingles(a)
-    if not len(hd) or not len(ha):
+    if min(len(d), len(a)) < K:
         return []
+    both = shingles(np.concatenate([d, a]))
+    hd, ha = both[: len(d) - K + 1], both[len(d) :]
     order = np.argsort(ha, kind="stable")
     low, high = np.searchsorted(ha[order], hd, "left"), np.searchsorted(ha[order], hd, "right")
     at = np.flatnonzero(high > low)
@@ -298,7 +318,7 @@ def _open_matches(keyed: DataFrame, first: DataFrame, matches: DataFrame, found:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r, (i, text) in enumerate(zip(b.column("doc").to_pylist(), b.column("text").to_pylist(), strict=True)):
-                h, at = shingles(word_hashes(text), least), b.column("places")[r].values
+                h, at = window_hashes(word_hashes(text), least), b.column("places")[r].values
                 lo, hi, asks = (at.field(c).to_numpy(zero_copy_only=False) for c in ("lo", "hi", "open"))
                 inside = np.zeros((2, len(h) + 1), np.int64)
                 for row, x in ((0, np.ones(len(lo), bool)), (1, asks)):
@@ -398,10 +418,11 @@ def _passages(keyed: DataFrame, matches: DataFrame, least: int, similarity: floa
         names = ["doc", "other", "first_word", "last_word", "other_first", "other_last"]
         for b in batches:
             out = []
-            for r in range(b.num_rows):
-                d, a = (np.asarray(b.column(c)[r].values.to_numpy(zero_copy_only=False)).astype(np.uint64) for c in ("d", "a"))
-                i, j, x, y, p, q = (b.column(c)[r].as_py() for c in ("doc", "other", "d_lo", "a_lo", "d_first", "a_first"))
-                at = b.column("parts")[r].as_py() or []
+            words, ends = zip(*((b.column(c).values.to_numpy(), b.column(c).offsets.to_numpy()) for c in ("d", "a")), strict=True)
+            rows = zip(*(b.column(c).to_pylist() for c in ("doc", "other", "d_lo", "a_lo", "d_first", "a_first", "parts")), strict=True)
+            for r, (i, j, x, y, p, q, at) in enumerate(rows):
+                d, a = (w[e[r] : e[r + 1]].astype(np.uint64) for w, e in zip(words, ends, strict=True))
+                at = at or []
                 parts = tuple((at[c] - x, at[c + 1] - x, at[c + 2] - y, at[c + 3] - y) for c in range(0, len(at), 4))
                 out += [(i, j, x + s, x + e, y + t, y + u, v) for s, e, t, u, v in align(d, a, (q - y) - (p - x), least, similarity, parts)]
             cols = list(zip(*out, strict=True)) if out else [()] * 7

@@ -97,16 +97,16 @@ class Scorer(dict):
 def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     """All maximal-scoring segments (start, end, score), end exclusive; ties go to the shorter left part.
 
-    Only positive scores can start or end a segment, so the scan visits those and takes the sums
-    between them from cumulated scores.
+    Only positive scores can start or end a segment, and neighbours among them always join, so the
+    scan visits runs of positive scores and takes the sums between them from cumulated scores.
     """
-    hot = np.flatnonzero(scores > 0)
-    if not len(hot):
+    turns = np.flatnonzero(np.diff(np.concatenate([[False], scores > 0, [False]]).astype(np.int8)))
+    if not len(turns):
         return []
     total = np.concatenate([[0.0], np.cumsum(scores)])
+    sums = total[turns].tolist()
     stack: list[tuple[int, int, float, float, int]] = []  # start, end, sum before, sum after, nearest earlier with smaller sum before
-    for i in hot.tolist():
-        start, end, left, right = i, i + 1, total[i], total[i + 1]
+    for start, end, left, right in zip(turns[::2].tolist(), turns[1::2].tolist(), sums[::2], sums[1::2], strict=True):
         while True:
             j = len(stack) - 1
             while j >= 0 and stack[j][2] >= left:
