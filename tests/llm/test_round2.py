@@ -71,3 +71,23 @@ def test_alignment_scans_runs_of_shared_words():
     apart[1::2] = 0
     whole, found = seconds(one)
     assert found == [(0, 1_000_000, 1_000_000.0)] and whole < seconds(apart)[0] / 3  # a step a run, not a step a word
+
+
+def test_pipeline_estimates_pairs_of_near_copies_once(spark, monkeypatch):
+    import corpus_pipeline
+
+    r = random.Random(6)
+    base = [r.choice(WORDS) for _ in range(150)]
+    copies = [" ".join(w if r.random() > 0.01 else r.choice(WORDS) for w in base) for _ in range(300)]
+    plans, pairs_of, estimated = [], [], near_dup._estimated
+
+    def seen(pairs, classes, least):
+        pairs_of.append(pairs.count())
+        out = estimated(pairs, classes, least)
+        plans.append(out._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(near_dup, "_estimated", seen)
+    kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(list(enumerate(copies)), "doc_id long, text string"), "")
+    assert 0 in {x.doc_id for x in kept.collect()} and pairs_of[0] <= 12 * 300
+    assert all(p.count("ArrowEvalPython") < 2 for p in plans)
