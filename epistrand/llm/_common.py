@@ -11,6 +11,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +21,8 @@ from pyspark.sql.window import Window
 BATCH_BYTES = 4 << 20
 #: Most bytes that a lookup table may fill to be broadcast; larger ones are joined by shuffle.
 BROADCAST_BYTES = 32 << 20
+#: Most edges of which one task finds the components (16 MB); more are settled by rounds of joins.
+LOCAL_EDGES = 1 << 20
 
 _staged: list[tuple[SparkSession, str]] = []
 
@@ -74,9 +77,23 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     small_batches(spark)
     path = staged_path(spark, name)
     df.write.parquet(path)
+    _collect(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _collect(spark: SparkSession) -> None:
+    """Have the driver collect its garbage once its heap is half full.
+
+    Staged tables need no plans, shuffles or broadcast tables of before, but driver and executors
+    hold those until the driver collects, which by itself it does late.
+    """
+    jvm = spark.sparkContext._jvm
+    heap = jvm.java.lang.Runtime.getRuntime()
+    if heap.totalMemory() > heap.maxMemory() // 2:
+        gc.collect()  # handles of Python's DataFrames
+        jvm.java.lang.System.gc()
+
+
 def staged_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder that is removed when the driver ends."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -139,15 +156,38 @@ def dense_rank_within(df: DataFrame, keys: list[str], salt: Column, order: list[
     return joined.select(*[ranked[c] for c in df.columns], (F.col("_start") + F.col("_in")).cast("long").alias(out))
 
 
+def least_reachable(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of the edges (a, b), sorted, and the smallest node reachable from each."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y, parent = at[: len(a)], at[len(a) :], np.arange(len(nodes))
+    while len(x):
+        x, y = parent[x], parent[y]
+        open_ = x != y
+        x, y = np.minimum(x, y)[open_], np.maximum(x, y)[open_]
+        np.minimum.at(parent, y, x)  # a root hooks to a smaller one, so the last root is the smallest
+        while (parent != (up := parent[parent])).any():
+            parent = up
+    return nodes, nodes[parent]
+
+
 def components(edges: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
     """(node, root) of every node of ``edges``; root is the smallest node reachable.
 
-    Alternates large-star and small-star steps (Kiveris et al. 2014) until the edges form stars.
-    Each round is two aggregations with map-side combine and two joins on the edge table, staged in
-    the shared folder; only a count and a checksum reach the driver.
+    Up to ``LOCAL_EDGES`` edges are settled in one task. For more, large-star and small-star steps
+    alternate (Kiveris et al. 2014) until the edges form stars. Each round is two aggregations with
+    map-side combine and two joins on the edge table, staged in the shared folder; only a count and
+    a checksum reach the driver.
     """
     e = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
     e, last = stage(e, "edges"), None
+    if e.dtypes == [("u", "bigint"), ("v", "bigint")] and e.count() <= LOCAL_EDGES:
+
+        def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            got = [(x.column(0).to_numpy(), x.column(1).to_numpy()) for x in batches]
+            if got:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in least_reachable(*map(np.concatenate, zip(*got, strict=True)))], ["node", "root"])
+
+        return stage(e.coalesce(1).mapInArrow(frugal(settle), "node long, root long"), "roots")
     for _ in range(rounds):
         now = e.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0))).first()
         if now == last or now[0] == 0:

@@ -230,7 +230,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     led = keys.groupBy("key").agg(F.count("*").alias("n"), *[F.min(F.col("sid").bitwiseXOR(F.lit(o))).alias(f"l{i}") for i, o in enumerate(_ORDERS)]).where("n > 1")
     led = stage(led.select("key", F.array_distinct(F.array(*[F.col(f"l{i}").bitwiseXOR(F.lit(o)) for i, o in enumerate(_ORDERS)])).alias("leaders")), "keys")
     members = stage(keys.join(led, "key").select("key", "sid", "leaders"), "members")
-    first = members.select("sid", F.explode("leaders").alias("leader")).where("sid != leader").groupBy("sid", "leader").agg(F.count("*").alias("shared"))
+    # Dealt by class once, before leaders are rows, for the counts and their ranks; a class has few keys.
+    first = members.select("sid", "leaders").repartition("sid").select("sid", F.explode("leaders").alias("leader")).where("sid != leader").groupBy("sid", "leader").agg(F.count("*").alias("shared"))
     likely = Window.partitionBy("sid").orderBy(F.col("shared").desc(), "leader")
     first = first.withColumn("r", F.row_number().over(likely)).where(f"r <= {MET}")
     first = first.select(F.least("sid", "leader").alias("x"), F.greatest("sid", "leader").alias("y")).distinct()
@@ -255,8 +256,6 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     rest = stage(_estimated(rest, classes, least).select("x", "y").join(tried, ["x", "y"], "left_anti"), "pairs")
     more = stage(_confirmed(docs, sketched, rest, k, num, den), "links")
 
-    # Roots are nodes, so contracted links between them keep the components.
-    roots = stage(roots, "roots")
     new = components(links.union(more), "x", "y")
     ids = sketched.where("n_shingles > 0").groupBy("sid").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"))
     ids = ids.join(new.withColumnRenamed("node", "sid"), "sid", "left").select("sid", "id", "copies", "root")

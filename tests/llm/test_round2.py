@@ -5,7 +5,7 @@ import time
 
 import numpy as np
 
-from epistrand.llm import near_dup, passages, toxicity
+from epistrand.llm import _common, near_dup, passages, toxicity
 
 WORDS = ["".join(random.Random(i).choice("abcdefgh") for _ in range(6)) for i in range(4000)]
 
@@ -91,3 +91,19 @@ def test_pipeline_estimates_pairs_of_near_copies_once(spark, monkeypatch):
     kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(list(enumerate(copies)), "doc_id long, text string"), "")
     assert 0 in {x.doc_id for x in kept.collect()} and pairs_of[0] <= 12 * 300
     assert all(p.count("ArrowEvalPython") < 2 for p in plans)
+
+
+def test_components_of_few_edges_take_one_task(spark, monkeypatch):
+    r = random.Random(8)
+    edges = [(i, i + 1) for i in range(200)] + [(r.randrange(1000, 1900), r.randrange(1000, 1900)) for _ in range(450)] + [(-5, 1500), (2**62, -(2**62)), (7, 7)]
+    e = spark.createDataFrame(edges, "a long, b long")
+    staged, stage = [], _common.stage
+    monkeypatch.setattr(_common, "stage", lambda df, name: staged.append(name) or stage(df, name))
+    few = _common.components(e, "a", "b").collect()
+    assert staged == ["edges", "roots"]  # no rounds of joins
+    monkeypatch.setattr(_common, "LOCAL_EDGES", 0)
+    many = _common.components(e, "a", "b").collect()
+    assert len(staged) > 4 and len(few) == len(many) and {tuple(x) for x in few} == {tuple(x) for x in many}
+    root = {x.node: x.root for x in few}
+    assert root[200] == 0 and root[1500] == -5 and root[2**62] == -(2**62)
+    assert _common.components(e.where("a > 2 and a < 2"), "a", "b").count() == 0
