@@ -37,7 +37,6 @@ from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -353,7 +352,7 @@ def _passages(keyed: DataFrame, matches: DataFrame, least: int, similarity: floa
     """The passages around ``matches`` (doc, other, ``ends_of``) of seeds: positions to chain (pos, at), or stretches as they are (d0, d1, a0, a1)."""
     matches = matches.repartition("doc", "other").sortWithinPartitions("doc", "other", *ends_of)
 
-    def chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
 
         def finish(rows: np.ndarray, out: list) -> None:
@@ -379,12 +378,13 @@ def _passages(keyed: DataFrame, matches: DataFrame, least: int, similarity: floa
                     parts.append([d0, d1 + K - 1, a0, a1 + K - 1])
             out += [(rows[0, 0], rows[0, 1], d0, d1 + K - 1, a0, a1 + K - 1, [x for part in parts for x in part] if len(parts) > 1 else []) for d0, d1, a0, a1, parts in merged]
 
-        def frame(out: list) -> pd.DataFrame:
-            f = pd.DataFrame(np.array([x[:6] for x in out], np.int64).reshape(-1, 6), columns=["doc", "other", "d0", "d1", "a0", "a1"])
-            return f.assign(parts=pd.Series([x[6] for x in out], dtype=object))
+        def frame(out: list) -> pa.RecordBatch:
+            ends = np.array([x[:6] for x in out], np.int64).reshape(-1, 6)
+            cols = [*(pa.array(np.ascontiguousarray(c)) for c in ends.T), pa.array([x[6] for x in out], pa.list_(pa.int64()))]
+            return pa.RecordBatch.from_arrays(cols, ["doc", "other", "d0", "d1", "a0", "a1", "parts"])
 
         for b in batches:
-            rows = b[["doc", "other", *ends_of]].to_numpy(np.int64)
+            rows = np.column_stack([b.column(c).to_numpy().astype(np.int64) for c in ("doc", "other", *ends_of)])
             if not len(rows):
                 continue
             cut = np.flatnonzero((rows[1:, :2] != rows[:-1, :2]).any(axis=1)) + 1
@@ -407,7 +407,7 @@ def _passages(keyed: DataFrame, matches: DataFrame, least: int, similarity: floa
             finish(np.concatenate(held), out)
             yield frame(out)
 
-    spans = matches.mapInPandas(chain, "doc long, other long, d0 long, d1 long, a0 long, a1 long, parts array<long>")
+    spans = matches.mapInArrow(frugal(chain), "doc long, other long, d0 long, d1 long, a0 long, a1 long, parts array<long>")
     spans = stage(spans.withColumn("chain", F.xxhash64("doc", "other", "d0", "a0")), "chains")
     own = _slices(keyed, spans.select("chain", F.col("doc").alias("of"), "d0", "d1"))
     other = _slices(keyed, spans.select("chain", F.col("other").alias("of"), F.col("a0").alias("d0"), F.col("a1").alias("d1")))

@@ -107,3 +107,20 @@ def test_components_of_few_edges_take_one_task(spark, monkeypatch):
     root = {x.node: x.root for x in few}
     assert root[200] == 0 and root[1500] == -5 and root[2**62] == -(2**62)
     assert _common.components(e.where("a > 2 and a < 2"), "a", "b").count() == 0
+
+
+def test_chaining_gives_memory_back(spark, monkeypatch):
+    r = random.Random(9)
+    shared = [r.choice(WORDS) for _ in range(120)]
+    texts = [" ".join([r.choice(WORDS) for _ in range(40)] + shared + [r.choice(WORDS) for _ in range(40)]) for _ in range(5)]
+    wrapped, plans, frugal, stage = [], [], passages.frugal, passages.stage
+
+    def staged(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return stage(df, name)
+
+    monkeypatch.setattr(passages, "frugal", lambda run: wrapped.append(run.__name__) or frugal(run))
+    monkeypatch.setattr(passages, "stage", staged)
+    found = passages.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert "chain" in wrapped and not any("Pandas" in p for p in plans)  # workers hold no pandas frames and release what chaining took
+    assert {x.doc_id for x in found} == {1, 2, 3, 4} and all(x.first_word <= 40 and x.last_word >= 159 for x in found)
