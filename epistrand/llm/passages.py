@@ -92,9 +92,28 @@ def minimisers(h: np.ndarray, window: int = WINDOW) -> np.ndarray:
         return np.zeros(0, np.int64)
     if len(h) <= window:
         return np.array([int(h.argmin())])
-    view = np.lib.stride_tricks.sliding_window_view(h, window)
-    out = [np.arange(s, min(s + 65536, len(view))) + view[s : s + 65536].argmin(axis=1) for s in range(0, len(view), 65536)]
-    return np.unique(np.concatenate(out))
+    # The least of each window, then of those the greatest over a position's windows: it is the position's own hash where that is least in one.
+    low, top = _slid(h, window, np.minimum), np.zeros(len(h) + window - 1, h.dtype)
+    top[window - 1 : len(h)] = low
+    at = np.flatnonzero(h == _slid(top, window, np.maximum))
+    tied = np.flatnonzero((h[at[1:]] == h[at[:-1]]) & (np.diff(at) < window)) + 1
+    if not len(tied):
+        return at
+    keep = np.ones(len(at), bool)  # of equal hashes in one window the first counts, so a later one needs a window that starts behind it
+    for x in np.split(tied, range(65536, len(tied), 65536)):
+        starts = at[x - 1, None] + np.arange(1, window)
+        inside = (starts <= at[x, None]) & (starts < len(low))
+        keep[x] = (inside & (low[np.minimum(starts, len(low) - 1)] == h[at[x], None])).any(axis=1)
+    return at[keep]
+
+
+def _slid(h: np.ndarray, window: int, of: np.ufunc) -> np.ndarray:
+    """``of`` over every window, by doubling."""
+    span = 1
+    while span < window:
+        step = min(span, window - span)
+        h, span = of(h[:-step], h[step:]), span + step
+    return h
 
 
 def chains(p: np.ndarray, a: np.ndarray) -> list[np.ndarray]:

@@ -124,3 +124,23 @@ def test_chaining_gives_memory_back(spark, monkeypatch):
     found = passages.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     assert "chain" in wrapped and not any("Pandas" in p for p in plans)  # workers hold no pandas frames and release what chaining took
     assert {x.doc_id for x in found} == {1, 2, 3, 4} and all(x.first_word <= 40 and x.last_word >= 159 for x in found)
+
+
+def test_minimisers_are_the_first_least_hashes_of_windows():
+    r = np.random.default_rng(3)
+    for n in [*range(40), 300, 5000]:
+        for most in (3, 50, 1 << 63):
+            for window in (1, 2, 7, 16):
+                h = r.integers(0, most, n, dtype=np.uint64)
+                want = {s + int(h[s : s + window].argmin()) for s in range(max(1, n - window + 1))} if n else set()
+                assert passages.minimisers(h, window).tolist() == sorted(want)
+
+
+def test_minimisers_need_no_scan_of_each_window():
+    h = np.random.default_rng(4).permutation(1 << 20).astype(np.uint64)
+    began = time.process_time()
+    view = np.lib.stride_tricks.sliding_window_view(h, 16)
+    want = np.unique(np.concatenate([np.arange(s, min(s + 65536, len(view))) + view[s : s + 65536].argmin(axis=1) for s in range(0, len(view), 65536)]))
+    scanned = time.process_time() - began
+    began = time.process_time()
+    assert (passages.minimisers(h) == want).all() and time.process_time() - began < 0.7 * scanned
