@@ -2,6 +2,7 @@
 
 import random
 import time
+from unittest import mock
 
 import numpy as np
 
@@ -144,3 +145,18 @@ def test_minimisers_need_no_scan_of_each_window():
     scanned = time.process_time() - began
     began = time.process_time()
     assert (passages.minimisers(h) == want).all() and time.process_time() - began < 0.7 * scanned
+
+
+def test_driver_collects_once_its_heap_is_half_full():
+    calls = []
+
+    def session(total):
+        jvm = mock.MagicMock()
+        heap = jvm.java.lang.Runtime.getRuntime.return_value
+        heap.totalMemory.return_value, heap.maxMemory.return_value = total, 750
+        jvm.java.lang.System.gc.side_effect = lambda: calls.append(total)
+        return mock.MagicMock(sparkContext=mock.MagicMock(_jvm=jvm))
+
+    _common._collect(session(370))
+    _common._collect(session(380))
+    assert calls == [380]
