@@ -8,11 +8,15 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import strings as st
+
 # Bits of the SAM flag.
 UNMAPPED, PROPER, MATE_UNMAPPED, REVERSE, SECONDARY, QCFAIL, DUPLICATE, SUPPLEMENTARY = 4, 2, 8, 16, 256, 512, 1024, 2048
 SNIFFED = 1024
@@ -31,8 +35,14 @@ def skip_mask(paired: bool = False, skip_duplicates: bool = False, skip_secondar
 def sniff(alignments: DataFrame) -> dict:
     """Counts over the first 1024 records, and what they say: paired, sorted by name, tagged (XM, MM or none)."""
     cols = {c.lower() for c in alignments.columns}
-    head = alignments.orderBy("rec_no").limit(SNIFFED) if "rec_no" in cols else alignments.limit(SNIFFED)
-    rows = head.toPandas()
+    head = alignments
+    if "rec_no" in cols:  # numbers alone say which records come first, so whole ones are neither sorted nor made
+        first = [r[0] for r in alignments.select("rec_no").orderBy("rec_no").limit(SNIFFED).collect()]
+        last = max((x for x in first if x is not None), default=None)
+        early = F.col("rec_no") <= last if last is not None else F.lit(False)
+        head = alignments.where((early | F.col("rec_no").isNull()) if None in first else early).orderBy("rec_no")
+    there = [F.when(F.col(t).isNotNull(), 1).alias(t.lower()) for t in _KNOWN_TAGS if t.lower() in cols]
+    rows = head.select("flag", "qname", *there, *(["rec_no"] if "rec_no" in cols else [])).limit(SNIFFED).toPandas()
     n, proper = len(rows), int((rows["flag"].astype(int) & PROPER > 0).sum()) if len(rows) else 0
     same = int((rows["qname"].iloc[1:].to_numpy() == rows["qname"].iloc[:-1].to_numpy()).sum()) if n > 1 else 0
     tags = {t: int(rows[t.lower()].notna().sum()) for t in _KNOWN_TAGS if t.lower() in rows}
@@ -52,53 +62,71 @@ def sniff(alignments: DataFrame) -> dict:
     return {"records": n, "proper": proper, "templates": same, "tags": tags, "paired": paired, "sorted": ordered, "tagged": "MM" if "MM" in has else "XM"}
 
 
-def _ops(cigar: Column) -> Column:
-    rx = F.lit(r"(\d+)([MIDNSHP=X])")
-    return F.arrays_zip(F.regexp_extract_all(cigar, rx, F.lit(1)).alias("n"), F.regexp_extract_all(cigar, rx, F.lit(2)).alias("op"))
+@lru_cache(1 << 12)
+def pieces(cigar: str) -> tuple[tuple[int, int], ...]:
+    """What the reference space of a read is made of, in order: (from, n) runs of the query, ``from`` -1 for a gap."""
+    if not re.fullmatch(r"(?:[0-9]+[MIDNSHP=X])+", cigar):
+        raise AlignmentError(f"unknown CIGAR operation: {cigar}")
+    out, at = [], 0
+    for n, op in re.findall(r"([0-9]+)([MIDNSHP=X])", cigar):
+        if op in "M=X":
+            out.append((at, int(n)))
+        elif op in "DN":
+            out.append((-1, int(n)))
+        at += int(n) if op in "M=XIS" else 0
+    return tuple(out)
 
 
-def _pieces(cigar: Column) -> Column:
-    """What the reference space of a read is made of, in order: (from, n) runs of the query, ``from`` 0 for a gap."""
-    start = F.struct(F.lit(1).alias("q"), F.array().cast("array<struct<from:int,n:int>>").alias("out"))
+def laid_out(payload: bytes, parts: tuple[tuple[int, int], ...], fill: bytes) -> bytes:
+    """Query string -> reference space: insertions and soft clips go, deletions and skips become ``fill``."""
+    if len(parts) == 1 and parts[0][0] == 0:
+        return payload[: parts[0][1]]
+    return b"".join([payload[a : a + n] if a >= 0 else fill * n for a, n in parts])
 
-    def step(acc: Column, x: Column) -> Column:
-        n, op = x["n"].cast("int"), x["op"]
-        took = F.when(op.isin("M", "=", "X"), F.array(F.struct(acc["q"].alias("from"), n.alias("n")))).when(op.isin("D", "N"), F.array(F.struct(F.lit(0).alias("from"), n.alias("n")))).otherwise(F.array().cast("array<struct<from:int,n:int>>"))
-        return F.struct(F.when(op.isin("M", "=", "X", "I", "S"), acc["q"] + n).otherwise(acc["q"]).alias("q"), F.concat(acc["out"], took).alias("out"))
 
-    bad = ~cigar.rlike(r"^(\d+[MIDNSHP=X])+$")
-    return F.when(bad, F.raise_error(F.concat(F.lit("unknown CIGAR operation: "), cigar)).cast("array<struct<from:int,n:int>>")).otherwise(F.aggregate(_ops(cigar), start, step, lambda a: a["out"]))
+def masked(payload: bytes, qual: bytes | None, least: int, fill: bytes) -> bytes:
+    """``fill`` where the base quality is below ``least``, and past the qualities of a read that has low ones."""
+    if qual is None or least <= 0:
+        return payload
+    # Qualities are single characters, so they compare as bytes; a read without low ones is left as it is.
+    x, q = np.frombuffer(payload, np.uint8), np.frombuffer(qual, np.uint8)[: len(payload)]
+    low = q < 33 + least
+    if not low.any():
+        return payload
+    return np.where(low, np.uint8(fill[0]), x[: len(q)]).tobytes() + fill * (len(x) - len(q))
 
 
-def project(payload: Column, cigar: Column, fill: str = "-") -> Column:
-    """Query string -> reference space: insertions and soft clips go, deletions and skips become ``fill``."""
-    return _laid_out(payload, _pieces(cigar), fill)
+def _layer(fill: str, least: int):
+    """A column function of (payload, cigar, qualities): the payload in reference space, bases of low quality masked."""
+    gap = fill.encode()
+
+    def lay(payload: pa.Array, cigar: pa.Array, qual: pa.Array) -> pa.Array:
+        quals = st.rows_of(qual) if least > 0 else [None] * len(payload)
+        rows = zip(st.rows_of(payload), cigar.to_pylist(), quals, strict=True)
+        return st.joined([None if x is None or c is None else laid_out(masked(x, q, least, gap), pieces(c), gap) for x, c, q in rows])
 
+    return F.arrow_udf(lay, "string")
 
-def _laid_out(payload: Column, pieces: Column, fill: str) -> Column:
-    # The string is split once, so the work is linear in the read however many operations it has.
-    chars = F.split(payload, "")
-    whole = (F.size(pieces) == 1) & (F.get(pieces, F.lit(0))["from"] == 1)
-    some = F.array_join(F.flatten(F.transform(pieces, lambda x: F.when(x["from"] > 0, F.slice(chars, F.greatest(x["from"], F.lit(1)), x["n"])).otherwise(F.array_repeat(F.lit(fill), x["n"])))), "")
-    return F.when(whole, F.substring(payload, F.lit(1), F.get(pieces, F.lit(0))["n"])).otherwise(some)
+
+def project(payload: Column, cigar: Column, fill: str = "-") -> Column:
+    """``laid_out`` as a column: strings are cut in Arrow batches, once, however many operations there are."""
+    return _layer(fill, 0)(payload, cigar, F.lit(None).cast("string"))
 
 
 def _projected(a: DataFrame, min_baseq: int, *keep: Column | str) -> DataFrame:
     """``keep``, seq and xm in reference space, with bases of low quality masked."""
-    p = a.withColumn("_pieces", _pieces(F.col("cigar")))
-    p = p.withColumns({"seq": mask(F.col("seq"), F.col("qual"), min_baseq, "N"), "xm": mask(F.col("xm"), F.col("qual"), min_baseq, "-")}) if min_baseq > 0 else p
-    return p.select(*keep, _laid_out(F.col("seq"), F.col("_pieces"), "N").alias("seq"), _laid_out(F.col("xm"), F.col("_pieces"), "-").alias("xm"))
+    qual = F.col("qual") if min_baseq > 0 else F.lit(None).cast("string")
+    return a.select(*keep, *[_layer(fill, min_baseq)(F.col(c), F.col("cigar"), qual).alias(c) for c, fill in (("seq", "N"), ("xm", "-"))])
 
 
 def mask(payload: Column, qual: Column, least: int, fill: str) -> Column:
-    """``fill`` where the base quality is below ``least``."""
-    if least <= 0:
-        return payload
-    # Qualities are single characters, so they compare as text; a read without low ones is left as it is.
-    enough = chr(33 + least)
-    low = F.zip_with(F.split(payload, ""), F.split(qual, ""), lambda c, q: F.when(q >= enough, c).otherwise(F.lit(fill)))
-    some = qual.rlike(f"[\\x21-\\x{32 + least:02x}]")
-    return F.when(some, F.array_join(low, "")).otherwise(payload)
+    """``masked`` as a column."""
+    gap = fill.encode()
+
+    def cover(x: pa.Array, q: pa.Array) -> pa.Array:
+        return st.joined([None if a is None else masked(a, b, least, gap) for a, b in zip(st.rows_of(x), st.rows_of(q), strict=True)])
+
+    return F.arrow_udf(cover, "string")(payload, qual) if least > 0 else payload
 
 
 def strand_of(xg: Column) -> Column:
@@ -125,105 +153,153 @@ def single_reads(alignments: DataFrame, min_mapq: int = 0, min_baseq: int = 0, t
     return trimmed(r, trim).select(*_OUT)
 
 
+_PAIR = "templid long, rname string, strand string, start int, seq string, xm string"
+
+
+def _overlaid(records: list[tuple], min_baseq: int) -> tuple:
+    """The template of records (qname, rec_no, rname, strand, pos, left, span, cigar, seq, xm, qual) in order: those of ``_PAIR``."""
+    _, no, rname, strand, _, _, span, *_ = records[0]
+    parts = [(r[4], *[None if x is None or r[7] is None else laid_out(x, pieces(r[7]), f) for x, f in zip(r[8:], (b"N", b"-", b"!"), strict=True)]) for r in records]
+    left = min((r[5] for r in records if r[5] is not None), default=None)
+    ends = [r[0] + len(r[2]) - 1 for r in parts if r[0] is not None and r[2] is not None] + ([left + abs(span) - 1] if None not in (left, span) else [])
+    if left is None or None in parts[0]:
+        return no, rname, strand, left, None, None
+    size = max(0, max(ends) - left + 1)
+    if any(None in r for r in parts):  # a mate without qualities or a CIGAR leaves no base to tell
+        return no, rname, strand, left, b"N" * size, b"-" * size
+    best, base, site = np.full(size, 33 + max(min_baseq - 1, 0), np.uint8), np.full(size, ord("N"), np.uint8), np.full(size, ord("-"), np.uint8)
+    for pos, seq, xm, qual in parts:
+        n = min(len(xm), len(qual))
+        q, own = np.frombuffer(qual, np.uint8)[:n], np.frombuffer(seq.ljust(n, b"\0"), np.uint8)[:n]
+        here = slice(pos - left, pos - left + n)
+        better = q > best[here]
+        for to, of in ((best, q), (base, own), (site, np.frombuffer(xm, np.uint8)[:n])):
+            np.copyto(to[here], of, where=better)
+    return no, rname, strand, left, base.tobytes().replace(b"\0", b""), site.tobytes()
+
+
 def paired_reads(alignments: DataFrame, min_mapq: int = 0, min_baseq: int = 0, trim: int | tuple[int, int] = 0, **skips) -> DataFrame:
     """Proper pairs merged into templates: at each position the strictly better base wins, the first record on a tie.
 
-    Records are projected before the one shuffle on the name, which moves whole reads; the records of a template are
-    then laid over each other in order, array by array.
+    One shuffle on the name moves whole records; sorted by name and number, those of a template follow each other, and
+    are projected and laid over each other in Arrow batches.
     """
     a = alignments.where((F.col("flag").bitwiseAND(skip_mask(True, **skips)) == 0) & (F.col("flag").bitwiseAND(PROPER) != 0) & (F.col("mapq") >= min_mapq) & F.col("xm").isNotNull() & F.col("xg").isNotNull())
-    a = a.withColumn("_pieces", _pieces(F.col("cigar")))
-    texts = [_laid_out(F.col(c), F.col("_pieces"), f).alias(c) for c, f in (("seq", "N"), ("xm", "-"), ("qual", "!"))]
-    p = a.select("qname", F.struct("rec_no", "rname", strand_of(F.col("xg")).alias("strand"), F.col("pos").cast("int").alias("pos"), F.least("pos", "pnext").cast("int").alias("left"), F.abs("tlen").cast("int").alias("span"), *texts).alias("r"))
-    t = p.groupBy("qname").agg(F.array_sort(F.collect_list("r")).alias("rs"))
-    left = F.array_min(F.transform("rs", lambda r: r["left"]))
-    last = F.array_max(F.transform("rs", lambda r: r["pos"] + F.length(r["xm"]) - 1))
-    t = t.withColumns({"h": F.element_at("rs", 1), "left": left}).withColumn("end", F.greatest(F.col("left") + F.col("h.span") - 1, last))
-    nothing = F.struct(F.lit(chr(33 + max(min_baseq - 1, 0))).alias("q"), F.lit("N").alias("b"), F.lit("-").alias("c"))
-    blank = F.struct(F.lit("!").alias("q"), F.lit("N").alias("b"), F.lit("-").alias("c"))
-
-    def overlaid(acc: Column, r: Column) -> Column:
-        own = F.arrays_zip(F.split(r["qual"], "").alias("q"), F.split(r["seq"], "").alias("b"), F.split(r["xm"], "").alias("c"))
-        at = F.concat(F.array_repeat(blank, r["pos"] - F.col("left")), F.slice(own, F.lit(1), F.length(r["xm"])), F.array_repeat(blank, F.greatest(F.lit(0), F.col("end") - r["pos"] - F.length(r["xm"]) + 1)))
-        return F.zip_with(acc, at, lambda x, y: F.when(y["q"] > x["q"], y).otherwise(x))
-
-    merged = F.aggregate("rs", F.array_repeat(nothing, F.col("end") - F.col("left") + 1), overlaid)
-    t = t.withColumn("m", merged)
-    out = t.select(F.col("h.rec_no").alias("templid"), F.col("h.rname").alias("rname"), F.col("h.strand").alias("strand"), F.col("left").alias("start"), F.array_join(F.transform("m", lambda x: x["b"]), "").alias("seq"), F.array_join(F.transform("m", lambda x: x["c"]), "").alias("xm"))
-    return trimmed(out, trim).select(*_OUT)
-
-
-_COMPLEMENT = str.maketrans("ACGTNacgtnRYSWKMBDHV", "TGCANtgcanYRSWMKVHDB")
-# Ambiguity codes that context lookup reads as one base.
-_ALIAS = str.maketrans("YSKWDV", "ACCGTN")
-
-
-def _context(three: str, reverse: bool) -> str:
-    """Context of the first base (forward) or of the last base (reverse) of a 3-mer over ACGTN."""
-    if any(b not in "ACGTN" for b in three):
-        return "."
-    if reverse:
-        three = three[::-1].translate(str.maketrans("ACGT", "TGCA"))
-    a, b, c = three
-    return "." if a != "C" else "z" if b == "G" else "x" if c == "G" else "h"
-
-
-def parse_mm(seq: str, mm: str | None, ml: list[int] | None, reverse: bool) -> dict[tuple[int, int], tuple[int, int]]:
-    """(position in SEQ, MM strand) -> (probability of 5mC or -3 if absent, best other modification or -2)."""
-    original = seq.translate(_COMPLEMENT)[::-1] if reverse else seq
+    p = a.select("qname", F.col("rec_no").cast("long").alias("rec_no"), "rname", strand_of(F.col("xg")).alias("strand"), F.col("pos").cast("int").alias("pos"), F.least("pos", "pnext").cast("int").alias("left"), F.col("tlen").cast("int").alias("span"), "cigar", "seq", "xm", "qual")
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def out(templates: list[tuple]) -> pa.RecordBatch:
+            no, rname, strand, left, seq, xm = zip(*templates, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(no, pa.int64()), pa.array(rname, pa.string()), pa.array(strand, pa.string()), pa.array(left, pa.int32()), st.joined(list(seq)), st.joined(list(xm))], ["templid", "rname", "strand", "start", "seq", "xm"])
+
+        for b in batches:
+            done = []
+            for r in zip(*[c.to_pylist() for c in b.columns[:8]], *[st.rows_of(c) for c in b.columns[8:]], strict=True):
+                if held and held[0][0] != r[0]:
+                    done.append(_overlaid(held, min_baseq))
+                    held = []
+                held.append(r)
+            if done:
+                yield out(done)
+        if held:
+            yield out([_overlaid(held, min_baseq)])
+
+    return trimmed(p.repartition("qname").sortWithinPartitions("qname", "rec_no").mapInArrow(merge, _PAIR), trim).select(*_OUT)
+
+
+_COMPLEMENT = st.table({"ACGTNacgtnRYSWKMBDHV": "TGCANtgcanYRSWMKVHDB"})
+# A, C, G, T, N as 0 to 4, ambiguity codes that context lookup reads as one base among them, all else 5.
+_CODE = st.table({"ACGTNYSKWDV": "01234011234"}, "5") - ord("0")
+
+
+def _contexts(reverse: bool) -> np.ndarray:
+    """Context of the first base (forward) or of the last base (reverse) of each 3-mer of codes, as bytes."""
+    out = np.full((6, 6, 6), ord("."), np.uint8)
+    for a in range(5):
+        for b in range(5):
+            for c in range(5):
+                x, y, z = (3 - v if v < 4 else v for v in (c, b, a)) if reverse else (a, b, c)
+                out[a, b, c] = ord("." if x != 1 else "z" if y == 2 else "x" if z == 2 else "h")
+    return out.reshape(-1)
+
+
+_CONTEXT = _contexts(False), _contexts(True)
+
+
+def parse_mm(seq: np.ndarray, mm: str | None, ml: np.ndarray | None, reverse: bool) -> tuple[np.ndarray, np.ndarray]:
+    """By MM strand and position in SEQ: the probability of 5mC, -3 if absent, and that of the best other modification, or -2."""
+    original = _COMPLEMENT[seq][::-1] if reverse else seq
     n, taken = len(seq), 0
-    found: dict[tuple[int, int], list[int]] = {}
+    own, other = np.full((2, n), -3, np.int32), np.full((2, n), -2, np.int32)
     for entry in (mm or "").strip(";").split(";"):
         m = re.match(r"([A-Za-z])([+-])([a-zA-Z]+|\d+)[.?]?((?:,\d+)*)$", entry)
         if not m:
             continue
         base, strand, codes, deltas = m.groups()
         kinds = [codes] if codes.isdigit() else list(codes)
-        where = range(n) if base == "N" else [i for i, b in enumerate(original) if b == base.upper()]
-        at = -1
-        for d in (int(x) for x in deltas.split(",") if x):
-            at += d + 1
-            for kind in kinds:
-                p = ml[taken] if ml is not None and taken < len(ml) else -1
-                taken += 1
-                if at >= len(where):
-                    continue
-                pos = n - 1 - where[at] if reverse else where[at]
-                v = found.setdefault((pos, int(strand == "-")), [-3, -2])
-                if kind in ("m", "27551"):
-                    v[0] = max(v[0], p)
-                else:
-                    v[1] = max(v[1], p)
-    return {k: (a, b) for k, (a, b) in found.items()}
+        where = np.arange(n) if base == "N" else np.flatnonzero(original == ord(base.upper()))
+        at = np.cumsum(np.fromstring(deltas[1:], np.int64, sep=",") + 1) - 1 if deltas else np.zeros(0, np.int64)
+        inside = int(np.searchsorted(at, len(where)))
+        pos = where[at[:inside]]
+        pos = n - 1 - pos if reverse else pos
+        for j, kind in enumerate(kinds):
+            k = taken + j + len(kinds) * np.arange(inside)
+            p = np.full(inside, -1, np.int32)
+            if ml is not None:
+                p[k < len(ml)] = ml[k[k < len(ml)]]
+            to = (own if kind in ("m", "27551") else other)[int(strand == "-")]
+            to[pos] = np.maximum(to[pos], p)
+        taken += len(kinds) * len(at)
+    return own, other
+
+
+def _long_strands(seq: bytes, mm: str | None, ml: np.ndarray | None, reverse: bool, min_prob: int, highest_prob: bool) -> list[tuple[str, bytes]]:
+    up = np.frombuffer(seq.upper(), np.uint8)
+    n = len(up)
+    code = np.full(n + 4, 4, np.int16)
+    code[2 : n + 2] = _CODE[up]
+    three = code[:-2] * 36 + code[1:-1] * 6 + code[2:]
+    xm = [_CONTEXT[0][three[2:]], _CONTEXT[1][three[:n]]]
+    modified = [False, False]
+    own, other = parse_mm(up, mm, ml, reverse)
+    for s in (0, 1):
+        t = abs(int(reverse) - s)
+        hit = (own[s] > -3) & (own[s] >= min_prob) & (xm[t] != ord("."))
+        if highest_prob:
+            hit &= own[s] > other[s]
+        xm[t][hit] -= 32
+        modified[t] = bool(hit.any())
+    return [("+-"[t], xm[t].tobytes()) for t in (0, 1) if modified[t] or t == int(reverse)]
 
 
 def long_read_strands(seq: str, mm: str | None, ml: list[int] | None, reverse: bool, min_prob: int = -1, highest_prob: bool = True) -> list[tuple[str, str]]:
     """(strand, xm in query space) of a long read: its own strand always, the other one if it is modified."""
-    up = seq.upper()
-    flank = "NN" + up.translate(_ALIAS) + "NN"
-    xm = [[_context(flank[i + 2 : i + 5], False) for i in range(len(seq))], [_context(flank[i : i + 3], True) for i in range(len(seq))]]
-    modified = [False, False]
-    for (pos, s), (p, other) in parse_mm(up, mm, ml, reverse).items():
-        t = abs(int(reverse) - s)
-        if p > -3 and p >= min_prob and (not highest_prob or p > other) and xm[t][pos] != ".":
-            xm[t][pos] = xm[t][pos].upper()
-            modified[t] = True
-    return [("+-"[t], "".join(xm[t])) for t in (0, 1) if modified[t] or t == int(reverse)]
+    return [(s, x.decode()) for s, x in _long_strands(seq.encode(), mm, None if ml is None else np.asarray(ml, np.int64), reverse, min_prob, highest_prob)]
 
 
 def long_reads(alignments: DataFrame, min_mapq: int = 0, min_baseq: int = 0, min_prob: int = -1, highest_prob: bool = True, trim: int | tuple[int, int] = 0, **skips) -> DataFrame:
-    """Reads with MM/ML tags: one or two strand copies each. Only the tag parsing runs in Python, in Arrow batches."""
+    """Reads with MM/ML tags: one or two strand copies each, in reference space, found in Arrow batches."""
     a = alignments.where((F.col("flag").bitwiseAND(skip_mask(False, **skips)) == 0) & (F.col("mapq") >= min_mapq))
-    a = a.select("rec_no", "rname", "pos", "flag", "cigar", "seq", "qual", "mm", "ml")
+    qual = F.col("qual") if min_baseq > 0 else F.lit(None).cast("string")
+    a = a.select(F.col("rec_no").cast("long").alias("templid"), "rname", F.col("pos").cast("int").alias("start"), F.col("flag").cast("int").alias("flag"), "cigar", "seq", qual.alias("qual"), "mm", F.col("ml").cast("array<int>").alias("ml"))
 
-    def strands(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def strands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(n, r, p, c, s, q, t, x) for n, r, p, f, c, s, q, m, ml in b.itertuples(index=False) for t, x in long_read_strands(s, m, None if ml is None else [int(v) for v in ml], bool(f & REVERSE), min_prob, highest_prob)]
-            yield pd.DataFrame(rows, columns=["templid", "rname", "pos", "cigar", "seq", "qual", "strand", "xm"])
-
-    d = a.mapInPandas(strands, "templid long, rname string, pos int, cigar string, seq string, qual string, strand string, xm string")
-    r = _projected(d, min_baseq, "templid", "rname", "strand", F.col("pos").alias("start"))
-    return trimmed(r, trim).select(*_OUT)
+            rows, strand, seqs, xms = [], [], [], []
+            ml = b.column(8)
+            ends, values, none = ml.offsets.to_numpy(), ml.values.to_numpy(zero_copy_only=False), st.nulls(ml)
+            for i, (f, c, s, q, m) in enumerate(zip(b.column(3).to_pylist(), b.column(4).to_pylist(), st.rows_of(b.column(5)), st.rows_of(b.column(6)), b.column(7).to_pylist(), strict=True)):
+                for t, x in _long_strands(s, m, None if none[i] else values[ends[i] : ends[i + 1]], bool(f & REVERSE), min_prob, highest_prob):
+                    rows.append(i)
+                    strand.append(t)
+                    seqs.append(None if c is None else laid_out(masked(s, q, min_baseq, b"N"), pieces(c), b"N"))
+                    xms.append(None if c is None else laid_out(masked(x, q, min_baseq, b"-"), pieces(c), b"-"))
+            own = [b.column(k).take(pa.array(rows, pa.int64())) for k in range(3)]
+            yield pa.RecordBatch.from_arrays([own[0], own[1], pa.array(strand, pa.string()), own[2], st.joined(seqs), st.joined(xms)], ["templid", "rname", "strand", "start", "seq", "xm"])
+
+    return trimmed(a.mapInArrow(strands, _PAIR), trim).select(*_OUT)
 
 
 def preprocess(alignments: DataFrame, paired: bool | None = None, min_prob: int = -1, highest_prob: bool = True, **options) -> DataFrame:
