@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType
 
 from ..functions import strings as st
 from ..functions.contexts import n_of
@@ -48,22 +49,22 @@ _SITE = _site_table()
 _TURNED = st.table({"ACGT": "CGTA"})
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(StringType())
 def _as_letters(text: pa.Array) -> pa.Array:
     return st.of_chars(text, lambda x, o, rows: _LETTER[x])
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(StringType())
 def _as_bases(text: pa.Array) -> pa.Array:
     return st.of_chars(text, lambda x, o, rows: _BASE[x])
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(StringType())
 def _turned(seq: pa.Array) -> pa.Array:
     return st.of_chars(seq, lambda x, o, rows: _TURNED[x])
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(StringType())
 def _as_sites(text: pa.Array, start: pa.Array, templid: pa.Array) -> pa.Array:
     row = (st.numbers(start) % 4 * 2 + (st.numbers(templid) % 3 != 0)).astype(np.uint16) * 24
 
@@ -74,7 +75,7 @@ def _as_sites(text: pa.Array, start: pa.Array, templid: pa.Array) -> pa.Array:
     return st.of_chars(text, one)
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(StringType())
 def _converted(text: pa.Array, templid: pa.Array) -> pa.Array:
     """Bases with every third one converted: C to T on even ids, G to A on odd ones."""
     even = st.numbers(templid) % 2 == 0
@@ -89,21 +90,21 @@ def _converted(text: pa.Array, templid: pa.Array) -> pa.Array:
     return st.of_chars(text, one)
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(StringType())
 def _fifths(text: pa.Array, templid: pa.Array) -> pa.Array:
     """Qualities: ``+`` where place and id make a multiple of five, else ``F``."""
     first = st.numbers(templid) % 5
     return st.of_chars(text, lambda x, o, rows: np.where(st.cycle(o, 5, first=first[rows]) % 5 == 0, np.uint8(ord("+")), np.uint8(ord("F"))))
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(StringType())
 def _qualities(seq: pa.Array, first: pa.Array, step: pa.Array) -> pa.Array:
     """Qualities that rise by ``step`` from ``first``, modulo 41."""
     at, by = st.numbers(first) % 41, int(st.numbers(step)[0]) if len(step) else 1
     return st.of_chars(seq, lambda x, o, rows: 33 + st.cycle(o, 41, by, at[rows]) % 41)
 
 
-@F.arrow_udf("array<int>")
+@F.arrow_udf(ArrayType(IntegerType()))
 def _probabilities(n: pa.Array, templid: pa.Array) -> pa.Array:
     """For each of ``n`` sites (k * 37 + id) % 256, k from 1."""
     sizes, ids = st.numbers(n), st.numbers(templid)
