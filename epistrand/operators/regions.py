@@ -5,27 +5,28 @@ Targets: bed_row (order of the file), seqnames, start, end, and any further colu
 
 from __future__ import annotations
 
+import heapq
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
+from ..functions import strings as st
 from ..functions.contexts import beta, context
 from .reports import with_pass
 
-#: Up to so many targets are broadcast by bin; more are joined on (chromosome, bin).
-BROADCAST_TARGETS = 100_000
-BIN = 4096
+#: Up to so many targets are looked up in arrays that each task holds; more are joined on blocks of positions.
+BROADCAST_TARGETS = 500_000
+_NONE = np.iinfo(np.int64).max
 
 
 def _read_end() -> Column:
     return F.col("start") + F.length("xm") - 1
 
 
-def _bins(a: Column, b: Column) -> Column:
-    width = F.lit(BIN)
-    return F.explode(F.sequence(F.floor(a / width), F.floor(b / width)))
-
-
 def match_targets(reads: DataFrame, targets: DataFrame, kind: str = "amplicon", tolerance: int = 1, min_overlap: int = 1) -> DataFrame:
     """Reads with ``bed_row``, the first target that matches, or null.
 
@@ -33,66 +34,123 @@ def match_targets(reads: DataFrame, targets: DataFrame, kind: str = "amplicon",
     """
     if kind not in ("amplicon", "capture"):
         raise ValueError(f"unknown kind {kind!r}; amplicon or capture")
-    r = reads.select("templid", "rname", F.col("start").alias("rs"), _read_end().alias("re"))
-    t = targets.select("bed_row", "seqnames", F.col("start").alias("bs"), F.col("end").alias("be"))
-    if kind == "amplicon":
-        near = (F.abs(F.col("rs") - F.col("bs")) <= tolerance) | (F.abs(F.col("re") - F.col("be")) <= tolerance)
-    else:
-        near = F.least("re", "be") - F.greatest("rs", "bs") + 1 >= min_overlap
-    on = (F.col("rname") == F.col("seqnames")) & near
-    if t.limit(BROADCAST_TARGETS + 1).count() <= BROADCAST_TARGETS:
-        return _looked_up(reads, t, kind, tolerance, min_overlap)
+    t = targets.select("bed_row", F.col("seqnames").alias("s"), F.col("start").cast("long").alias("a"), F.col("end").cast("long").alias("b"))
+    if kind == "capture":  # shortened by the overlap less one, targets and reads need only share a base
+        t = t.withColumn("b", F.col("b") - min_overlap + 1).where("b >= a")
+    t = t.where("s IS NOT NULL AND a IS NOT NULL AND b IS NOT NULL AND bed_row IS NOT NULL")
+    few = t.limit(BROADCAST_TARGETS + 1).toArrow()
+    if few.num_rows <= BROADCAST_TARGETS:
+        return _looked_up(reads, few, targets.schema["bed_row"].dataType, kind, tolerance, min_overlap)
+    return reads.join(_joined(reads, t, kind, tolerance, min_overlap), "templid", "left")
+
+
+class _Least:
+    """The least row of points within a range: a table of minima over powers of two, made in each task."""
+
+    def __init__(self, at: np.ndarray, row: np.ndarray) -> None:
+        order = np.argsort(at, kind="stable")
+        self.at, self.row, self.table = at[order], row[order], None
+
+    def within(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        if self.table is None:
+            self.table = [self.row]
+            while (width := 1 << len(self.table)) <= len(self.row):
+                x = self.table[-1]
+                self.table.append(np.minimum(x[: len(self.row) - width + 1], x[width // 2 : len(self.row) - width // 2 + 1]))
+        i, j = np.searchsorted(self.at, lo, "left"), np.searchsorted(self.at, hi, "right")
+        out = np.full(len(i), _NONE)
+        level = np.frexp(np.maximum(j - i, 0))[1] - 1
+        for k in np.unique(level[j > i]):
+            w = np.flatnonzero((level == k) & (j > i))
+            out[w] = np.minimum(self.table[k][i[w]], self.table[k][j[w] - (1 << int(k))])
+        return out
+
+
+class _Covering:
+    """The least row of the intervals over a point: a step function, found in one sweep."""
+
+    def __init__(self, a: np.ndarray, b: np.ndarray, row: np.ndarray) -> None:
+        order = np.argsort(a, kind="stable")
+        begins, ends, rows = a[order].tolist(), b[order].tolist(), row[order].tolist()
+        self.at = np.unique(np.concatenate([a, b + 1]))
+        least, open_, k = [], [], 0
+        for p in self.at.tolist():
+            while k < len(begins) and begins[k] == p:
+                heapq.heappush(open_, (rows[k], ends[k]))
+                k += 1
+            while open_ and open_[0][1] < p:
+                heapq.heappop(open_)
+            least.append(open_[0][0] if open_ else _NONE)
+        self.least = np.array([_NONE, *least], np.int64)
+
+    def over(self, p: np.ndarray) -> np.ndarray:
+        return self.least[np.searchsorted(self.at, p, "right")]
+
+
+def _looked_up(reads: DataFrame, targets: pa.Table, row_type, kind: str, tolerance: int, min_overlap: int) -> DataFrame:
+    """``match_targets`` for few targets: a read looks up minima by bisection, however many targets it meets, with no shuffle.
+
+    A captured target lies over the first base of the read or starts further on in it; an amplicon's start or end is
+    within a range.
+    """
+    names = np.array(targets["s"].to_pylist(), object)
+    a, b, row = (targets[c].to_numpy().astype(np.int64) for c in ("a", "b", "bed_row"))
+    by = {}
+    for name in set(names.tolist()):
+        own = names == name
+        starts = _Least(a[own], row[own])
+        by[name] = (starts, _Covering(a[own], b[own], row[own]) if kind == "capture" else _Least(b[own], row[own]))
+    arrow = to_arrow_type(row_type)
+
+    def first(rname: pa.Array, start: pa.Array, length: pa.Array) -> pa.Array:
+        rs, n = st.numbers(start), st.numbers(length)
+        out, there = np.full(len(rs), _NONE), ~st.nulls(rname, start, length)
+        coded = rname.dictionary_encode()
+        code = st.numbers(coded.indices)
+        for i, name in enumerate(coded.dictionary.to_pylist()):
+            if name not in by:
+                continue
+            w = np.flatnonzero(there & (code == i))
+            if kind == "capture":
+                w = w[n[w] >= min_overlap]
+                s, e = rs[w], rs[w] + n[w] - min_overlap
+                found = by[name][1].over(s), by[name][0].within(s + 1, e)
+            else:
+                e = rs[w] + n[w] - 1
+                found = [x.within(p - tolerance, p + tolerance) for x, p in zip(by[name], (rs[w], e), strict=True)]
+            out[w] = np.minimum(*found)
+        return pa.array(np.where(out == _NONE, 0, out), mask=out == _NONE).cast(arrow)
+
+    return reads.withColumn("bed_row", F.arrow_udf(first, row_type)("rname", "start", F.length("xm")))
+
+
+def _blocks(a: str, b: str, which: int) -> str:
+    """SQL: the blocks of powers of two that make up the positions from ``a`` to ``b``, two a power at most."""
+    lo, hi = f"(-shiftright(-({a}), k))", f"shiftright(({b}) + 1, k)"
+    one = lambda ends, block: f"CASE WHEN {lo} < {hi} AND {ends} % 2 <> 0 THEN named_struct('w', {which}, 'k', k, 'p', {block}) END"
+    return f"filter(flatten(transform(sequence(0, 40), k -> array({one(lo, lo)}, {one(hi, f'{hi} - 1')}))), x -> x IS NOT NULL)"
+
+
+def _around(a: str, which: int) -> str:
+    """SQL: the blocks of every power of two that ``a`` lies in."""
+    return f"transform(sequence(0, 40), k -> named_struct('w', {which}, 'k', k, 'p', shiftright({a}, k)))"
+
+
+def _joined(reads: DataFrame, t: DataFrame, kind: str, tolerance: int, min_overlap: int) -> DataFrame:
+    """(templid, bed_row) for many targets: both sides meet on blocks of positions, each of which keeps its least row.
+
+    So rows grow with reads and targets, not with the pairs of them that match.
+    """
+    r = reads.select("templid", F.col("rname").alias("s"), F.col("start").cast("long").alias("a"), _read_end().cast("long").alias("b"))
     if kind == "capture":
-        left = r.withColumn("bin", _bins(F.col("rs"), F.col("re")))
-        right = t.withColumn("tbin", _bins(F.col("bs"), F.col("be")))
-        pairs = left.join(right, on & (F.col("bin") == F.col("tbin")))
+        r = r.withColumn("b", F.col("b") - min_overlap + 1).where("b >= a")
+        held, asked = (_blocks("a", "b", 0), _around("a", 1)), (_around("a", 0), _blocks("a + 1", "b", 1))
     else:
-        by = []
-        for a, b in (("rs", "bs"), ("re", "be")):
-            left = r.withColumn("bin", F.floor(F.col(a) / BIN))
-            right = t.withColumn("tbin", _bins(F.col(b) - tolerance, F.col(b) + tolerance))
-            by.append(left.join(right, on & (F.col("bin") == F.col("tbin"))).select("templid", "bed_row"))
-        pairs = by[0].unionByName(by[1])
-    first = pairs.groupBy("templid").agg(F.min("bed_row").alias("bed_row"))
-    return reads.join(first, "templid", "left")
-
-
-def _looked_up(reads: DataFrame, t: DataFrame, kind: str, tolerance: int, min_overlap: int) -> DataFrame:
-    """``match_targets`` for few targets: they are broadcast by bin, and each read looks up its bins, with no shuffle.
-
-    An amplicon's start or end is near the read's, so two bins tell; a captured target overlaps one of the read's bins.
-    """
-    def binned(a: Column, b: Column, name: str) -> DataFrame:
-        g = t.select("seqnames", _bins(a, b).alias("_bin"), F.struct("bed_row", "bs", "be").alias("t"))
-        return F.broadcast(g.groupBy(F.col("seqnames").alias(f"_s{name}"), F.col("_bin").alias(f"_b{name}")).agg(F.collect_list("t").alias(f"_t{name}")))
-
-    rs, re = F.col("start"), _read_end()
-    if kind == "amplicon":
-        joins = [(binned(F.col("bs") - tolerance, F.col("bs") + tolerance, "1"), "1", rs), (binned(F.col("be") - tolerance, F.col("be") + tolerance, "2"), "2", re)]
-        fits = {"1": lambda x: F.abs(rs - x["bs"]) <= tolerance, "2": lambda x: F.abs(re - x["be"]) <= tolerance}
-        out = reads
-        for table, n, at in joins:
-            out = out.join(table, (F.col("rname") == F.col(f"_s{n}")) & (F.floor(at / BIN) == F.col(f"_b{n}")), "left")
-        found = [F.array_min(F.transform(F.filter(F.col(f"_t{n}"), fits[n]), lambda x: x["bed_row"])) for n in "12"]
-        return out.withColumn("bed_row", F.least(*found)).select(*reads.columns, "bed_row")
-    table = binned(F.col("bs"), F.col("be"), "1")
-
-    def earliest(of: str, end: Column) -> Column:
-        fit = F.filter(of, lambda x: F.least(end, x["be"]) - F.greatest(rs, x["bs"]) + 1 >= min_overlap)
-        return F.array_min(F.transform(fit, lambda x: x["bed_row"]))
-
-    first, last = F.floor(rs / BIN), F.floor(re / BIN)
-    near = reads.where(F.coalesce(last - first <= 1, F.lit(True)))
-    for n, at in (("1", first), ("2", last)):
-        t_n = table.select(F.col("_s1").alias(f"_s{n}"), F.col("_b1").alias(f"_b{n}"), F.col("_t1").alias(f"_t{n}"))
-        near = near.join(F.broadcast(t_n), (F.col("rname") == F.col(f"_s{n}")) & (at == F.col(f"_b{n}")), "left")
-    found = [earliest(f"_t{n}", re) for n in "12"]
-    near = near.withColumn("bed_row", F.least(*found)).select(*reads.columns, "bed_row")
-    # Longer reads look up each of their bins.
-    far = reads.where(last - first > 1)
-    looked = far.select("templid", "rname", "start", re.alias("_end"), _bins(rs, re).alias("bin")).join(table, (F.col("rname") == F.col("_s1")) & (F.col("bin") == F.col("_b1"))).withColumn("bed_row", earliest("_t1", F.col("_end")))
-    hit = looked.groupBy("templid").agg(F.min("bed_row").alias("bed_row"))
-    return near.unionByName(far.join(hit, "templid", "left").select(*reads.columns, "bed_row"))
+        near = lambda c, which: _blocks(f"{c} - {tolerance}", f"{c} + {tolerance}", which)
+        held, asked = (_around("a", 0), _around("b", 1)), (near("a", 0), near("b", 1))
+    at = lambda df, parts, *keep: df.select(*keep, "s", F.explode(F.expr(f"concat({', '.join(parts)})")).alias("x")).select(*keep, "s", "x.w", "x.k", "x.p")
+    least = at(t, held, "bed_row").groupBy("s", "w", "k", "p").agg(F.min("bed_row").alias("bed_row"))
+    return at(r, asked, "templid").join(least, ["s", "w", "k", "p"]).groupBy("templid").agg(F.min("bed_row").alias("bed_row"))
 
 
 def region_report(reads: DataFrame, targets: DataFrame, kind: str = "amplicon", threshold: bool = True, tolerance: int = 1, min_overlap: int = 1, **thresholds) -> DataFrame:

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from epistrand.operators import alignments as al
+from epistrand.operators import regions
 from epistrand.plans import catalog
 from epistrand.sources import bam
 
@@ -48,3 +49,13 @@ def test_long_pairs_are_merged_at_once(spark):
 def test_no_query_makes_a_row_of_characters(spark, name):
     plan = catalog.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "split(" not in plan and "transform(" not in plan
+
+
+@pytest.mark.parametrize(("kind", "most"), [("amplicon", 10**6), ("capture", 10**6), ("amplicon", 0), ("capture", 0)])
+def test_targets_over_each_other_are_not_paired_with_reads(spark, monkeypatch, kind, most):
+    n = 60_000  # reads that match each of the targets: pairs would be 10^9
+    reads = spark.range(n // 3).select(F.col("id").alias("templid"), F.lit("c").alias("rname"), F.lit("+").alias("strand"), F.lit(5000).alias("start"), F.repeat(F.lit("z"), 200).alias("xm"))
+    targets = spark.range(n).select((F.lit(n + 6) - F.col("id")).cast("int").alias("bed_row"), F.lit("c").alias("seqnames"), (F.lit(5000) + F.col("id") % 3).cast("int").alias("start"), F.lit(5300).alias("end"))
+    monkeypatch.setattr(regions, "BROADCAST_TARGETS", most)
+    got = within(30, lambda: regions.match_targets(reads, targets, kind, **({"tolerance": 2} if kind == "amplicon" else {"min_overlap": 150})).groupBy("bed_row").count().collect())
+    assert [tuple(x) for x in got] == [(7, n // 3)]
