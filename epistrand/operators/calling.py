@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import re
+from functools import lru_cache
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
+from ..functions import strings as st
 from .alignments import UNMAPPED
 
 #: Bases of a genome tile, and of the next tile that it holds as well, so that a short read needs one tile.
@@ -24,39 +31,52 @@ def strand_tag(alignments: DataFrame) -> Column:
     return F.coalesce(*by) if by else F.lit(None).cast("string")
 
 
-def reference_in_query_space(cigar: Column, genome: Column, pos: Column) -> Column:
+@lru_cache(1 << 12)
+def _ops(cigar: str) -> list[tuple[int, str]]:
+    return [(int(n), op) for n, op in re.findall(r"([0-9]+)([MIDNSHP=X])", cigar)]
+
+
+def reference_in_query_space(cigar: str, genome: bytes, pos: int) -> bytes:
     """Reference under each read base: matches copy it; mismatches (X), insertions and soft clips are N; two flanking
     bases on either side, N beyond the contig."""
-    rx = F.lit(r"(\d+)([MIDNSHP=X])")
-    ops = F.arrays_zip(F.regexp_extract_all(cigar, rx, F.lit(1)).alias("n"), F.regexp_extract_all(cigar, rx, F.lit(2)).alias("op"))
-    start = F.struct(pos.cast("int").alias("r"), F.lit("").alias("out"))
+    at = pos - 1
+    out = [genome[max(at - 2, 0) : max(at, 0)].rjust(2, b"N")]
+    for n, op in _ops(cigar):
+        if op in "M=":
+            out.append(genome[at : at + n].ljust(n, b"N"))
+        elif op in "XIS":
+            out.append(b"N" * n)
+        at += n if op in "M=XDN" else 0
+    return b"".join([*out, genome[at : at + 2].ljust(2, b"N")])
 
-    def step(acc: Column, x: Column) -> Column:
-        n, op = x["n"].cast("int"), x["op"]
-        took = F.when(op.isin("M", "="), F.rpad(F.substring(genome, acc["r"], n), n, "N")).when(op.isin("X", "I", "S"), F.repeat(F.lit("N"), n)).otherwise("")
-        return F.struct(F.when(op.isin("M", "=", "X", "D", "N"), acc["r"] + n).otherwise(acc["r"]).alias("r"), F.concat(acc["out"], took).alias("out"))
 
-    first = F.greatest(pos.cast("int") - 2, F.lit(1))
-    left = F.lpad(F.substring(genome, first, pos.cast("int") - first), 2, "N")
-    return F.aggregate(ops, start, step, lambda a: F.concat(left, a["out"], F.rpad(F.substring(genome, a["r"], F.lit(2)), 2, "N")))
+def _calls(base: str, turned: str, mate: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tables of bytes: what a reference base counts (1 if it is the one called, or missing), a mate, and a read base (1, 2 if converted)."""
+    own, near, read = np.zeros(256, np.uint8), np.zeros(256, np.uint8), np.zeros(256, np.uint8)
+    own[[0, ord(base)]], near[ord(mate)] = 1, 1
+    read[[ord(base), ord(base.lower())]], read[[ord(turned), ord(turned.lower())]] = 1, 2
+    return own, near, read
 
 
-def call_string(seq: Column, ref: Column, strand: Column) -> Column:
-    """One character a read base: context letter, upper case if the base is unconverted, else ``.``. ``ref`` has two flanks.
+_CALLS = _calls("G", "A", "C"), _calls("C", "T", "G")
+#: By (read base, whether the next but one is a mate, whether the next is): the character called.
+_CALLED = np.frombuffer(b"....HXZZhxzz", np.uint8)
 
-    The read and the reference at five offsets are split once and zipped, so the work is linear in the read.
-    """
-    shifted = [F.split(F.substring(ref, F.lit(k), F.length(seq)), "").alias(f"r{k}") for k in range(1, 6)]
-    zipped = F.arrays_zip(F.split(F.upper(seq), "").alias("b"), *shifted)
-    fwd = strand == "CT"
 
-    def one(x: Column, base: str, turned: str, mate: str, own: str, near: str, far: str) -> Column:
-        c = F.when(x[near] == mate, "z").when(x[far] == mate, "x").otherwise("h")
-        return F.when(x[own] != base, ".").when(x["b"] == base, F.upper(c)).when(x["b"] == turned, c).otherwise(".")
+def call_string(seq: bytes, ref: bytes, plus: bool) -> bytes:
+    """One character a read base: context letter, upper case if the base is unconverted, else ``.``. ``ref`` has two flanks."""
+    n = max(1, len(seq))
+    r, b = np.frombuffer(ref.ljust(n + 4, b"\0"), np.uint8), np.frombuffer(seq or b".", np.uint8)
+    own, near, read = _CALLS[plus]
+    mate = near[r]
+    one, two = (mate[3 : n + 3], mate[4 : n + 4]) if plus else (mate[1 : n + 1], mate[:n])
+    return _CALLED[own[r[2 : n + 2]] * read[b] * 4 + one * 2 + two].tobytes()
+
 
-    plus = F.transform(zipped, lambda x: one(x, "C", "T", "G", "r3", "r4", "r5"))
-    minus = F.transform(zipped, lambda x: one(x, "G", "A", "C", "r3", "r2", "r1"))
-    return F.array_join(F.when(fwd, plus).otherwise(minus), "")
+@F.arrow_udf(StringType())
+def _call(seq: pa.Array, cigar: pa.Array, genome: pa.Array, pos: pa.Array, tag: pa.Array) -> pa.Array:
+    rows = zip(st.rows_of(seq), cigar.to_pylist(), st.rows_of(genome), pos.to_pylist(), tag.to_pylist(), strict=True)
+    return st.joined([None if None in x else call_string(x[0], reference_in_query_space(*x[1:4]), x[4] == "CT") for x in rows])
 
 
 def check_genome(header: DataFrame, genome: DataFrame) -> None:
@@ -96,7 +116,7 @@ def call_methylation(alignments: DataFrame, genome: DataFrame) -> DataFrame:
     j = few.unionByName(a.where(~short).join(parts, F.col("rec_no") == F.col("_rec"), "left").drop("_rec"))
     called = F.col("xm").isNull() & tag.isNotNull() & (F.col("flag").bitwiseAND(UNMAPPED) == 0) & F.col("_genome").isNotNull()
     at = F.col("pos") - F.col("_tile") * TILE
-    xm = call_string(F.col("seq"), reference_in_query_space(F.col("cigar"), F.col("_genome"), at), tag)
+    xm = _call(F.col("seq"), F.col("cigar"), F.col("_genome"), at, tag)
     return j.withColumns({"xm": F.when(called, xm).otherwise(F.col("xm")), "xg": F.when(called, tag).otherwise(F.col("xg")), "called": called}).drop("_genome", "_tile", "_need")
 
 

@@ -59,3 +59,18 @@ def test_targets_over_each_other_are_not_paired_with_reads(spark, monkeypatch, k
     monkeypatch.setattr(regions, "BROADCAST_TARGETS", most)
     got = within(30, lambda: regions.match_targets(reads, targets, kind, **({"tolerance": 2} if kind == "amplicon" else {"min_overlap": 150})).groupBy("bed_row").count().collect())
     assert [tuple(x) for x in got] == [(7, n // 3)]
+
+
+@pytest.mark.parametrize("name", ["call_methylation", "call_cigar"])
+def test_calls_make_no_row_of_characters(spark, name):
+    plan = catalog.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(" not in plan
+
+
+def test_calls_of_odd_records():
+    from epistrand.operators import calling
+
+    ref = calling.reference_in_query_space("1S2M1I1D1X2M", b"ACGTCGAC", 3)
+    assert ref == b"ACNGTNNACNN"
+    assert calling.call_string(b"", b"NNNN", True) == b"." and calling.call_string(b"cCTG", b"NNCGCANN", True) == b"Z.h."
+    assert calling.call_string(b"GGAC", b"NNCGGANN", False) == b".Zx."
