@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import strings as st
 from ..functions.exact import fisher_exact
-from .reports import with_pass
+from .reports import Piece, per_position_sums, with_pass
 
 BROADCAST_VARIANTS = 100_000
-BIN = 1024
+_BASE = st.table({"ACGT": "0123"}, "4") - ord("0")
 _GROUPS = [(m, s) for m in ("M", "U") for s in ("+", "-")]
 
 
@@ -39,21 +42,27 @@ def chromosome_style(name: Column, style: str) -> Column:
 def base_counts(reads: DataFrame, variants: DataFrame) -> DataFrame:
     """Variants with 16 counts: [M|U][+|-][A|C|G|T], reads by verdict (``pass``) and strand. Other bases are dropped.
 
-    Reads meet variants on (chromosome, bin); few variants are broadcast. Uncovered variants have zeros.
+    Bases are counted by position in Arrow batches; positions without a variant go before the shuffle. Uncovered
+    variants have zeros.
     """
     # Alleles of one site share a name and a position, so counts are made by position.
-    v = variants.select(F.col("seqnames").alias("vchr"), F.col("pos").alias("vpos"), F.floor(F.col("pos") / BIN).alias("vbin")).distinct()
-    # A read is padded to the start of its first bin and cut at bins, so a base is a place in a short piece.
-    padded = F.concat(F.repeat(F.lit("-"), F.col("start") % BIN), F.col("seq"))
-    pieces = F.posexplode(F.regexp_extract_all(padded, F.lit(f"(?s).{{1,{BIN}}}"), F.lit(0))).alias("i", "piece")
-    r = reads.where(F.col("start") >= 0).select("rname", "strand", "pass", F.floor(F.col("start") / BIN).alias("first"), pieces)
-    r = r.select("rname", "strand", "pass", (F.col("first") + F.col("i")).alias("bin"), "piece")
+    v = variants.select(F.col("seqnames").alias("vchr"), F.col("pos").alias("vpos")).distinct()
     if v.limit(BROADCAST_VARIANTS + 1).count() <= BROADCAST_VARIANTS:
         v = F.broadcast(v)
-    j = r.join(v, (F.col("rname") == F.col("vchr")) & (F.col("bin") == F.col("vbin")))
-    j = j.select("vchr", "vpos", "pass", "strand", F.expr(f"substring(piece, cast(vpos - bin * {BIN} as int) + 1, 1)").alias("base")).where(F.col("base").isin("A", "C", "G", "T"))
-    counts = [F.count_if((F.col("pass") == (m == "M")) & ((F.col("strand") != "-") == (s == "+")) & (F.col("base") == b)).alias(f"{m}{s}{b}") for m, s in _GROUPS for b in "ACGT"]
-    g = j.groupBy("vchr", "vpos").agg(*counts)
+    names = tuple(f"{m}{s}{b}" for m, s in _GROUPS for b in "ACGT")
+
+    def counts(b: pa.RecordBatch, piece: Piece, n: int) -> np.ndarray:
+        x, o, rows, place = piece
+        four = np.repeat(st.numbers(b.column("four"))[rows], np.diff(o))
+        base = _BASE[x]
+        kept = base < 4
+        k = np.bincount(place[kept] * 16 + four[kept] * 4 + base[kept], minlength=n * 16).reshape(n, 16)
+        return np.column_stack([k.sum(axis=1), k])
+
+    four = F.when(F.col("pass"), 0).otherwise(2) + F.when(F.col("strand") != "-", 0).otherwise(1)
+    r = reads.where((F.col("start") >= 0) & F.col("pass").isNotNull() & F.col("strand").isNotNull() & F.col("rname").isNotNull())
+    p = per_position_sums(r.select("rname", F.col("start").cast("int").alias("start"), four.alias("four"), "seq"), ("rname",), "seq", ("n", *names), counts, st.CHUNK // 4)
+    g = p.join(v, (F.col("rname") == F.col("vchr")) & (F.col("pos") == F.col("vpos"))).groupBy("vchr", "vpos").agg(*[F.sum(f"`{c}`").alias(c) for c in names])
     out = variants.join(g, (variants["seqnames"] == g["vchr"]) & (variants["pos"] == g["vpos"]), "left")
     return out.select(*variants.columns, *[F.coalesce(F.col(f"`{m}{s}{b}`"), F.lit(0)).alias(f"{m}{s}{b}") for m, s in _GROUPS for b in "ACGT"])
 
