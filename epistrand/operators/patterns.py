@@ -28,9 +28,12 @@ def pattern_bases(reads: DataFrame, seqnames: str, start: int, end: int, name: s
     own = reads.where(F.col("rname") == seqnames).withColumn("_end", stop)
     own = own.where(F.least(F.col("_end"), F.lit(end)) - F.greatest(F.col("start"), F.lit(start)) + 1 >= min_overlap)
     marks = sorted({p for p in highlight if start <= p <= end})
-    sites = own.select("templid", "strand", "start", "_end", F.posexplode(F.split("xm", "")).alias("i", "code"), "seq").withColumn("at", F.col("start") + F.col("i"))
+    # Clipped reads are cut to the region before they are taken apart.
+    skip = F.greatest(F.lit(start) - F.col("start"), F.lit(0)) if clip else F.lit(0)
+    cut = lambda c: F.substring(c, skip + 1, F.greatest(F.lit(end) - F.col("start") - skip + 1, F.lit(0))) if clip else F.col(c)
+    sites = own.select("templid", "strand", "start", "_end", F.posexplode(F.split(cut("xm"), "")).alias("i", "code"), cut("seq").alias("seq")).withColumn("at", F.col("start") + skip + F.col("i"))
     if clip:
-        inside = F.col("at").between(start, end)
+        inside = F.col("at").between(start, end) & (F.col("at") <= F.col("_end"))
         if compat_clip:
             lost = F.greatest(F.lit(start) - F.col("start"), F.lit(0))
             inside = inside & (F.col("at") <= F.least(F.col("_end"), F.lit(end)) - lost)
