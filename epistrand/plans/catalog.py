@@ -405,13 +405,13 @@ def patterns_wide(spark: SparkSession, sf: str) -> DataFrame:
     return w.select("templid", "codes", *[F.col(f"`{x}`") for x in _SHOWN])
 
 
-def _written(spark: SparkSession, lines: DataFrame) -> str:
-    """The path of ``lines`` as one text file in the folder that executors share."""
+def _written(spark: SparkSession, lines: DataFrame, single: bool = False) -> str:
+    """The path of ``lines`` as text in the folder that executors share: a file a partition, or one if their order matters."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if top is None and not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     path = f"{(top or tempfile.mkdtemp()).rstrip('/')}/round-trip-{uuid.uuid4().hex}"
-    lines.coalesce(1).write.text(path)
+    (lines.coalesce(1) if single else lines).write.text(path)
     return path
 
 
@@ -432,7 +432,7 @@ def vcf_regions(spark: SparkSession, sf: str) -> DataFrame:
 @_query("bed_round_trip", f"WITH {syn.TARGETS_SQL} SELECT CAST(row_number() OVER (ORDER BY bed_row) AS INTEGER) AS bed_row, seqnames, start, \"end\", CAST(\"end\" - start + 1 AS INTEGER) AS width, '*' AS strand, 't' || bed_row AS V4 FROM targets")
 def bed_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     t = syn.targets(spark, sf).orderBy("bed_row").select(F.concat_ws("\t", "seqnames", (F.col("start") - 1).cast("string"), F.col("end").cast("string"), F.concat(F.lit("t"), F.col("bed_row").cast("string"))).alias("value"))
-    return text.read_bed(spark, _written(spark, t), zero_based=True)
+    return text.read_bed(spark, _written(spark, t, single=True), zero_based=True)
 
 
 @_query("fasta_round_trip", f"WITH {syn.LETTERS_SQL} SELECT 'c' || templid AS rname, length(t) AS rlen, translate(t, '{syn.LOWER}-', '{syn.BASES_OF}') AS seq FROM letters WHERE t <> ''")
