@@ -57,11 +57,12 @@ _KIND = st.table({"hxzHXZ-+": "12345677"}, "0") - ord("0")
 Piece = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
 
-def per_position(group: tuple[str, ...], payload: str, columns: tuple[str, ...], of: Callable[[pa.RecordBatch, Piece, int], np.ndarray], most: int = st.CHUNK) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def per_position(group: tuple[str, ...], payload: str, columns: tuple[str, ...], of: Callable[[pa.RecordBatch, Piece, int], np.ndarray], most: int = st.CHUNK, wanted: dict[tuple, np.ndarray] | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A ``mapInArrow`` function: sums by ``group`` and position over pieces of a batch, each of at most ``most`` bytes or one read.
 
-    ``of(batch, piece, n)`` gives an n x columns array of sums by place; its first column is positive where there is
-    something. Reads of a piece follow each other by start and gaps between them take no place, so n is at most its bytes.
+    ``of(batch, piece, n)`` gives an n x columns array of sums by place; places with zeros only are left out, and those
+    that ``wanted`` (sorted positions by group) does not name. Reads of a piece follow each other by start and gaps
+    between them take no place, so n is at most its bytes.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -71,7 +72,7 @@ def per_position(group: tuple[str, ...], payload: str, columns: tuple[str, ...],
             size[st.nulls(b.column("start"), b.column(payload))] = 0
             by: dict[tuple, list[int]] = {}
             for i, key in enumerate(zip(*[b.column(g).to_pylist() for g in group], strict=True)):
-                if size[i]:
+                if size[i] and (wanted is None or key in wanted):
                     by.setdefault(key, []).append(i)
             for key, held in by.items():
                 rows = np.array(held)
@@ -88,20 +89,24 @@ def per_position(group: tuple[str, ...], payload: str, columns: tuple[str, ...],
         place = np.arange(o[-1]) + np.repeat(s - skipped - o[:-1], n)
         x = np.concatenate([data[offsets[r] : offsets[r + 1]] for r in rows.tolist()])
         out = of(b, (x, o, rows, place), int(reach[-1] - skipped[-1]))
-        there = np.flatnonzero(out[:, 0] > 0)
+        there = np.flatnonzero(out.any(axis=1))
         if len(there):
             firsts = np.flatnonzero(new)
             pos = there + skipped[firsts][np.searchsorted(s[firsts] - skipped[firsts], there, "right") - 1]
+            if wanted is not None:
+                own = wanted[key]
+                named = own[np.minimum(np.searchsorted(own, pos), len(own) - 1)] == pos
+                there, pos = there[named], pos[named]
             names = [pa.repeat(pa.scalar(k, pa.string()), len(there)) for k in key]
             yield pa.RecordBatch.from_arrays([*names, pa.array(pos.astype(np.int32)), *[pa.array(c) for c in out[there].astype(np.int64).T]], [*group, "pos", *columns])
 
     return run
 
 
-def per_position_sums(reads: DataFrame, group: tuple[str, ...], payload: str, columns: tuple[str, ...], of: Callable[[pa.RecordBatch, Piece, int], np.ndarray], most: int = st.CHUNK) -> DataFrame:
+def per_position_sums(reads: DataFrame, group: tuple[str, ...], payload: str, columns: tuple[str, ...], of: Callable[[pa.RecordBatch, Piece, int], np.ndarray], most: int = st.CHUNK, wanted: dict[tuple, np.ndarray] | None = None) -> DataFrame:
     """``group``, pos and sums of ``columns``, not yet added up over the pieces of all batches."""
     schema = ", ".join([f"`{g}` string" for g in group] + ["pos int"] + [f"`{c}` long" for c in columns])
-    return reads.mapInArrow(per_position(group, payload, columns, of, most), schema)
+    return reads.mapInArrow(per_position(group, payload, columns, of, most, wanted), schema)
 
 
 def _kinds(x: np.ndarray, place: np.ndarray, n: int) -> np.ndarray:

@@ -42,13 +42,18 @@ def chromosome_style(name: Column, style: str) -> Column:
 def base_counts(reads: DataFrame, variants: DataFrame) -> DataFrame:
     """Variants with 16 counts: [M|U][+|-][A|C|G|T], reads by verdict (``pass``) and strand. Other bases are dropped.
 
-    Bases are counted by position in Arrow batches; positions without a variant go before the shuffle. Uncovered
-    variants have zeros.
+    Bases are counted by position in Arrow batches; positions without a variant go before the shuffle, in the batch if
+    variants are few. Uncovered variants have zeros.
     """
     # Alleles of one site share a name and a position, so counts are made by position.
     v = variants.select(F.col("seqnames").alias("vchr"), F.col("pos").alias("vpos")).distinct()
-    if v.limit(BROADCAST_VARIANTS + 1).count() <= BROADCAST_VARIANTS:
-        v = F.broadcast(v)
+    few, wanted = v.limit(BROADCAST_VARIANTS + 1).toArrow(), None
+    if few.num_rows <= BROADCAST_VARIANTS:
+        v, wanted = F.broadcast(v), {}
+        for name, pos in zip(few["vchr"].to_pylist(), few["vpos"].to_pylist(), strict=True):
+            if pos is not None:
+                wanted.setdefault((name,), []).append(pos)
+        wanted = {k: np.sort(np.array(x, np.int64)) for k, x in wanted.items()}
     names = tuple(f"{m}{s}{b}" for m, s in _GROUPS for b in "ACGT")
 
     def counts(b: pa.RecordBatch, piece: Piece, n: int) -> np.ndarray:
@@ -56,12 +61,11 @@ def base_counts(reads: DataFrame, variants: DataFrame) -> DataFrame:
         four = np.repeat(st.numbers(b.column("four"))[rows], np.diff(o))
         base = _BASE[x]
         kept = base < 4
-        k = np.bincount(place[kept] * 16 + four[kept] * 4 + base[kept], minlength=n * 16).reshape(n, 16)
-        return np.column_stack([k.sum(axis=1), k])
+        return np.bincount(place[kept] * 16 + four[kept] * 4 + base[kept], minlength=n * 16).reshape(n, 16)
 
     four = F.when(F.col("pass"), 0).otherwise(2) + F.when(F.col("strand") != "-", 0).otherwise(1)
     r = reads.where((F.col("start") >= 0) & F.col("pass").isNotNull() & F.col("strand").isNotNull() & F.col("rname").isNotNull())
-    p = per_position_sums(r.select("rname", F.col("start").cast("int").alias("start"), four.alias("four"), "seq"), ("rname",), "seq", ("n", *names), counts, st.CHUNK // 4)
+    p = per_position_sums(r.select("rname", F.col("start").cast("int").alias("start"), four.alias("four"), "seq"), ("rname",), "seq", names, counts, wanted=wanted)
     g = p.join(v, (F.col("rname") == F.col("vchr")) & (F.col("pos") == F.col("vpos"))).groupBy("vchr", "vpos").agg(*[F.sum(f"`{c}`").alias(c) for c in names])
     out = variants.join(g, (variants["seqnames"] == g["vchr"]) & (variants["pos"] == g["vpos"]), "left")
     return out.select(*variants.columns, *[F.coalesce(F.col(f"`{m}{s}{b}`"), F.lit(0)).alias(f"{m}{s}{b}") for m, s in _GROUPS for b in "ACGT"])
